@@ -2,8 +2,8 @@
 
 ``rank_within`` range-partitions on (group, order) keys, so one hot group is
 spread over many partitions.  Each row's position is its index inside its
-sorted partition plus the row count of the earlier partitions holding the same
-group.  That offset table has at most (partitions + groups) rows.  Nothing is
+sorted partition (fixed by one checkpointed evaluation) plus the row count of
+the earlier partitions holding the same group.  That offset table has at most (partitions + groups) rows.  Nothing is
 collected, and no window spans a whole group.
 
 ``exact_percentiles`` reads the two ranks around ``(n-1)*p`` and interpolates
@@ -47,10 +47,16 @@ def rank_within(df: DataFrame, order_cols: list[str], group_cols: list[str] | No
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
     p = _partitions(df, num_partitions)
+    # One evaluation fixes each row's (partition, local index).  The sorted,
+    # indexed table is written once to the shared checkpoint dir.  Otherwise
+    # the statistics branch and the row branch would each re-run the range
+    # exchange; Catalyst may prune them differently or drop the sort below the
+    # aggregate, and the indexes would disagree.  It also cuts the lineage.
     keyed = (df.repartitionByRange(p, *keys).sortWithinPartitions(*keys)
              .withColumn("_pid", F.spark_partition_id().cast("long"))
              .withColumn("_local", F.monotonically_increasing_id()
-                         - F.shiftleft(F.spark_partition_id().cast("long"), _LOCAL_BITS)))
+                         - F.shiftleft(F.spark_partition_id().cast("long"), _LOCAL_BITS))
+             .checkpoint(eager=True))
     stats = keyed.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
         if group_cols else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,4 +1,4 @@
 """Registered queries over the shared tables (see ``registry``)."""
 
-from . import metric_queries, text_queries  # noqa: F401
+from . import metric_queries, monitor_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, SURVEY_IDS, inline_views  # noqa: F401
