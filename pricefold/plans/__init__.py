@@ -1,4 +1,5 @@
 """Registered queries over the shared tables (see ``registry``)."""
 
-from . import feature_queries, metric_queries, model_queries, monitor_queries, stream_queries, text_queries  # noqa: F401
+from . import (feature_queries, io_queries, metric_queries, model_queries, monitor_queries,  # noqa: F401
+               stream_queries, text_queries)
 from .registry import ORACLES, QUERIES, SURVEY_IDS, inline_views  # noqa: F401
