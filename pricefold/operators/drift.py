@@ -93,7 +93,7 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: list[str] | None = None,
     return out.select("feature", "psi", "ref_mean", "cur_mean", "ref_std", "cur_std", "missing_ref", "missing_cur")
 
 
-def baseline_drift(cur: DataFrame, baseline: dict[str, float], stats: dict, threshold: float = 0.1,
+def baseline_drift(cur: DataFrame, baseline: dict[str, float], stats: dict, threshold: float = 0.15,
                    rel_limit: float = 0.05) -> DataFrame:
     """DRF-3 (re-aimed: the current statistics are computed from the table).
     ``stats`` maps a stat name to an aggregate Column; each is compared with its

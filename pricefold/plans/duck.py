@@ -102,3 +102,13 @@ def parsed_cte(source: str = "catalog", text_col: str = "catalog_content") -> st
             f"ln(1 + parsed_total_weight_g) AS parsed_weight_log1p, "
             f"ln(1 + parsed_total_volume_ml) AS parsed_volume_log1p, "
             f"ln(1 + parsed_total_count_units) AS parsed_count_log1p FROM parsed0)")
+
+
+def bucket_name(unit_expr: str) -> str:
+    whens = " ".join(f"WHEN {q(u)} THEN {q(b)}" for u, (b, _) in QUANTITY_UNIT_RULES.items())
+    return f"(CASE {unit_expr} {whens} END)"
+
+
+def bucket_scale_any(unit_expr: str) -> str:
+    whens = " ".join(f"WHEN {q(u)} THEN {s!r}" for u, (_, s) in QUANTITY_UNIT_RULES.items())
+    return f"(CASE {unit_expr} {whens} ELSE 0.0 END)"
