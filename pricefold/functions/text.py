@@ -124,7 +124,7 @@ def quantity_stats(c: Column) -> Column:
 
 
 def parse_ounces(c: Column) -> Column:
-    """TXT-7: sum of ``<n> oz`` amounts (``fl oz`` is not split off, ``12 fl oz`` counts)."""
+    """TXT-7: sum of ``<n> oz`` amounts; ``12 fl oz`` is not counted (the number is not next to ``oz``)."""
     vals = F.regexp_extract_all(text_or_empty(c), F.lit(OUNCE_PATTERN), 1)
     return F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
 
