@@ -112,17 +112,6 @@ def _bucket_total(q: Column, bucket: str) -> Column:
         x["value"] * F.try_element_at(scale, x["unit"]), F.lit(0.0)))
 
 
-def quantity_stats(c: Column) -> Column:
-    """TXT-6: struct of per-row totals; unknown units count as mentions only."""
-    q = quantities(c)
-    n = F.size(q).cast("double")
-    return F.struct(_bucket_total(q, "weight_g").alias("total_weight_g"),
-                    _bucket_total(q, "volume_ml").alias("total_volume_ml"),
-                    _bucket_total(q, "count_units").alias("total_count_units"),
-                    n.alias("quantity_mentions"),
-                    F.when(n > 0, 1.0).otherwise(0.0).alias("has_quantity"))
-
-
 def parse_ounces(c: Column) -> Column:
     """TXT-7: sum of ``<n> oz`` amounts; ``12 fl oz`` is not counted (the number is not next to ``oz``)."""
     vals = F.regexp_extract_all(text_or_empty(c), F.lit(OUNCE_PATTERN), 1)
@@ -138,27 +127,28 @@ def parse_value_unit(c: Column) -> Column:
                     F.lower(u).alias("unit"))
 
 
-def parsed_feature_columns(text_col: str = "catalog_content") -> list[Column]:
-    """TXT-9: the twelve parsed columns added by ``add_parsed_features``."""
-    c = F.col(text_col)
-    vu = parse_value_unit(c)
-    st = quantity_stats(c)
-    return [
-        F.length(text_or_empty(c)).alias(f"{text_col}_clean_len"),
-        parse_ounces(c).alias("parsed_ounces"),
-        vu["value"].alias("parsed_value"),
-        vu["unit"].alias("parsed_unit"),
-        st["total_weight_g"].alias("parsed_total_weight_g"),
-        st["total_volume_ml"].alias("parsed_total_volume_ml"),
-        st["total_count_units"].alias("parsed_total_count_units"),
-        st["quantity_mentions"].alias("parsed_quantity_mentions"),
-        st["has_quantity"].alias("parsed_has_quantity"),
-    ]
+def _totals_from(q: Column) -> list[Column]:
+    """TXT-6 totals from a quantities COLUMN (the array is read several times,
+    so it must be a column reference, not the regex expression itself)."""
+    n = F.size(q).cast("double")
+    return [_bucket_total(q, "weight_g").alias("parsed_total_weight_g"),
+            _bucket_total(q, "volume_ml").alias("parsed_total_volume_ml"),
+            _bucket_total(q, "count_units").alias("parsed_total_count_units"),
+            n.alias("parsed_quantity_mentions"),
+            F.when(n > 0, 1.0).otherwise(0.0).alias("parsed_has_quantity")]
 
 
 def add_parsed_features(df, text_col: str = "catalog_content"):
-    parsed = df.select("*", *parsed_feature_columns(text_col))
-    return parsed.select(
+    """TXT-9: the parsed columns of ``add_parsed_features``.  Three projections:
+    regex matches once per row, then totals, then the log1p columns."""
+    c = F.col(text_col)
+    vu = parse_value_unit(c)
+    step1 = df.select("*", F.length(text_or_empty(c)).alias(f"{text_col}_clean_len"),
+                      parse_ounces(c).alias("parsed_ounces"), vu.alias("_vu"), quantities(c).alias("_q"))
+    step2 = step1.select(*[x for x in df.columns], f"{text_col}_clean_len", "parsed_ounces",
+                         F.col("_vu.value").alias("parsed_value"), F.col("_vu.unit").alias("parsed_unit"),
+                         *_totals_from(F.col("_q")))
+    return step2.select(
         "*",
         F.log1p(F.coalesce(F.col("parsed_value"), F.lit(0.0))).alias("parsed_value_log1p"),
         F.log1p(F.coalesce(F.col("parsed_total_weight_g"), F.lit(0.0))).alias("parsed_weight_log1p"),

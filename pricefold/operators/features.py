@@ -66,9 +66,24 @@ def tfidf_long(docs: DataFrame, id_col: str, text_col: str, max_features: int =
     the ``max_features`` most frequent terms (ties alphabetical) and L2-normalised
     rows.  Shuffles: (id, term) counts, term document frequencies; the
     vocabulary (<= max_features rows) is broadcast."""
+    from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
     n_docs = docs.count()
-    uni = docs.select(id_col, base_tokens(F.col(text_col), stop_words).alias("_toks"))
-    toks = uni.select(id_col, F.explode(with_ngrams(F.col("_toks"), ngram_max)).alias("term"))
+    # JVM tokenizer / stop-word remover / n-gram stages: same rule as
+    # base_tokens + with_ngrams, without interpreted lambdas per token
+    base = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    t = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=WORD_SPLIT, gaps=True, minTokenLength=2,
+                       toLowercase=True).transform(base)
+    if stop_words:
+        t = StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=stop_words, caseSensitive=True).transform(t)
+    else:
+        t = t.withColumnRenamed("_tok", "_uni")
+    grams = [F.col("_uni")]
+    for n in range(2, ngram_max + 1):
+        t = NGram(n=n, inputCol="_uni", outputCol=f"_g{n}").transform(t)
+        grams.append(F.col(f"_g{n}"))
+    # explicit non-null filter: the join would otherwise infer it on one branch
+    # only, and the two (doc, term) exchanges could not be reused as one
+    toks = t.select(id_col, F.explode(F.concat(*grams)).alias("term")).where(F.col("term").isNotNull())
     tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     vocab = stats.orderBy(F.desc("total"), "term").limit(max_features) \

@@ -1,12 +1,13 @@
 """Service-level and promotion gates (SLO-1 .. SLO-5, MET-17, MET-21, MET-23).
 
-Metrics arrive in long form (subject, metric, actual); thresholds are a small
-literal table joined with an explicit broadcast (it has stages x metrics rows).
+Metrics arrive in long form (subject, metric, actual).  They are pivoted to one
+row per subject, and the stage thresholds (fixed values) become column
+expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Stage thresholds of the reference SLO config
@@ -21,25 +22,27 @@ SLO_METRICS = {"accuracy": ("min_accuracy", ">="), "smape": ("max_smape", "<="),
 PROMOTION_MAX_ERROR_RATE = 0.05
 
 
-def threshold_table(spark: SparkSession, thresholds: dict | None = None) -> DataFrame:
-    t = thresholds or SLO_THRESHOLDS
-    rows = [(stage, m, float(v[key]), d) for stage, v in t.items() for m, (key, d) in SLO_METRICS.items()]
-    return spark.createDataFrame(rows, "stage string, metric string, threshold double, direction string")
-
-
-def validate_metrics(metrics: DataFrame, thresholds: DataFrame, required: bool = False) -> DataFrame:
+def validate_metrics(metrics: DataFrame, thresholds: dict | None = None, stages: list[str] | None = None,
+                     required: bool = False) -> DataFrame:
     """SLO-1 (required=False: an absent metric is not checked) and SLO-4/5
     (required=True: an absent metric fails).  ``metrics``: (subject, metric, actual).
+    The metrics are pivoted to one row per subject (a fixed metric list), and
+    each stage's checks are column expressions.  There is no join grid.
     Output: subject, stage, metric, actual, threshold, passed."""
-    subjects = metrics.select("subject").distinct()
-    # every subject is checked against every stage/metric threshold row
-    k = F.lit(0).alias("_k")
-    grid = subjects.select(k, "subject").join(F.broadcast(thresholds.select(k, "*")), "_k").drop("_k")
-    j = grid.join(metrics, ["subject", "metric"], "left")
-    ok = F.when(F.col("direction") == ">=", F.col("actual") >= F.col("threshold")) \
-          .otherwise(F.col("actual") <= F.col("threshold"))
-    passed = F.when(F.col("actual").isNull(), F.lit(not required)).otherwise(ok)
-    return j.select("subject", "stage", "metric", "actual", "threshold", passed.alias("passed"))
+    t = thresholds or SLO_THRESHOLDS
+    stages = stages or list(t)
+    names = list(SLO_METRICS)
+    wide = metrics.groupBy("subject").pivot("metric", names).agg(F.first("actual"))
+    checks = []
+    for stage in stages:
+        for m, (key, direction) in SLO_METRICS.items():
+            lim = float(t[stage][key])
+            a = F.col(m)
+            ok = (a >= lim) if direction == ">=" else (a <= lim)
+            checks.append(F.struct(F.lit(stage).alias("stage"), F.lit(m).alias("metric"), a.alias("actual"),
+                                   F.lit(lim).alias("threshold"),
+                                   F.when(a.isNull(), F.lit(not required)).otherwise(ok).alias("passed")))
+    return wide.select("subject", F.explode(F.array(*checks)).alias("c")).select("subject", "c.*")
 
 
 def gate_summary(checks: DataFrame) -> DataFrame:
