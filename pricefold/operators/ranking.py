@@ -44,6 +44,13 @@ def rank_within(df: DataFrame, order_cols: list[str], group_cols: list[str] | No
     """Add a 0-based position of each row in ``order_cols`` order inside its group.
     Give a total order (add a unique tie-break column) when positions must be
     repeatable; for percentiles ties do not matter."""
+    return _rank_with_counts(df, order_cols, group_cols, rank_col, num_partitions)[0]
+
+
+def _rank_with_counts(df: DataFrame, order_cols: list[str], group_cols: list[str] | None = None,
+                      rank_col: str = "rank", num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rank_within`` plus the row count per group (from the small statistics
+    table of the checkpointed ranks; no second pass over the input)."""
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
     p = _partitions(df, num_partitions)
@@ -67,7 +74,8 @@ def rank_within(df: DataFrame, order_cols: list[str], group_cols: list[str] | No
                   [keyed[c].eqNullSafe(offsets[f"_o_{c}"]) for c in group_cols])
     joined = keyed.join(offsets, cond, "inner")
     out = joined.withColumn(rank_col, F.col("_off") + F.col("_local") - F.col("_first"))
-    return out.drop("_pid", "_local", "_off", "_first", *[f"_o_{c}" for c in ["_pid"] + group_cols])
+    counts = stats.groupBy(*group_cols).agg(F.sum("_n").alias("_cnt"))
+    return out.drop("_pid", "_local", "_off", "_first", *[f"_o_{c}" for c in ["_pid"] + group_cols]), counts
 
 
 def exact_percentiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | None = None,
@@ -77,7 +85,7 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: list[float], group_c
     group_cols = list(group_cols or [])
     vals = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
              .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = vals.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
+    ranked, counts = _rank_with_counts(vals, ["_v"], group_cols, num_partitions=num_partitions)
     probs_arr = F.array(*[F.lit(float(x)) for x in probs])
     need = counts.select(*group_cols, "_cnt", F.explode(probs_arr).alias("prob")) \
                  .withColumn("_pos", (F.col("_cnt") - 1).cast("double") * F.col("prob")) \
@@ -85,11 +93,8 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: list[float], group_c
                  .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_cnt") - 1)) \
                  .withColumn("_frac", F.col("_pos") - F.col("_lo"))
     wanted = need.select(*group_cols, F.explode(F.array("_lo", "_hi")).alias("rank")).distinct()
-    ranked = rank_within(vals, ["_v"], group_cols, num_partitions=num_partitions)
-    hits = join_small(ranked, wanted, on=group_cols + ["rank"], how="left_semi") \
-        if not group_cols else None
-    if hits is None:
-        hits = _semi_null_safe(ranked, wanted, group_cols + ["rank"])
+    # the wanted ranks are at most 2 x probs x groups rows: semi join after a size check
+    hits = _semi_null_safe(ranked, wanted, group_cols + ["rank"])
     hv = hits.select(*group_cols, "rank", "_v")
     lo = hv.select(*[F.col(c).alias(f"_l_{c}") for c in group_cols], F.col("rank").alias("_l_rank"),
                    F.col("_v").alias("_lo_v"))
