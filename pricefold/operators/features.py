@@ -123,12 +123,15 @@ def minmax_scale(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, col: str, out_col: str) -> DataFrame:
-    """FEA-6: null -> "NA", labels numbered in sorted order (0-based).  The label
-    table has one row per distinct label and is joined back."""
+    """FEA-6: null -> "NA", labels numbered in sorted order (0-based).  Codes are
+    ranks of the distinct labels from the range-partitioned rank (no single-task
+    window, however many labels); the code table is broadcast only under a row
+    limit."""
+    from .ranking import join_small, rank_within
     v = F.coalesce(F.col(col).cast("string"), F.lit("NA"))
-    labels = df.select(v.alias("_lbl")).distinct()
-    labels = labels.withColumn(out_col, (F.row_number().over(Window.orderBy("_lbl")) - 1).cast("int"))
-    return df.withColumn("_lbl", v).join(F.broadcast(labels), "_lbl").drop("_lbl")
+    labels = rank_within(df.select(v.alias("_lbl")).distinct(), ["_lbl"], rank_col="_code")
+    labels = labels.select("_lbl", F.col("_code").cast("int").alias(out_col))
+    return join_small(df.withColumn("_lbl", v), labels, ["_lbl"]).drop("_lbl")
 
 
 # ------------------------------------------------------------------- SEL-1/2

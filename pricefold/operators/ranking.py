@@ -51,6 +51,8 @@ def _rank_with_counts(df: DataFrame, order_cols: list[str], group_cols: list[str
                       rank_col: str = "rank", num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``rank_within`` plus the row count per group (from the small statistics
     table of the checkpointed ranks; no second pass over the input)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)  # cluster value if set, else a scratch dir (tests)
     group_cols = list(group_cols or [])
     keys = group_cols + list(order_cols)
     p = _partitions(df, num_partitions)

@@ -18,9 +18,17 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_utc(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """The event, run and latency timestamps are UTC wall-clock values; window
+    starts, watermarks and run ids are computed in a UTC session."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 # Fixed view texts (they run unchanged in Spark SQL and DuckDB).
 CATALOG_SQL = """
 SELECT p_partkey AS sample_id,
