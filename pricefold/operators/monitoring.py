@@ -33,12 +33,12 @@ def latency_summary(events: DataFrame) -> DataFrame:
         F.max(F.when((F.col("metric") == "total") & (F.col("prob") == 0.99), F.col("value"))).alias("p99_total_seconds"),
         F.max(F.when((F.col("metric") == "per_row") & (F.col("prob") == 0.95), F.col("value")))
         .alias("p95_seconds_per_row"))
+    pcols = ["p50_total_seconds", "p95_total_seconds", "p99_total_seconds", "p95_seconds_per_row"]
     runs = events.agg(F.count(F.lit(1)).alias("runs"))
-    # two one-row tables side by side
-    k = F.lit(0).alias("_k")
-    out = runs.select(k, "runs").join(piv.select(k, "*"), "_k", "left").drop("_k")
-    return out.select("runs", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in
-                                ["p50_total_seconds", "p95_total_seconds", "p99_total_seconds", "p95_seconds_per_row"]])
+    # two one-row results stacked and folded into one row (no join)
+    both = runs.select("runs", *[F.lit(None).cast("double").alias(c) for c in pcols]) \
+        .unionByName(piv.select(F.lit(None).cast("long").alias("runs"), *pcols))
+    return both.agg(F.max("runs").alias("runs"), *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in pcols])
 
 
 def service_metrics(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -53,8 +53,11 @@ def service_metrics(requests: DataFrame, by: list[str] | None = None) -> DataFra
                                   for n, p in [("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)]])
     if by:
         return base.join(wide, by, "left")
-    k = F.lit(0).alias("_k")
-    return base.select(k, "*").join(wide.select(k, "*"), "_k", "left").drop("_k")
+    pcols = ["p50_ms", "p95_ms", "p99_ms"]
+    both = base.select(*base.columns, *[F.lit(None).cast("double").alias(c) for c in pcols]) \
+        .unionByName(wide.select(*[F.lit(None).cast(t).alias(c) for c, t in
+                                   [("requests", "long"), ("errors", "long"), ("error_rate", "double")]], *pcols))
+    return both.agg(*[F.max(c).alias(c) for c in base.columns + pcols])
 
 
 def rolling_latency_window(requests: DataFrame, window_rows: int = 5000, by: str = "service") -> DataFrame:
@@ -101,11 +104,9 @@ def evaluate_alerts(drift: DataFrame, latency: DataFrame, rules: dict | None = N
                  F.col("p95_seconds_per_row").alias("value"),
                  F.lit(float(r["latency_p95_seconds_per_row"])).alias("threshold")))).alias("a")).select("a.*")
     alerts = d.unionByName(lat).where(F.col("severity").isNotNull())
-    top = top_drift(drift, int(r["alert_top_drift_features"])) \
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("psi"), F.col("feature")))),
-                                      lambda s: s["feature"]), ",").alias("top_drift_features"))
-    k = F.lit(0).alias("_k")
-    return alerts.select(k, "*").join(top.select(k, "*"), "_k", "left").drop("_k")
+    # at most k feature names reach the driver (TakeOrderedAndProject)
+    top = [row["feature"] for row in top_drift(drift, int(r["alert_top_drift_features"])).select("feature").collect()]
+    return alerts.withColumn("top_drift_features", F.lit(",".join(top)))
 
 
 def retrain_reasons(drift: DataFrame, alerts: DataFrame, latency: DataFrame, runs: DataFrame,
