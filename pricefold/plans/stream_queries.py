@@ -67,7 +67,35 @@ def stream_dq_routes(spark, sf_dir):
     return routed.groupBy("dq_route").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("stream_drift_alerts", "STR-4 STR-5 SNK-2")
+_DRIFT_STREAM_DUCK = """
+WITH ref_l AS (SELECT 'value' AS feature, value AS x FROM drift_ref UNION ALL SELECT 'user_num', user_num FROM drift_ref),
+edges AS (SELECT feature, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e
+          FROM ref_l WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY feature),
+rb AS (SELECT l.feature, len(list_filter(e, lambda v: l.x >= v)) AS bucket FROM ref_l l JOIN edges USING (feature)
+       WHERE x IS NOT NULL),
+rt AS (SELECT feature, count(*) AS t FROM rb GROUP BY feature),
+grid AS (SELECT feature, t, unnest(range(0, 10)) AS bucket FROM rt),
+rs AS (SELECT g.feature, g.bucket, coalesce(c.c, 0) / g.t AS ref_share
+       FROM grid g LEFT JOIN (SELECT feature, bucket, count(*) AS c FROM rb GROUP BY ALL) c USING (feature, bucket)),
+cur_l AS (SELECT time_bucket(INTERVAL '1 day', ts) AS ws, 'value' AS feature, value AS x FROM events
+          WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'
+          UNION ALL SELECT time_bucket(INTERVAL '1 day', ts), 'user_num', CAST(user_id AS DOUBLE) FROM events
+          WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'),
+cb AS (SELECT ws, l.feature, len(list_filter(e, lambda v: l.x >= v)) AS bucket FROM cur_l l JOIN edges USING (feature)
+       WHERE x IS NOT NULL AND NOT isnan(x)),
+snap AS (SELECT ws, feature, bucket, count(*) AS cnt FROM cb GROUP BY ALL),
+tot AS (SELECT ws, feature, sum(cnt) AS tot FROM snap GROUP BY ALL),
+j AS (SELECT t.ws, t.feature, greatest(coalesce(s.cnt, 0) / t.tot, 1e-9) AS c, greatest(rs.ref_share, 1e-9) AS r
+      FROM tot t JOIN rs ON rs.feature = t.feature
+      LEFT JOIN snap s ON s.ws = t.ws AND s.feature = t.feature AND s.bucket = rs.bucket),
+psi AS (SELECT ws, feature, sum((c - r) * ln(c / r)) AS psi FROM j GROUP BY ALL)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, feature, round(psi, 6) AS psi,
+       CASE WHEN psi >= 0.3 THEN 'critical' WHEN psi >= 0.2 THEN 'warning' END AS severity
+FROM psi
+"""
+
+
+@query("stream_drift_alerts", "STR-4 STR-5 SNK-2", oracle=_DRIFT_STREAM_DUCK)
 def stream_drift_alerts(spark, sf_dir):
     feats = ["value", "user_num"]
     ref = S.view(spark, sf_dir, "drift_ref")
