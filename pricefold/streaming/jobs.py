@@ -49,10 +49,21 @@ def _run_to_table(agg: DataFrame, name: str, mode: str = "complete") -> tuple[st
     q = (agg.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    progress = q.lastProgress or {}
+    progress = {"dropped_by_watermark": dropped_rows(q), "batches": len(q.recentProgress)}
     return out_path, progress
 
 
+def dropped_rows(q) -> int:
+    """``numRowsDroppedByWatermark`` of the stateful operators, summed over the
+    run's micro-batches, as Spark reports it.  Spark may filter late rows before
+    the operator, in which case this stays 0 while the rows are still dropped."""
+    total = 0
+    for p in q.recentProgress:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else []:
+            total += int(op.get("numRowsDroppedByWatermark", 0) or 0)
+    return total
+
+
 def event_stream(spark: SparkSession, events: DataFrame, n_files: int = 4) -> DataFrame:
     ev = events.withColumn("ts", F.col("ts").cast("timestamp"))
     path, schema = stage_files(ev, "events", n_files, "ts")
