@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import exact_percentiles, rank_within
+from .ranking import approx_percentiles, exact_percentiles, rank_within
 
 # Fixed values (alert rules and retrain triggers of the reference config)
 ALERT_RULES = {"psi_warn": 0.2, "psi_critical": 0.3, "alert_top_drift_features": 5,
@@ -20,13 +20,13 @@ RETRAIN_TRIGGERS = {"drift_psi_threshold": 0.3, "latency_p95_seconds_threshold":
                     "max_days_since_last_train": 7, "max_critical_drift_features": 0}
 
 
-def latency_summary(events: DataFrame) -> DataFrame:
+def latency_summary(events: DataFrame, exact: bool = True) -> DataFrame:
     """MET-14: runs, p50/p95/p99 of total seconds, p95 of seconds per row;
-    an empty log gives zeros."""
+    an empty log gives zeros.  ``exact=False`` uses the bounded sketch."""
     long = events.select(F.col("total_seconds").cast("double").alias("total"),
                          F.col("seconds_per_row").cast("double").alias("per_row")) \
                  .unpivot([], ["total", "per_row"], "metric", "v")
-    pct = exact_percentiles(long, "v", [0.5, 0.95, 0.99], ["metric"])
+    pct = (exact_percentiles if exact else approx_percentiles)(long, "v", [0.5, 0.95, 0.99], ["metric"])
     piv = pct.agg(
         F.max(F.when((F.col("metric") == "total") & (F.col("prob") == 0.5), F.col("value"))).alias("p50_total_seconds"),
         F.max(F.when((F.col("metric") == "total") & (F.col("prob") == 0.95), F.col("value"))).alias("p95_total_seconds"),
@@ -41,14 +41,14 @@ def latency_summary(events: DataFrame) -> DataFrame:
     return both.agg(F.max("runs").alias("runs"), *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in pcols])
 
 
-def service_metrics(requests: DataFrame, by: list[str] | None = None) -> DataFrame:
+def service_metrics(requests: DataFrame, by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """MET-15: requests, errors, error rate (denominator floored at 1) and
-    latency percentiles (ms) per service."""
+    latency percentiles (ms) per service (``exact=False``: bounded sketch)."""
     by = list(by or [])
     base = requests.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"),
                                      F.count_if(F.col("is_error")).alias("errors"))
     base = base.withColumn("error_rate", F.col("errors") / F.greatest(F.col("requests"), F.lit(1)))
-    pct = exact_percentiles(requests, "latency_ms", [0.5, 0.95, 0.99], by)
+    pct = (exact_percentiles if exact else approx_percentiles)(requests, "latency_ms", [0.5, 0.95, 0.99], by)
     wide = pct.groupBy(*by).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
                                   for n, p in [("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)]])
     if by:

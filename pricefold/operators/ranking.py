@@ -129,3 +129,18 @@ def percentiles_wide(df: DataFrame, value_col: str, probs: dict[str, float],
     if group_cols:
         return long.groupBy(*group_cols).agg(*aggs)
     return long.agg(*aggs)
+
+
+def approx_percentiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | None = None,
+                       accuracy: int = 10000) -> DataFrame:
+    """Same long shape as ``exact_percentiles`` from a mergeable sketch
+    (``percentile_approx``, rank error <= n / accuracy): one partial-aggregate
+    pass and bounded memory per group.  For monitoring where an exact rank is
+    not needed."""
+    group_cols = list(group_cols or [])
+    v = F.col(value_col).cast("double")
+    vals = df.where(v.isNotNull() & ~F.isnan(v))
+    q = F.percentile_approx(v, [float(p) for p in probs], accuracy).alias("_q")
+    agg = vals.groupBy(*group_cols).agg(q) if group_cols else vals.agg(q)
+    pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("value"))
+    return agg.where(F.col("_q").isNotNull()).select(*group_cols, F.inline(pairs))

@@ -53,3 +53,13 @@ def test_kfold_md5_value(spark):
     import hashlib
     exp = int(hashlib.md5(b"1:42").hexdigest()[:8], 16) % 5
     assert SP.kfold(df, "sample_id", 5, 42).first()["fold"] == exp
+
+
+def test_approx_percentiles_close_to_exact(spark):
+    from pricefold.operators.ranking import approx_percentiles
+    pdf, df = _skewed(spark)
+    got = approx_percentiles(df, "v", [0.5, 0.95], ["g"]).toPandas()
+    for (g, p), val in got.set_index(["g", "prob"])["value"].items():
+        vals = pdf.loc[pdf.g == g, "v"].sort_values().values
+        # rank error bound: n / accuracy, here below one rank
+        assert vals[max(0, int(p * len(vals)) - 2)] <= val <= vals[min(len(vals) - 1, int(p * len(vals)) + 2)]
