@@ -199,49 +199,54 @@ def process_catalog(df, text_col: str = "catalog_content", target: str = "price"
 
 
 # ----------------------------------------------------------------------- TXT-10
-def catalog_fields(c: Column) -> Column:
-    """TXT-10: multi-line field extraction (bullets may span lines).  The
-    description is rebuilt as ``initial\\n\\n**title:** content`` sections.
-    Null text gives a null struct."""
-    s = c.cast("string")
+def extract_catalog_fields(df, text_col: str = "catalog_content", out_col: str = "fields"):
+    """TXT-10 as staged projections: every intermediate (text after the item
+    line, raw description, section pairs) is projected once as a column, so
+    the later expressions read it instead of re-running its regexes."""
+    s = F.col(text_col).cast("string")
     item_pat = r"Item Name: (.*?)\n"
-    item = F.when(s.rlike(item_pat), _strip(F.regexp_extract(s, item_pat, 1)))
-    # text after the item line is what the later fields are searched in
-    after_item = F.when(s.rlike(item_pat), F.regexp_replace(s, r"(?s)^.*?Item Name: .*?\n", "")).otherwise(s)
-    bullet_pat = r"(?s)Bullet Point \d+: (.*?)(?=\n(?:Bullet Point \d+:|Product Description:|Value:|Unit:|$))"
-    bullets_raw = F.regexp_extract_all(after_item, F.lit(bullet_pat), 1)
-    bullets = F.when(F.size(bullets_raw) > 0, F.transform(bullets_raw, _strip))
     desc_pat = r"(?s)Product Description: (.*?)(?=\nValue:|\nUnit:|$)"
-    desc_raw = _strip(F.regexp_extract(after_item, desc_pat, 1))
-    has_desc = after_item.rlike(desc_pat)
-    bold_at = F.locate("<b>", desc_raw)
-    initial = F.when(bold_at > 0, _strip(F.substring(desc_raw, F.lit(1), bold_at - 1))) \
-               .otherwise(_strip(F.regexp_replace(desc_raw, SECTION_TAG, "")))
-    sec_text = F.when(bold_at > 0, desc_raw.substr(bold_at, F.length(desc_raw)))
+    bullet_pat = r"(?s)Bullet Point \d+: (.*?)(?=\n(?:Bullet Point \d+:|Product Description:|Value:|Unit:|$))"
     sec_pat = r"(?s)<b>(.*?)</b>(.*?(?=<b>|$))"
-    titles = F.transform(F.regexp_extract_all(sec_text, F.lit(sec_pat), 1),
-                         lambda t: _strip(F.regexp_replace(t, SECTION_TAG, "")))
-    contents = F.transform(F.regexp_extract_all(sec_text, F.lit(sec_pat), 2),
-                           lambda t: _strip(F.regexp_replace(t, SECTION_TAG, "")))
+    cols = list(df.columns)
+    d1 = df.select("*", s.isNotNull().alias("_ok"), s.rlike(item_pat).alias("_has_item"),
+                   _strip(F.regexp_extract(s, item_pat, 1)).alias("_item"),
+                   F.regexp_replace(s, r"(?s)^.*?Item Name: .*?\n", "").alias("_cut"))
+    d2 = d1.select("*", F.when(F.col("_has_item"), F.col("_cut")).otherwise(s).alias("_after"))
+    a = F.col("_after")
+    d3 = d2.select("*", F.regexp_extract_all(a, F.lit(bullet_pat), 1).alias("_b"), a.rlike(desc_pat).alias("_has_desc"),
+                   _strip(F.regexp_extract(a, desc_pat, 1)).alias("_draw"),
+                   F.regexp_replace(a, r"(?s)^.*?Product Description: .*?(?=\nValue:|\nUnit:|$)", "").alias("_rest0"))
+    d = F.col("_draw")
+    d4 = d3.select("*", F.locate("<b>", d).alias("_bold"),
+                   F.when(F.col("_has_desc"), F.col("_rest0")).otherwise(a).alias("_rest"))
+    bold = F.col("_bold")
+    d5 = d4.select("*", F.when(bold > 0, _strip(F.substring(d, F.lit(1), bold - 1)))
+                   .otherwise(_strip(F.regexp_replace(d, SECTION_TAG, ""))).alias("_init"),
+                   F.when(bold > 0, d.substr(bold, F.length(d))).alias("_sec"))
+    sec = F.col("_sec")
+    d6 = d5.select("*", F.zip_with(
+        F.transform(F.regexp_extract_all(sec, F.lit(sec_pat), 1), lambda t: _strip(F.regexp_replace(t, SECTION_TAG, ""))),
+        F.transform(F.regexp_extract_all(sec, F.lit(sec_pat), 2), lambda t: _strip(F.regexp_replace(t, SECTION_TAG, ""))),
+        lambda t, v: F.struct(t.alias("t"), v.alias("v"))).alias("_pairs"))
+    pairs = F.col("_pairs")
+    titles = F.transform(pairs, lambda p: p["t"])
     # dict semantics: a repeated title keeps its first position and its last content
-    pairs = F.zip_with(titles, contents, lambda t, v: F.struct(t.alias("t"), v.alias("v")))
-    idx = F.sequence(F.lit(1), F.size(pairs))
-    dedup = F.filter(F.transform(idx, lambda i: F.struct(
-        F.element_at(pairs, i)["t"].alias("t"),
-        F.element_at(F.filter(pairs, lambda p: p["t"] == F.element_at(pairs, i)["t"]), -1)["v"].alias("v"),
-        (F.array_position(F.transform(pairs, lambda p: p["t"]), F.element_at(pairs, i)["t"]) == i).alias("first"))),
-        lambda x: x["first"])
-    sec_lines = F.transform(dedup, lambda x: F.concat(F.lit("**"), x["t"], F.lit(":** "), x["v"], F.lit("\n\n")))
-    combined = F.concat(F.when(F.length(initial) > 0, F.concat(initial, F.lit("\n\n"))).otherwise(F.lit("")),
-                        F.when(F.size(pairs) > 0, F.array_join(sec_lines, "")).otherwise(F.lit("")))
-    description = F.when(has_desc, _strip(combined))
-    rest = F.when(has_desc, F.regexp_replace(after_item, r"(?s)^.*?Product Description: .*?(?=\nValue:|\nUnit:|$)", "")) \
-            .otherwise(after_item)
-    value = F.when(rest.rlike(r"Value: "), _strip(F.regexp_extract(rest, r"Value: (.*?)(?:\n|$)", 1)))
-    unit = F.when(rest.rlike(r"Unit: "), _strip(F.regexp_extract(rest, r"Unit: (.*?)(?:\n|$)", 1)))
-    return F.when(s.isNotNull(), F.struct(item.alias("item_name"), bullets.alias("bullet_points"),
-                                          description.alias("product_description"),
-                                          value.alias("value"), unit.alias("unit")))
+    dedup = F.filter(F.transform(pairs, lambda p, i: F.struct(
+        p["t"].alias("t"), F.element_at(F.filter(pairs, lambda q: q["t"] == p["t"]), -1)["v"].alias("v"),
+        (F.array_position(titles, p["t"]) == i + 1).alias("first"))), lambda x: x["first"])
+    lines = F.transform(dedup, lambda x: F.concat(F.lit("**"), x["t"], F.lit(":** "), x["v"], F.lit("\n\n")))
+    init = F.col("_init")
+    combined = F.concat(F.when(F.length(init) > 0, F.concat(init, F.lit("\n\n"))).otherwise(F.lit("")),
+                        F.when(F.size(pairs) > 0, F.array_join(lines, "")).otherwise(F.lit("")))
+    rest = F.col("_rest")
+    fields = F.struct(
+        F.when(F.col("_has_item"), F.col("_item")).alias("item_name"),
+        F.when(F.size("_b") > 0, F.transform("_b", _strip)).alias("bullet_points"),
+        F.when(F.col("_has_desc"), _strip(combined)).alias("product_description"),
+        F.when(rest.rlike("Value: "), _strip(F.regexp_extract(rest, r"Value: (.*?)(?:\n|$)", 1))).alias("value"),
+        F.when(rest.rlike("Unit: "), _strip(F.regexp_extract(rest, r"Unit: (.*?)(?:\n|$)", 1))).alias("unit"))
+    return d6.select(*cols, F.when(F.col("_ok"), fields).alias(out_col))
 
 
 # ----------------------------------------------------------------------- TXT-17

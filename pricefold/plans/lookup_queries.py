@@ -132,8 +132,8 @@ def first_rows_by_id(spark, sf_dir):
 def catalog_fields_multiline(spark, sf_dir):
     """Multi-line field extraction; lookahead patterns have no DuckDB twin, so
     tests compare it with a plain-Python rendering of the rule on a fixture."""
-    c = S.catalog(spark, sf_dir)
-    f = T.catalog_fields(F.col("catalog_content"))
+    c = T.extract_catalog_fields(S.catalog(spark, sf_dir).select("sample_id", "catalog_content"))
+    f = F.col("fields")
     return c.select("sample_id", f["item_name"].alias("item_name"),
                     F.array_join(f["bullet_points"], " | ").alias("bullets"),
                     f["product_description"].alias("product_description"),
