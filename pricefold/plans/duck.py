@@ -93,7 +93,7 @@ def parsed_features_select(text_col: str = "catalog_content") -> str:
             f"{bucket_total(qx, 'volume_ml')} AS parsed_total_volume_ml, "
             f"{bucket_total(qx, 'count_units')} AS parsed_total_count_units, "
             f"CAST(len({qx}) AS DOUBLE) AS parsed_quantity_mentions, "
-            f"CASE WHEN len({qx}) > 0 THEN 1.0 ELSE 0.0 END AS parsed_has_quantity")
+            f"CASE WHEN len({qx}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS parsed_has_quantity")
 
 
 def parsed_cte(source: str = "catalog", text_col: str = "catalog_content") -> str:

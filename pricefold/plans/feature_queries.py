@@ -127,10 +127,10 @@ def embedding_vector_ops(spark, sf_dir):
         "vec_id", r6(nrm).alias("l2_norm"),
         r6(F.element_at(FE.l2_normalize(FE.zero_fill(v, 64), 1e-12), 1)).alias("first_normalized"),
         FE.is_zero_vector(v).alias("is_zero"),
-        F.size(FE.concat_vectors(v, F.slice(v, 1, 16))).alias("concat_width"),
+        F.size(FE.concat_vectors(v, F.slice(v, 1, 16))).cast("long").alias("concat_width"),
         r6(F.aggregate(FE.align_width(v, 80), F.lit(0.0), lambda a, x: a + x)).alias("aligned_sum"),
         r6(F.aggregate(FE.slice_vector(v, [2, 5, 10]), F.lit(0.0), lambda a, x: a + x)).alias("sliced_sum"),
-        F.size(F.filter(v, FE.is_finite)).alias("finite_count"))
+        F.size(F.filter(v, FE.is_finite)).cast("long").alias("finite_count"))
 
 
 def _duck_hash_embed(dim: int) -> str:

@@ -117,7 +117,8 @@ def resolved_column_names(spark, sf_dir):
         {"sample_id": "unique_identifier", "catalog_content": "Description", "price": "Price"})
     cat = cat.withColumn("Description_clean_len", F.length(T.text_or_empty(F.col("Description"))))
     want = ["sample_id", "catalog_content_clean_len", "price"]
-    return cat.select(*[F.col(IO.resolve_column_name(cat.columns, w)).alias(w) for w in want])
+    out = cat.select(*[F.col(IO.resolve_column_name(cat.columns, w)).alias(w) for w in want])
+    return out.withColumn("catalog_content_clean_len", F.col("catalog_content_clean_len").cast("long"))
 
 
 @query("first_rows_by_id", "TOP-4", oracle="""

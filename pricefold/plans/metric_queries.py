@@ -164,7 +164,7 @@ def canary_divergence(spark, sf_dir):
 WITH sub AS (SELECT l_orderkey AS sample_id, count(*) AS c FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
 j AS (SELECT e.sample_id AS eid, s.c FROM (SELECT o_orderkey AS sample_id FROM orders) e FULL OUTER JOIN sub s USING (sample_id))
 SELECT count(*) FILTER (WHERE c IS NULL) AS missing_ids,
-       coalesce(sum(c) FILTER (WHERE eid IS NULL), 0) AS extra_rows,
+       CAST(coalesce(sum(c) FILTER (WHERE eid IS NULL), 0) AS BIGINT) AS extra_rows,
        count(*) FILTER (WHERE c > 1) AS duplicated_ids
 FROM j
 """)

@@ -93,7 +93,7 @@ psi AS (SELECT feature, sum((c - r) * ln(c / r)) AS psi FROM j GROUP BY feature)
 prof AS (SELECT 'ref' AS side, feature, avg(x) AS m, stddev_pop(x) AS s FROM ref_l GROUP BY ALL
          UNION ALL SELECT 'cur', feature, avg(x), stddev_pop(x) FROM cur_l GROUP BY ALL),
 drift AS (SELECT psi.feature, psi.psi, pr.m AS ref_mean, pc.m AS cur_mean, pr.s AS ref_std, pc.s AS cur_std,
-                 0.0 AS missing_ref, 0.0 AS missing_cur
+                 0.0::DOUBLE AS missing_ref, 0.0::DOUBLE AS missing_cur
           FROM psi JOIN prof pr ON pr.feature = psi.feature AND pr.side = 'ref'
           JOIN prof pc ON pc.feature = psi.feature AND pc.side = 'cur')
 """
@@ -117,7 +117,7 @@ def numeric_drift(spark, sf_dir):
     d = MON.rank_drift(_drift(spark, sf_dir))
     return d.select("feature", *[r6(F.col(c)).alias(c) for c in
                                  ["psi", "ref_mean", "cur_mean", "ref_std", "cur_std", "missing_ref", "missing_cur"]],
-                    "drift_rank")
+                    F.col("drift_rank").cast("long").alias("drift_rank"))
 
 
 _LAT_DUCK = """

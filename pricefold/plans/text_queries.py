@@ -60,8 +60,9 @@ def catalog_parsed_features(spark, sf_dir):
     dbl = ["parsed_ounces", "parsed_value", "parsed_total_weight_g", "parsed_total_volume_ml",
            "parsed_total_count_units", "parsed_value_log1p", "parsed_weight_log1p",
            "parsed_volume_log1p", "parsed_count_log1p"]
-    return p.select("sample_id", "catalog_content_clean_len", "parsed_unit", "parsed_quantity_mentions",
-                    "parsed_has_quantity", *[r6(F.col(c)).alias(c) for c in dbl])
+    return p.select("sample_id", F.col("catalog_content_clean_len").cast("long").alias("catalog_content_clean_len"),
+                    "parsed_unit", "parsed_quantity_mentions", "parsed_has_quantity",
+                    *[r6(F.col(c)).alias(c) for c in dbl])
 
 
 _ENTRY_DUCK = """
@@ -136,8 +137,8 @@ FROM c GROUP BY unit_clean, base_unit
 """)
 def catalog_unit_mix(spark, sf_dir):
     e = T.parse_catalog_entries(S.catalog(spark, sf_dir))
-    conv = U.convert_to_base(F.col("value"), U.normalize_unit(F.col("unit")))
-    c = e.select(U.normalize_unit(F.col("unit")).alias("unit_clean"), conv.alias("cv"))
+    n = e.select("value", U.normalize_unit(F.col("unit")).alias("unit_clean"))  # normalised once
+    c = n.select("unit_clean", U.convert_to_base(F.col("value"), F.col("unit_clean")).alias("cv"))
     return c.groupBy("unit_clean", F.col("cv.base_unit").alias("base_unit")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         r6(F.sum(F.when(F.isnan("cv.value_converted"), 0.0).otherwise(F.col("cv.value_converted"))))
@@ -162,8 +163,10 @@ FROM c
 def documents_text_stats(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents")
     c = d.select("doc_id", "text", T.embed_clean(F.col("text")).alias("t"))
-    return c.select("doc_id", F.length(T.text_or_empty(F.col("text"))).alias("text_clean_len"),
-                    *T.text_stats(F.col("t"), "doc"), F.md5("t").alias("clean_md5"))
+    out = c.select("doc_id", F.length(T.text_or_empty(F.col("text"))).alias("text_clean_len"),
+                   *T.text_stats(F.col("t"), "doc"), F.md5("t").alias("clean_md5"))
+    return out.select(*[F.col(x).cast("long").alias(x) if x not in ("doc_id", "clean_md5") else F.col(x)
+                        for x in out.columns])
 
 
 @query("pages_tag_strip", "TXT-1", oracle=f"""
@@ -172,7 +175,7 @@ SELECT page_id, length({D.basic_clean('html')}) AS clean_chars, md5({D.basic_cle
 def pages_tag_strip(spark, sf_dir):
     p = S.table(spark, sf_dir, "pages")
     c = p.select("page_id", T.basic_clean(F.col("html")).alias("t"))
-    return c.select("page_id", F.length("t").alias("clean_chars"), F.md5("t").alias("clean_md5"))
+    return c.select("page_id", F.length("t").cast("long").alias("clean_chars"), F.md5("t").alias("clean_md5"))
 
 
 @query("catalog_blank_text", "FLT-1 FLT-2", oracle="""
