@@ -115,5 +115,8 @@ def convert_to_base(value: Column, unit: Column) -> Column:
 
 
 def measure_text(converted: Column) -> Column:
-    """TXT-16: "<value> <base unit>" (Spark's double-to-text form)."""
-    return F.concat_ws(" ", converted["value_converted"].cast("string"), converted["base_unit"])
+    """TXT-16: "<value> <base unit>"; NaN is written ``nan`` as Python's ``str``
+    does (other values use Spark's shortest double-to-text form)."""
+    v = converted["value_converted"]
+    txt = F.when(F.isnan(v), F.lit("nan")).otherwise(v.cast("string"))
+    return F.concat_ws(" ", txt, converted["base_unit"])

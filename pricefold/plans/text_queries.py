@@ -116,19 +116,22 @@ def _duck_convert(v: str, u: str) -> tuple[str, str]:
 _CV, _CB = _duck_convert("value", "unit_clean")
 
 
-@query("catalog_unit_normalised", "TXT-11 TXT-14 TXT-15", oracle=f"""
-WITH {_ENTRY_DUCK}, n AS (SELECT sample_id, value, unit, {_duck_normalize_unit('unit')} AS unit_clean FROM entries)
-SELECT sample_id, unit, unit_clean, round({_CV}, 6) AS value_converted, {_CB} AS base_unit FROM n
+@query("catalog_unit_normalised", "TXT-11 TXT-14 TXT-15 TXT-16", oracle=f"""
+WITH {_ENTRY_DUCK}, n AS (SELECT sample_id, value, unit, {_duck_normalize_unit('unit')} AS unit_clean FROM entries),
+c AS (SELECT sample_id, unit, unit_clean, {_CV} AS v, {_CB} AS base_unit FROM n)
+SELECT sample_id, unit, unit_clean, round(v, 6) AS value_converted, base_unit,
+       (CASE WHEN isnan(v) THEN 'nan' ELSE CAST(v AS VARCHAR) END) || ' ' || base_unit AS measure_text
+FROM c
 """)
 def catalog_unit_normalised(spark, sf_dir):
     e = T.parse_catalog_entries(S.catalog(spark, sf_dir))
     n = e.select("sample_id", "value", "unit", U.normalize_unit(F.col("unit")).alias("unit_clean"))
-    conv = U.convert_to_base(F.col("value"), F.col("unit_clean"))
-    return n.select("sample_id", "unit", "unit_clean", r6(conv["value_converted"]).alias("value_converted"),
-                    conv["base_unit"].alias("base_unit"))
+    c = n.select("sample_id", "unit", "unit_clean", U.convert_to_base(F.col("value"), F.col("unit_clean")).alias("cv"))
+    return c.select("sample_id", "unit", "unit_clean", r6(F.col("cv.value_converted")).alias("value_converted"),
+                    F.col("cv.base_unit").alias("base_unit"), U.measure_text(F.col("cv")).alias("measure_text"))
 
 
-@query("catalog_unit_mix", "TXT-14 TXT-15 TXT-16", oracle=f"""
+@query("catalog_unit_mix", "TXT-14 TXT-15", oracle=f"""
 WITH {_ENTRY_DUCK}, n AS (SELECT sample_id, value, unit, {_duck_normalize_unit('unit')} AS unit_clean FROM entries),
 c AS (SELECT unit_clean, {_CB} AS base_unit, {_CV} AS value_converted FROM n)
 SELECT unit_clean, base_unit, count(*) AS n_rows,
