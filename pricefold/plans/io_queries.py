@@ -100,7 +100,10 @@ def flattened_service_report(spark, sf_dir):
     nested = ev.groupBy(F.col("event_type").alias("service")).agg(
         F.struct(F.count(F.lit(1)).alias("requests"), r6(F.avg("value")).alias("mean_latency_ms")).alias("metrics"),
         F.array_sort(F.collect_set((F.col("user_id") % 3).cast("string"))).alias("tags"))
-    return IO.flatten(nested)
+    path = scratch_dir(spark, "service-report")
+    IO.write_json_report(nested, path)  # SNK-3: nested report as JSON
+    back = spark.read.schema(nested.schema).json(path)
+    return IO.flatten(back)
 
 
 @query("best_fold_by_smape", "MET-21 SLO-3", oracle="""

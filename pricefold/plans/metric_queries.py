@@ -48,7 +48,11 @@ WITH {_DUCK_LONG}
 SELECT model, {_DUCK_METRICS} FROM long GROUP BY model
 """)
 def model_comparison(spark, sf_dir):
-    return _rounded_metrics(M.regression_metrics(_long(spark, sf_dir), "y", "pred", ["model"]), ["model"])
+    from ..session import scratch_dir
+    from ..sources.catalog_io import write_csv
+    report = _rounded_metrics(M.regression_metrics(_long(spark, sf_dir), "y", "pred", ["model"]), ["model"])
+    write_csv(report.orderBy("smape", "model"), scratch_dir(spark, "model-comparison"))  # SNK-5 report file
+    return report
 
 
 _FOLD_SQL = "CAST(CAST(('0x' || substr(md5(CAST(sample_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT) % 5 AS INTEGER)"

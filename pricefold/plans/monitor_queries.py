@@ -46,7 +46,7 @@ def catalog_quality_issues(spark, sf_dir):
     return issues.withColumn("observed", r6(F.col("observed")))
 
 
-@query("catalog_row_routes", "DQ-2 SNK-4", oracle="""
+@query("catalog_row_routes", "DQ-2", oracle="""
 SELECT CASE WHEN TRY_CAST(CAST(price AS VARCHAR) AS DOUBLE) < 1000.0 OR TRY_CAST(CAST(price AS VARCHAR) AS DOUBLE) > 1800.0
             THEN 'reject'
             WHEN sample_id IS NULL OR catalog_content IS NULL OR image_link IS NULL OR price IS NULL OR isnan(price)

@@ -95,7 +95,7 @@ FROM psi
 """
 
 
-@query("stream_drift_alerts", "STR-4 STR-5 SNK-2", oracle=_DRIFT_STREAM_DUCK)
+@query("stream_drift_alerts", "STR-4 STR-5", oracle=_DRIFT_STREAM_DUCK)
 def stream_drift_alerts(spark, sf_dir):
     feats = ["value", "user_num"]
     ref = S.view(spark, sf_dir, "drift_ref")
