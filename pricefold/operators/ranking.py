@@ -31,9 +31,16 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               max_broadcast_rows: int = 2_000_000) -> DataFrame:
+               max_broadcast_rows: int = 2_000_000, materialize: bool = False) -> DataFrame:
     """Join against a derived table that is usually small.  It is broadcast only
-    after its row count is checked; otherwise it is a normal shuffle join."""
+    after its row count is checked; otherwise it is a normal shuffle join.
+    ``materialize=True`` writes the side once to the shared checkpoint dir first,
+    so an expensive side (e.g. an aggregate over a large table) is computed once
+    for both the count and the join."""
+    if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(small.sparkSession)
+        small = small.checkpoint(eager=True)
     n = small.count()
     side = F.broadcast(small) if n <= max_broadcast_rows else small
     return big.join(side, on=on, how=how)

@@ -51,7 +51,7 @@ def external_metadata_merge(spark, sf_dir):
     metadata side is broadcast only when its row count is under the limit."""
     meta = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("sample_id")) \
         .agg(F.count(F.lit(1)).alias("n_sales"), F.sum("l_extendedprice").alias("total_sale"))
-    j = join_small(S.catalog(spark, sf_dir).select("sample_id"), meta, ["sample_id"], "left")
+    j = join_small(S.catalog(spark, sf_dir).select("sample_id"), meta, ["sample_id"], "left", materialize=True)
     return j.select("sample_id", F.coalesce(F.col("n_sales"), F.lit(0)).alias("n_sales"),
                     F.round(F.col("total_sale"), 2).alias("total_sale"))
 
