@@ -101,14 +101,11 @@ def convert_to_base(value: Column, unit: Column) -> Column:
     not a number gives (NaN, unknown); an unlisted unit keeps the value as unknown."""
     v = value.cast("string").try_cast("double")
     u = F.lower(F.regexp_replace(unit.cast("string"), r"^\s+|\s+$", ""))
-    factor = None
-    base = None
-    for name, f, b in BASE_CONVERSIONS:
-        cond = u == F.lit(name)
-        factor = F.when(cond, F.lit(f)) if factor is None else factor.when(cond, F.lit(f))
-        base = F.when(cond, F.lit(b)) if base is None else base.when(cond, F.lit(b))
-    factor = factor.otherwise(F.lit(1.0))
-    base = base.otherwise(F.lit("unknown"))
+    # two constant maps: the unit text is read twice, not once per rule branch
+    factors = F.create_map(*[x for name, f, _ in BASE_CONVERSIONS for x in (F.lit(name), F.lit(f))])
+    bases = F.create_map(*[x for name, _, b in BASE_CONVERSIONS for x in (F.lit(name), F.lit(b))])
+    factor = F.coalesce(F.try_element_at(factors, u), F.lit(1.0))
+    base = F.coalesce(F.try_element_at(bases, u), F.lit("unknown"))
     return F.when(v.isNull(), F.struct(F.lit(float("nan")).alias("value_converted"),
                                        F.lit("unknown").alias("base_unit"))) \
             .otherwise(F.struct((v * factor).alias("value_converted"), base.alias("base_unit")))
