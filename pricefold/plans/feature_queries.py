@@ -147,9 +147,9 @@ WITH c AS (SELECT sample_id, list_filter(string_split_regex({D.embed_clean('cata
 SELECT sample_id, {_duck_hash_embed(4)} FROM c
 """)
 def catalog_hash_embedding(spark, sf_dir):
-    c = S.catalog(spark, sf_dir)
-    emb = FE.token_hash_embedding(T.embed_clean(F.col("catalog_content")), dim=4)
-    out = c.select("sample_id", emb.alias("e"))
+    # clean once as a column; every embedding dimension reads it
+    c = S.catalog(spark, sf_dir).select("sample_id", T.embed_clean(F.col("catalog_content")).alias("t"))
+    out = c.select("sample_id", FE.token_hash_embedding(F.col("t"), dim=4).alias("e"))
     return out.select("sample_id", *[r6(F.col("e")[d]).alias(f"e{d}") for d in range(4)])
 
 
