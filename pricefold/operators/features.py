@@ -9,10 +9,6 @@ reach the driver or a broadcast.
 
 from __future__ import annotations
 
-import functools
-import os
-import zipfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +17,24 @@ from .ranking import exact_percentiles
 WORD_SPLIT = r"[^a-z0-9_]+"  # ASCII word characters; tokens are runs of 2+
 
 
-@functools.lru_cache(maxsize=1)
+# Spark ML's default English stop-word list, in its own order.
+ENGLISH_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself
+it its itself they them their theirs themselves what which who whom this that these those am is are was were be
+been being have has had having do does did doing a an the and but if or because as until while of at by for with
+about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not
+only own same so than too very s t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd
+he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't cannot
+could here's how's let's ought that's there's what's when's where's who's why's would
+""".split()
+
+
 def english_stop_words() -> list[str]:
-    """Spark ML's default English stop-word list, read from the Spark ML jar
-    (the same list ``StopWordsRemover.loadDefaultStopWords('english')`` gives)."""
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for name in sorted(os.listdir(jars)):
-        if name.startswith("spark-mllib_") and name.endswith(".jar"):
-            with zipfile.ZipFile(os.path.join(jars, name)) as z:
-                txt = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-            return [w.strip() for w in txt.splitlines() if w.strip()]
-    raise FileNotFoundError("spark-mllib jar not found")
+    """The list ``StopWordsRemover.loadDefaultStopWords('english')`` gives; a literal, so nothing is
+    read from disk or a session at import."""
+    return list(ENGLISH_STOP_WORDS)
 
 
 def base_tokens(c: Column, stop_words: list[str] | None = None) -> Column:

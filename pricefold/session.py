@@ -7,6 +7,7 @@ submitting environment; only unset values are filled in here.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,14 +45,17 @@ def get_spark(master: str | None = None, app: str = "pricefold",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; create a scratch one only
-    when the session has none (local runs and tests)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``.  A local master (tests, bench) that has
+    none gets a scratch folder; any other master must name one, because executors on other
+    machines could not see a folder made here."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="pricefold-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
