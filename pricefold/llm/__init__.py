@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline; each module holds one operator and its query."""
 
-from . import decontaminate  # noqa: F401
+from . import decontaminate, quality, substring_dedup, suffix_dedup, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
