@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline; each module holds one operator and its query."""
 
-from . import decontaminate, quality, substring_dedup, suffix_dedup, toxicity  # noqa: F401
+from . import (bpe, decontaminate, fingerprint, html_extract, ngram_join, pii, quality, substring_dedup,  # noqa: F401
+               suffix_dedup, toxicity)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

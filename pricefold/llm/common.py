@@ -45,16 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_id, _sub, _text)``; the rank of repeats is only computed where an id does repeat (one pass over ids)."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+    """``(_id, _sub, _text)``, with ``row`` also ``_row``, the whole input row; the rank of repeats is only computed
+    where an id does repeat (one pass over ids)."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
+                       *([F.struct(*docs.columns).alias("_row")] if row else []))
     repeats = base.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if repeats:
         sub = F.row_number().over(Window.partitionBy("_id").orderBy("_text")) - 1
     else:
         sub = F.lit(0)
-    return base.select("_id", sub.cast("int").alias("_sub"), "_text")
+    return base.select("_id", sub.cast("int").alias("_sub"), "_text", *(["_row"] if row else []))
 
 
 def public_id(name: str = "doc_id"):

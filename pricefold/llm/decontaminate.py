@@ -138,54 +138,78 @@ def build_automaton(benchmark: DataFrame, id_col: str = "item_id", text_col: str
 OUT = "_id long, _sub int, n_words long, n_hit long, n_items long, items string, hits array<struct<start:int,end:int>>"
 
 
+class Scanner:
+    """The automaton with its vocabulary as sorted word hashes; one per task."""
+
+    def __init__(self, automaton: ItemAutomaton):
+        self.automaton = automaton
+        vocab = sorted((int(h), c) for h, c in zip(_hashes(list(automaton.words)), automaton.words.values()))
+        self.known = np.array([h for h, _ in vocab], C.U64)
+        self.code_of = np.array([c for _, c in vocab], np.int64)
+
+    def texts(self, column: pa.Array):
+        """(words, hit words, item ids, hit byte spans) of each text."""
+        a = self.automaton
+        data, offs = C.buffer_of(column)
+        start, end, first = C.word_spans(data, offs, C.WORD_FOLDED)
+        hits: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[int]] = {}
+        if len(start) and len(self.known):
+            h = C.ROLL_A.span(C.ROLL_A.prefix(C.BYTE_A[C.LOWER[data]]), start, end)
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            code = np.where(self.known[at] == h, self.code_of[at], -1)
+            for lo, hi in _runs(code, first, a.shortest):
+                doc = int(np.searchsorted(first, lo, side="right")) - 1
+                spans, seen = a.stream(code[lo:hi].tolist())
+                if spans:
+                    hits.setdefault(doc, []).extend((lo + s, lo + e) for s, e in spans)
+                    items.setdefault(doc, set()).update(seen)
+        n_words = np.diff(first).astype(np.int64)
+        n_hit = np.zeros(len(n_words), np.int64)
+        spans_out: list[list[dict]] = [[] for _ in n_words]
+        for doc, spans in hits.items():
+            base = first[doc]
+            s = np.array(spans, np.int64) - base
+            mask = C.cover(int(n_words[doc]), s[:, 0], s[:, 1])
+            n_hit[doc] = mask.sum()
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+            o = offs[doc]
+            spans_out[doc] = [{"start": int(start[base + x] - o), "end": int(end[base + y - 1] - o)}
+                              for x, y in edge.reshape(-1, 2)]
+        return n_words, n_hit, [sorted(a.names[i] for i in items.get(d, ())) for d in range(len(n_words))], spans_out
+
+
 def scan(docs: DataFrame, automaton: ItemAutomaton) -> DataFrame:
     """Per document: word counts, item ids (comma-joined, sorted as strings) and hit byte spans of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches):
-        a = shared.value
-        vocab = sorted((int(h), c) for h, c in zip(_hashes([w for w in a.words]), a.words.values()))
-        known = np.array([h for h, _ in vocab], C.U64)
-        code_of = np.array([c for _, c in vocab], np.int64)
+        scanner = Scanner(shared.value)
         for batch in C.small_batches(batches):
-            data, offs = C.buffer_of(batch.column(batch.schema.get_field_index("_text")))
-            start, end, first = C.word_spans(data, offs, C.WORD_FOLDED)
-            hits: dict[int, list[tuple[int, int]]] = {}
-            items: dict[int, set[int]] = {}
-            if len(start) and len(known):
-                prefix = C.ROLL_A.prefix(C.BYTE_A[C.LOWER[data]])
-                h = C.ROLL_A.span(prefix, start, end)
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                code = np.where(known[at] == h, code_of[at], -1)
-                for lo, hi in _runs(code, first, a.shortest):
-                    doc = int(np.searchsorted(first, lo, side="right")) - 1
-                    spans, seen = a.stream(code[lo:hi].tolist())
-                    if spans:
-                        hits.setdefault(doc, []).extend((lo + s, lo + e) for s, e in spans)
-                        items.setdefault(doc, set()).update(seen)
-            n_words = np.diff(first)
-            n_hit = np.zeros(len(n_words), np.int64)
-            spans_out = [[] for _ in n_words]
-            for doc, spans in hits.items():
-                base = first[doc]
-                s = np.array(spans, np.int64) - base
-                mask = C.cover(int(n_words[doc]), s[:, 0], s[:, 1])
-                n_hit[doc] = mask.sum()
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-                o = offs[doc]
-                spans_out[doc] = [{"start": int(start[base + x] - o), "end": int(end[base + y - 1] - o)}
-                                  for x, y in edge.reshape(-1, 2)]
-            names = [sorted(a.names[i] for i in items.get(d, ())) for d in range(len(n_words))]
+            n_words, n_hit, names, spans = scanner.texts(batch.column(batch.schema.get_field_index("_text")))
             yield pa.RecordBatch.from_arrays([
                 batch.column(batch.schema.get_field_index("_id")), batch.column(batch.schema.get_field_index("_sub")),
-                pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
+                pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
                 pa.array([",".join(x) for x in names], pa.string()),
-                pa.array(spans_out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                 names=["_id", "_sub", "n_words", "n_hit", "n_items", "items", "hits"])
 
     return docs.mapInArrow(run, OUT)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    shared = docs.sparkSession.sparkContext.broadcast(build_automaton(benchmark))
+
+    def run(batches):
+        scanner = Scanner(shared.value)
+        for batch in C.small_batches(batches, text_col):
+            n_words, n_hit, _, _ = scanner.texts(batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array(~((n_hit > 0) & (COVERAGE * n_hit >= n_words))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words]) if words else np.zeros(0, np.int64)

@@ -13,7 +13,7 @@ def spark():
     from pricefold.session import get_spark
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     os.environ["PYTHONPATH"] = root + os.pathsep + os.environ.get("PYTHONPATH", "")
-    return get_spark("local[4]", app="pricefold-llm-tests", shuffle_partitions=4)
+    return get_spark("local[2]", app="pricefold-llm-tests", shuffle_partitions=4)
 
 
 @pytest.fixture(scope="session")
