@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-ROWS = "h long, ctx long, _id long, _sub int, a int, nb int"
+ROWS = "h long, ctx long, _id long, _sub int, a int, nb int, gone boolean"
 
 
 def segments(units_a: np.ndarray, units_b: np.ndarray, first: np.ndarray, window: int, gram: int):
@@ -42,14 +42,24 @@ def segments(units_a: np.ndarray, units_b: np.ndarray, first: np.ndarray, window
     return a, nb, h[p[head]], C.ROLL_B.span(pb_, a, a + nb - 1 + window)
 
 
-def segment_rows(batch: pa.RecordBatch, first: np.ndarray, found) -> pa.RecordBatch:
+def segment_rows(batch: pa.RecordBatch, first: np.ndarray, found, across_documents: bool) -> pa.RecordBatch:
+    """The segments of a batch.  Those that an earlier equal segment of the same batch already covers are marked
+    ``gone``: they need not meet their anchor's other segments, which keeps a very common anchor's group small."""
     a, nb, h, ctx = found
     doc = np.searchsorted(first, a, side="right") - 1
-    ids, subs = C.column(batch, "_id"), C.column(batch, "_sub")
+    ids, subs = C.column(batch, "_id")[doc], C.column(batch, "_sub")[doc]
+    a = (a - first[doc]).astype(np.int32)
+    gone = np.zeros(len(h), bool)
+    if len(h):
+        order = np.lexsort((a, subs, ids, h ^ C.mix(ctx)))
+        new = np.ones(len(h), bool)
+        x, y = order[1:], order[:-1]
+        new[1:] = (h[x] != h[y]) | (ctx[x] != ctx[y])
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        gone[order] = ((ids[order] != ids[head]) | (subs[order] != subs[head])) if across_documents else ~new
     return pa.RecordBatch.from_arrays(
-        [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(ids[doc]), pa.array(subs[doc]),
-         pa.array((a - first[doc]).astype(np.int32)), pa.array(nb.astype(np.int32))],
-        names=["h", "ctx", "_id", "_sub", "a", "nb"])
+        [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(ids), pa.array(subs), pa.array(a),
+         pa.array(nb.astype(np.int32)), pa.array(gone)], names=["h", "ctx", "_id", "_sub", "a", "nb", "gone"])
 
 
 SEEN = "rep boolean, h long, _id long, _sub int, a int, nb int"
@@ -69,6 +79,10 @@ def first_seen(rows: DataFrame, across_documents: bool) -> DataFrame:
     def run(batches):
         carry, held = None, []       # last row's (h, ctx, first id, first sub, later class of its h); undecided rows
         for batch in batches:
+            done = batch.column(batch.schema.get_field_index("gone"))
+            if done.true_count:                      # sorted to the end
+                yield _seen(batch, done.to_numpy(zero_copy_only=False), False)
+                batch = batch.slice(0, batch.num_rows - done.true_count)
             if not batch.num_rows:
                 continue
             h, c, i, s = (C.column(batch, x) for x in ("h", "ctx", "_id", "_sub"))
@@ -103,7 +117,9 @@ def first_seen(rows: DataFrame, across_documents: bool) -> DataFrame:
                 held.append(_seen(batch, open_, True))
             carry = (h[-1], c[-1], first_i[-1], first_s[-1], bool(later[-1]))
 
-    return rows.repartition("h").sortWithinPartitions("h", "ctx", "_id", "_sub", "a").mapInArrow(run, SEEN)
+    # rows that are decided already go anywhere
+    key = F.when(F.col("gone"), F.xxhash64("_id", "_sub", "a")).otherwise(F.col("h"))
+    return rows.repartition(key).sortWithinPartitions("gone", "h", "ctx", "_id", "_sub", "a").mapInArrow(run, SEEN)
 
 
 def _seen(batch: pa.RecordBatch, mask: np.ndarray, rep: bool) -> pa.RecordBatch:
@@ -115,7 +131,7 @@ def _seen(batch: pa.RecordBatch, mask: np.ndarray, rep: bool) -> pa.RecordBatch:
 def with_segments(docs: DataFrame, reps: DataFrame, *keys: str) -> DataFrame:
     """Documents that own representatives, with ``segs`` = their segments (at most as many as the text is long)."""
     owned = reps.groupBy("_id", "_sub").agg(F.collect_list(F.struct(*keys, "a", "nb")).alias("segs"))
-    return docs.join(owned, ["_id", "_sub"])
+    return C.sieved(docs, reps).join(owned, ["_id", "_sub"])
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ which has no ids and decodes to the empty text; repeated documents each get a ro
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from . import common as C
 from .registry import query
 
 ROLL, CUT_BITS = 12, 8            # a cut at one white space in 256: chunks of about 1.5 kB
-CHUNK_BYTES, WORDS = 24 << 20, 300_000
+CHUNK_BYTES, WORDS = 8 << 20, 150_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -62,6 +63,8 @@ class Encoder:
         self.tokenizer = tokenizer
         ids = [tokenizer.encode(x, add_special_tokens=False).ids for x in ("tea for\ntwo", " tea \t for  two ")]
         self.drops_space = ids[0] == ids[1]
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.names = [(tokenizer.id_to_token(i) or "").encode("utf-8") for i in range(size)] if tokenizer.decoder is None else None
         self.chunks: dict[bytes, tuple[np.ndarray, bytes]] = {}
         self.chunk_bytes = 0
         self.joins: dict[tuple[bytes, bytes], bool] = {}
@@ -74,15 +77,20 @@ class Encoder:
         self.shown: list[bytes] = []
 
     def _learn(self, new: list[bytes]):
-        for e, w in zip(self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), new):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-            self.flat[self.used: self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.words[w] = len(self.shown)
-            self.off.append(self.used)
-            self.shown.append(self.tokenizer.decode(ids, skip_special_tokens=False).encode("utf-8"))
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
+        ids = [e.ids for e in encoded]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
+        self.flat[self.used: self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
+        self.words.update(zip(new, range(len(self.shown), len(self.shown) + len(new))))
+        self.off.extend((self.used + np.cumsum(sizes)).tolist())
+        self.used += total
+        if self.names is not None:           # no decoder: a text is its tokens, joined by spaces
+            self.shown.extend(b" ".join(map(self.names.__getitem__, x)) for x in ids)
+        else:
+            self.shown.extend(self.tokenizer.decode(x, skip_special_tokens=False).encode("utf-8") for x in ids)
 
     def chunk_results(self, wanted: list[bytes]) -> None:
         """Fill ``self.chunks`` for all of ``wanted``."""
@@ -91,15 +99,16 @@ class Encoder:
         if len(self.words) > WORDS:
             self._forget_words()
         todo = {c: c.split() for c in dict.fromkeys(wanted) if c not in self.chunks}
-        new = dict.fromkeys(w for words in todo.values() for w in words if w not in self.words)
+        new = set(chain.from_iterable(todo.values())) - self.words.keys()
         if new:
             self._learn(list(new))
         off = np.array(self.off, np.int64)
         for c, words in todo.items():
-            at = np.array([self.words[w] for w in words], np.int64)
-            lo = off[at]
-            ids = self.flat[C.ranges(lo, off[at + 1] - lo)] if len(at) else np.zeros(0, np.int32)
-            self.chunks[c] = (ids, b" ".join([self.shown[i] for i in at.tolist() if self.shown[i]]))
+            at = list(map(self.words.__getitem__, words))
+            where = np.array(at, np.int64)
+            lo = off[where]
+            ids = self.flat[C.ranges(lo, off[where + 1] - lo)] if at else np.zeros(0, np.int32)
+            self.chunks[c] = (ids, b" ".join(filter(None, map(self.shown.__getitem__, at))))
             self.chunk_bytes += len(c) + 4 * len(ids) + len(self.chunks[c][1])
 
     def agree(self, pairs: list[tuple[bytes, bytes]]) -> None:

@@ -64,6 +64,23 @@ def public_id(name: str = "doc_id"):
     return F.when(F.col("_id") != F.lit(NULL_ID), F.col("_id")).alias(name)
 
 
+SIEVE_BITS = 20
+
+
+def sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows that a join with ``wanted`` on (_id, _sub) would drop, so that their texts are
+    not shuffled.  A bitmap of ``2**SIEVE_BITS`` hashed keys (128 kB, whatever the table's size) is gathered and broadcast
+    with the filter; where it fills up it lets more rows pass, never fewer."""
+    place = F.pmod(F.xxhash64("_id", "_sub"), F.lit(1 << SIEVE_BITS))
+    cell, bit = F.shiftright(place, 6).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    rows = wanted.select(cell.alias("c"), bit.alias("b")).select("c", F.expr("shiftleft(1L, b)").alias("w"))
+    cells = dict(rows.groupBy("c").agg(F.bit_or("w")).collect())        # 2**(SIEVE_BITS - 6) rows at most
+    if not cells:
+        return docs.limit(0)
+    words = F.lit([cells.get(i, 0) for i in range(1 << (SIEVE_BITS - 6))]).cast("array<bigint>")
+    return docs.where(F.call_function("bit_get", F.get(words, cell), bit) == 1)
+
+
 # ---------------------------------------------------------------- byte buffers
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

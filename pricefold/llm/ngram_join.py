@@ -130,7 +130,7 @@ def split_paths(docs: DataFrame, crowded: DataFrame) -> DataFrame:
                     [pa.array(child.view(np.int64)), pa.array(C.column(batch, "_id")[d]), pa.array(C.column(batch, "_sub")[d])],
                     names=["path", "_id", "_sub"])
 
-    return docs.join(owned, ["_id", "_sub"]).mapInArrow(run, MEMBER)
+    return C.sieved(docs, crowded).join(owned, ["_id", "_sub"]).mapInArrow(run, MEMBER)
 
 
 def final_buckets(docs: DataFrame, reps: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
@@ -311,7 +311,7 @@ def verify(docs: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -
                 [pa.array(ids[use]), pa.array(subs[use]), pa.array(links[use]), pa.array(ids[root[use]]), pa.array(subs[root[use]])],
                 names=["_id", "_sub", "links", "root_id", "root_sub"])
 
-    return docs.join(owned, ["_id", "_sub"]).mapInArrow(attach, VERIFY) \
+    return C.sieved(docs, groups).join(owned, ["_id", "_sub"]).mapInArrow(attach, VERIFY) \
                .repartition(*_KEYS).sortWithinPartitions(*_KEYS, "_id", "_sub").mapInArrow(compare, FOUND)
 
 
@@ -341,7 +341,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = signed.groupBy("t1", "t2").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_copies"))
     member = C.stored(signed.join(firsts, ["t1", "t2"]).select("_id", "_sub", "rep", "n_copies", (key == F.col("rep")).alias("first")), "members")
     reps = C.stored(signed.join(member.where("first").select("_id", "_sub"), ["_id", "_sub"]).where("n > 0"), "representatives")
-    found = C.stored(verify(rows, block_groups(final_buckets(rows, reps, limit), reps, block=block), similarity), "links")
+    groups = C.stored(block_groups(final_buckets(rows, reps, limit), reps, block=block), "block-groups")
+    found = C.stored(verify(rows, groups, similarity), "links")
     links = found.groupBy("_id", "_sub").agg(F.sum("links").alias("n_links")).select(key.alias("rep"), "n_links")
     roots = components(found.select(key.alias("u"), F.struct(F.col("root_id").alias("_id"), F.col("root_sub").alias("_sub")).alias("v")))
     roots = roots.select(F.col("u").alias("rep"), "root")

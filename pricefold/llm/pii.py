@@ -14,7 +14,7 @@ values never meet, and equal values give equal pseudonyms in every document:
 * check digits (Luhn, IBAN) are computed anew; the first digit of a card, an IBAN's country, a phone's country code and
   an address's host stay.
 
-One regular expression finds all kinds in one pass over a text; a text without any candidate is passed through.
+One regular expression finds all kinds; it only reads lines that hold a digit or an @ (no value spans lines).
 
 Defined results: a null text stays null and has no findings; an empty text stays empty; repeated rows get equal results;
 all rows and columns of the input are kept.
@@ -47,6 +47,11 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body (or a lambda in it) reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _chars(s: Column) -> Column:
     return F.split(s, "")
 
@@ -75,33 +80,35 @@ def permute_marks(value: Column, key: str, kind: str, high: Column | None = None
     """Feistel over the marks of ``value``; ``high`` is an array of places (from 0) that hold 2-9.
 
     The state carries each mark's own place, so that a place's class never changes while the halves swap."""
-    marks = F.transform(_chars(value), lambda c, i: F.struct(
-        c.alias("c"), (F.array_contains(high, i) if high is not None else F.lit(False)).alias("g")))
-    half = F.floor(F.size(marks) / 2).cast("int")
-    start = F.struct(F.slice(marks, F.lit(1), half).alias("a"), F.slice(marks, half + 1, F.size(marks) - half).alias("b"))
+    def all_rounds(marks):
+        size = F.size(marks)
+        half = F.floor(size / 2).cast("int")
+        start = F.struct(F.slice(marks, F.lit(1), half).alias("a"), F.slice(marks, half + 1, size - half).alias("b"))
 
-    def one_round(acc, k):
-        a, b = acc["a"], acc["b"]
-        stream = _stream(key, F.concat(F.lit(kind), k.cast("string"), F.lit("/"), F.size(marks).cast("string")),
-                         F.array_join(F.transform(b, lambda m: m["c"]), ""))
-        moved = F.transform(a, lambda m, i: F.struct(_shift(m["c"], _byte(stream, i), m["g"]).alias("c"), m["g"].alias("g")))
-        return F.struct(b.alias("a"), moved.alias("b"))
+        def one_round(acc, k):
+            label = F.concat(F.lit(kind), k.cast("string"), F.lit("/"), size.cast("string"))
+            told = _stream(key, label, F.array_join(F.transform(acc["b"], lambda m: m["c"]), ""))
+            moved = _let(told, lambda stream: F.transform(acc["a"], lambda m, i: F.struct(
+                _shift(m["c"], _byte(stream, i), m["g"]).alias("c"), m["g"].alias("g"))))
+            return F.struct(acc["b"].alias("a"), moved.alias("b"))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
-    return F.array_join(F.transform(F.concat(done["a"], done["b"]), lambda m: m["c"]), "")
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
+        return _let(done, lambda d: F.array_join(F.transform(F.concat(d["a"], d["b"]), lambda m: m["c"]), ""))
 
+    return _let(F.transform(_chars(value), lambda c, i: F.struct(
+        c.alias("c"), (F.array_contains(high, i) if high is not None else F.lit(False)).alias("g"))), all_rounds)
 
-def permute_number(u: Column, v: Column, a: int, b: int, key: str, kind: str) -> tuple[Column, Column]:
-    """Feistel on Z_a x Z_b: rounds add to u what v says and to v what u says."""
+
+def permute_number(u: Column, v: Column, a: int, b: int, key: str, kind: str) -> Column:
+    """Feistel on Z_a x Z_b: rounds add to u what v says and to v what u says; a struct (u, v)."""
     def draw(k, other, size):
         return F.conv(F.substring(_stream(key, F.concat(F.lit(kind), k.cast("string")), other.cast("string")), 1, 12), 16, 10).cast("long") % size
 
     def one_round(acc, k):
-        nu = (acc["u"] + draw(k, acc["v"], a)) % a
-        return F.struct(nu.alias("u"), ((acc["v"] + draw(k + 100, nu, b)) % b).alias("v"))
+        return _let((acc["u"] + draw(k, acc["v"], a)) % a,
+                    lambda nu: F.struct(nu.alias("u"), ((acc["v"] + draw(k + 100, nu, b)) % b).alias("v")))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), F.struct(u.cast("long").alias("u"), v.cast("long").alias("v")), one_round)
-    return done["u"], done["v"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), F.struct(u.cast("long").alias("u"), v.cast("long").alias("v")), one_round)
 
 
 # ---------------------------------------------------------------- kinds
@@ -132,49 +139,54 @@ def _mod97(v: Column) -> Column:
 def _pour(shape: Column, marks: Column, keep: str) -> Column:
     """Put ``marks`` one by one where ``shape`` has marks that match ``keep``; the others stay."""
     parts = F.transform(_chars(shape), lambda c: F.struct(c.alias("c"), c.rlike(keep).cast("int").alias("k")))
-    def add(acc, p):
-        taken = acc["n"] + p["k"]
-        return F.struct(F.concat(acc["s"], F.when(p["k"] == 1, F.substring(marks, taken, F.lit(1))).otherwise(p["c"])).alias("s"), taken.alias("n"))
-    return F.aggregate(parts, F.struct(F.lit("").alias("s"), F.lit(0).alias("n")), add)["s"]
+
+    def fill(new):
+        def add(acc, p):
+            taken = acc["n"] + p["k"]
+            return F.struct(F.concat(acc["s"], F.when(p["k"] == 1, F.substring(new, taken, F.lit(1))).otherwise(p["c"])).alias("s"), taken.alias("n"))
+        return F.aggregate(parts, F.struct(F.lit("").alias("s"), F.lit(0).alias("n")), add)["s"]
+
+    return _let(marks, fill)
 
 
 def card(v: Column, key: str) -> tuple[Column, Column]:
     d = _digits(v)
-    body = F.concat(F.substring(d, 1, 1), permute_marks(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
-    new = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
-    return (_luhn(d) == 0) & ~d.rlike(r"^(\d)\1*$"), _pour(v, new, "[0-9]")
+    new = _let(F.concat(F.substring(d, 1, 1), permute_marks(F.substring(d, F.lit(2), F.length(d) - 2), key, "card")),
+               lambda body: F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")))
+    return (_let(d, _luhn) == 0) & ~d.rlike(r"^(\d)\1*$"), _pour(v, new, "[0-9]")
 
 
 def iban(v: Column, key: str) -> tuple[Column, Column]:
     d = F.regexp_replace(v, " ", "")
-    body = permute_marks(F.substring(d, F.lit(5), F.length(d)), key, "iban")
     country = F.substring(d, 1, 2)
-    check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
-    return (_mod97(d) == 1) & F.length(d).between(15, 34), _pour(v, F.concat(country, check, body), "[0-9A-Z]")
+    new = _let(permute_marks(F.substring(d, F.lit(5), F.length(d)), key, "iban"), lambda body: F.concat(
+        country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0"), body))
+    return (_mod97(d) == 1) & F.length(d).between(15, 34), _pour(v, new, "[0-9A-Z]")
 
 
 def phone(v: Column, key: str) -> tuple[Column, Column]:
-    d = F.substring(_digits(v), -10, 10)
-    new = permute_marks(d, key, "phone", F.array(F.lit(0), F.lit(3)))
-    full = F.concat(F.substring(_digits(v), F.lit(1), F.length(_digits(v)) - 10), new)
-    return F.lit(True), _pour(v, full, "[0-9]")
+    d = _digits(v)
+    new = permute_marks(F.substring(d, -10, 10), key, "phone", F.array(F.lit(0), F.lit(3)))
+    return F.lit(True), _pour(v, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new), "[0-9]")
 
 
 def ssn(v: Column, key: str) -> tuple[Column, Column]:
     area, group, serial = (F.split(v, "-")[i].cast("int") for i in range(3))
     ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = F.when(area > 666, area - 2).otherwise(area - 1)
-    x, y = permute_number(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
-    a = F.floor(x / 99)
-    a = F.when(a >= 665, a + 2).otherwise(a + 1)
-    return ok, F.format_string("%03d-%02d-%04d", a.cast("int"), (x % 99 + 1).cast("int"), (y + 1).cast("int"))
+
+    def text(z):
+        a = F.floor(z["u"] / 99)
+        return F.format_string("%03d-%02d-%04d", F.when(a >= 665, a + 2).otherwise(a + 1).cast("int"), (z["u"] % 99 + 1).cast("int"),
+                               (z["v"] + 1).cast("int"))
+    return ok, _let(permute_number(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn"), text)
 
 
 def ip(v: Column, key: str) -> tuple[Column, Column]:
     o = [F.split(v, r"\.")[i].cast("int") for i in range(4)]
-    x, y = permute_number(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
     ok = (o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256) & ~v.rlike(r"(^|\.)0\d")
-    return ok, F.concat_ws(".", *[c.cast("string") for z in (x, y) for c in (F.floor(z / 256), z % 256)])
+    z = permute_number(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ip")
+    return ok, _let(z, lambda z: F.concat_ws(".", *[c.cast("string") for h in ("u", "v") for c in (F.floor(z[h] / 256), z[h] % 256)]))
 
 
 CYCLE_A, CYCLE_B = 339, 431      # 339 * 431 = 146,097 days in 400 years
@@ -189,12 +201,15 @@ def date(v: Column, key: str) -> tuple[Column, Column]:
     day = F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     base = F.to_date(F.lit("1800-01-01"))
     at = F.datediff(day, base)
-    x, z = permute_number(F.floor(at / CYCLE_B), at % CYCLE_B, CYCLE_A, CYCLE_B, key, "date")
-    new = F.date_add(base, (x * CYCLE_B + z).cast("int"))
+    z = permute_number(F.floor(at / CYCLE_B), at % CYCLE_B, CYCLE_A, CYCLE_B, key, "date")
     wide = ~v.rlike(r"(^|[./])\d[./]")                     # day and month written with two digits
-    text = lambda two, one: F.when(wide, F.date_format(new, two)).otherwise(F.date_format(new, one))
+
+    def text(new):
+        form = lambda two, one: F.when(wide, F.date_format(new, two)).otherwise(F.date_format(new, one))     # noqa: E731
+        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(us, form("MM/dd/yyyy", "M/d/yyyy")).otherwise(form("dd.MM.yyyy", "d.M.yyyy"))
+
     return (day.isNotNull() & at.between(0, CYCLE_A * CYCLE_B - 1),
-            F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(us, text("MM/dd/yyyy", "M/d/yyyy")).otherwise(text("dd.MM.yyyy", "d.M.yyyy")))
+            _let(_let(z, lambda z: F.date_add(base, (z["u"] * CYCLE_B + z["v"]).cast("int"))), text))
 
 
 def email(v: Column, key: str) -> tuple[Column, Column]:
@@ -209,7 +224,6 @@ MAKERS = {"email": email, "iban": iban, "phone": phone, "ssn": ssn, "date": date
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, found_col: str = "pii_found") -> DataFrame:
     """``docs`` with the text's personal values replaced, and ``found_col`` = array of (kind, value, pseudonym)."""
     text = F.col(text_col)
-    values = F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
     def replaced(v):
         out = F.struct(F.lit("").alias("kind"), v.alias("value"), v.alias("pseudonym"))
@@ -220,17 +234,27 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, found_
             out = F.when(v.rlike(f"^(?:{PATTERNS[kind]})$"), F.when(ok, hit).otherwise(none)).otherwise(out)
         return out
 
-    inner = "__pii_values"
-    while inner in docs.columns:
-        inner += "_"
-    df = docs.withColumn(inner, values)
-    df = df.withColumn(inner, F.transform(inner, replaced))
-    rest = F.split(text, ANY, -1)
-    # text = rest[0] value[0] rest[1] value[1] ... rest[n]
-    woven = F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(F.col(inner), i)["pseudonym"], F.lit("")))), "")
-    changed = F.when(F.size(inner) > 0, woven).otherwise(text)
-    found = F.coalesce(F.filter(inner, lambda x: x["kind"] != ""), F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>"))
-    return df.withColumn(text_col, changed).withColumn(found_col, found).drop(inner)
+    lines = "__pii_lines"
+    while lines in docs.columns:
+        lines += "_"
+    # no value spans lines, and each needs a digit or an @: only lines with one meet the expression, the others pass
+    hot = lambda x: x.rlike("[0-9@]")                                                           # noqa: E731
+    kind = "array<struct<kind:string,value:string,pseudonym:string>>"
+    none = F.array().cast(kind)
+
+    def read(line):
+        values = F.when(hot(line), F.regexp_extract_all(line, F.lit(ANY), F.lit(0)))
+        return F.struct(line.alias("line"), F.coalesce(F.transform(values, replaced), none).alias("values"))
+
+    def written(x):
+        # line = rest[0] value[0] rest[1] value[1] ... rest[n]
+        woven = F.transform(F.split(x["line"], ANY, -1), lambda r, i: F.concat(r, F.coalesce(F.get(x["values"], i)["pseudonym"], F.lit(""))))
+        return F.when(F.size(x["values"]) == 0, x["line"]).otherwise(F.array_join(woven, ""))
+
+    df = docs.withColumn(lines, F.when(hot(text), F.transform(F.split(text, "\n", -1), read)))
+    found = F.filter(F.flatten(F.transform(lines, lambda x: x["values"])), lambda v: v["kind"] != "")
+    changed = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.transform(lines, written), "\n"))
+    return df.withColumn(text_col, changed).withColumn(found_col, F.coalesce(found, none)).drop(lines)
 
 
 @query("op9_pii")

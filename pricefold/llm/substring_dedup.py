@@ -43,7 +43,7 @@ def paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     def run(batches):
         for batch in C.small_batches(batches):
             *_, first, ua, ub = _units(batch)
-            yield A.segment_rows(batch, first, A.segments(ua, ub, first, window, gram))
+            yield A.segment_rows(batch, first, A.segments(ua, ub, first, window, gram), across_documents=True)
 
     return docs.mapInArrow(run, A.ROWS)
 

@@ -243,7 +243,8 @@ def byte_segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     def run(batches):
         for batch in C.small_batches(batches):
             data, offs = C.buffer_of(batch.column(batch.schema.get_field_index("_text")))
-            yield A.segment_rows(batch, offs, A.segments(C.BYTE_A[data], C.BYTE_B[data], offs, window, gram))
+            yield A.segment_rows(batch, offs, A.segments(C.BYTE_A[data], C.BYTE_B[data], offs, window, gram),
+                                 across_documents=False)
 
     return docs.mapInArrow(run, A.ROWS)
 

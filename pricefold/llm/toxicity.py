@@ -31,10 +31,10 @@ from .registry import query
 
 TRAIN_BOUND = {0: 6000, 1: 3000}
 TABLE_BOUND = 50_000
-LEAST_DOCS, STRONG = 4, 2.5
+LEAST_DOCS, STRONG, CAUTION = 4, 1.5, 1.3
 CUTS = [None, 4, 5, 6, -4]          # whole word, word starts and a word end, in bytes
 N_FEATURES = len(CUTS) + 2
-TRAIN_LINES, TRAIN_WORDS = 4000, 64
+TRAIN_LINES, TRAIN_WORDS = 4000, 64     # lines (about) and words of a line that the chain is fitted on
 
 
 def words(data: np.ndarray, offs: np.ndarray):
@@ -214,8 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = ToxicityModel(sizes.get(1, (0, 0))[0] / total if total else 0.5)
     if len(sizes) < 2 or not all(m for _, m in sizes.values()):
         return model
-    odds = (F.log((F.col("toxic") + 0.5) / (sizes[1][1] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[0][1] + 1.0)))
-    table = (_evidence(sample).withColumn("w", odds).where(F.col("toxic") >= LEAST_DOCS).where("w > 1")
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    # log odds less their own uncertainty, so that a few chance occurrences in a small sample weigh little
+    odds = F.log(t / (sizes[1][1] + 1.0)) - F.log(c / (sizes[0][1] + 1.0)) - CAUTION * F.sqrt(1 / t + 1 / c)
+    table = (_evidence(sample).withColumn("w", odds).where(F.col("toxic") >= LEAST_DOCS).where("w > 0.5")
              .orderBy(F.desc("toxic"), "h").limit(TABLE_BOUND).collect())
     keys = np.array([r.h for r in table], np.int64).view(C.U64)
     order = np.argsort(keys)
@@ -247,8 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                  pa.array([tag[a:a + n].tobytes() for a, n in zip(at.tolist(), size.tolist())], pa.binary())],
                 names=["r", "x", "y"])
 
-    got = sample.where("fold <> 1").mapInArrow(lines, "r long, x binary, y binary") \
-                .orderBy("r", "x").limit(TRAIN_LINES).collect()
+    found = C.stored(sample.where("fold <> 1").mapInArrow(lines, "r long, x binary, y binary"), "toxicity-lines")
+    share = min(1.0, TRAIN_LINES / max(1, found.count()))
+    got = sorted(found.where(F.pmod("r", F.lit(1_000_000)) < int(1_000_000 * share)).collect())
     if not got:
         return model
     size = np.array([len(r.y) for r in got], np.int64)
