@@ -1,4 +1,4 @@
-"""Catalog text operators as Spark column expressions (TXT-1 .. TXT-13, TXT-17, TXT-18).
+"""Catalog text operators as Spark column expressions (TXT-1 .. TXT-13, TXT-17).
 
 All functions take and return ``Column`` objects built from JVM-side built-ins
 (``regexp_*``, higher-order array functions), so they stay inside whole-stage
@@ -35,7 +35,19 @@ BASIC_KEEP = r"[^0-9a-zA-Z\.\,\-\s\%\/]"
 V2_KEEP = r"[^a-z0-9\s\.\-\/%]"
 TAG = r"<[^>]*>"
 SECTION_TAG = r"<[pb/]*>"
-TFIDF_TOKEN = r"\b\w\w+\b"
+# catalog entry, one line per field ((?d): only \n ends a line, as in Python)
+ENTRY_ITEM = r"(?d)Item Name:\s*(.+)"
+ENTRY_BULLET = r"(?d)Bullet Point\s*\d+:\s*(.+)"
+ENTRY_DESCRIPTION = r"(?d)Product Description:\s*(.+)"
+ENTRY_VALUE = r"Value:\s*([\d\.]+)"
+ENTRY_UNIT = r"Unit:\s*([A-Za-z]+)"
+# catalog entry, fields over several lines
+FIELD_ITEM = r"(?d)Item Name: (.*?)\n"
+FIELD_BULLET = r"(?sd)Bullet Point \d+: (.*?)(?=\n(?:Bullet Point \d+:|Product Description:|Value:|Unit:|$))"
+FIELD_DESCRIPTION = r"(?sd)Product Description: (.*?)(?=\nValue:|\nUnit:|$)"
+FIELD_SECTION = r"(?sd)<b>(.*?)</b>(.*?(?=<b>|$))"
+FIELD_VALUE = r"(?d)Value: (.*?)(?:\n|$)"
+FIELD_UNIT = r"(?d)Unit: (.*?)(?:\n|$)"
 
 
 def _strip(c: Column) -> Column:
@@ -163,7 +175,7 @@ def _first_line_field(c: Column, pattern: str) -> Column:
 
 def _entry_value(c: Column) -> Column:
     """Numeric ``Value`` field; text such as ``1.2.3`` gives null instead of an error."""
-    txt = F.regexp_extract(c, r"Value:\s*([\d\.]+)", 1)
+    txt = F.regexp_extract(c, ENTRY_VALUE, 1)
     return F.when(txt == "", F.lit(None).cast("double")).otherwise(txt.try_cast("double"))
 
 
@@ -174,12 +186,12 @@ def parse_catalog_entries(df, column_name: str = "catalog_content"):
     is_text = s.isNotNull()
     return df.select(
         "*",
-        F.when(is_text, _first_line_field(s, r"Item Name:\s*(.+)")).alias("item_name"),
-        F.when(is_text, F.regexp_extract_all(s, F.lit(r"Bullet Point\s*\d+:\s*(.+)"), 1))
+        F.when(is_text, _first_line_field(s, ENTRY_ITEM)).alias("item_name"),
+        F.when(is_text, F.regexp_extract_all(s, F.lit(ENTRY_BULLET), 1))
          .otherwise(F.array().cast("array<string>")).alias("bullet_points"),
-        F.when(is_text, _first_line_field(s, r"Product Description:\s*(.+)")).alias("product_description"),
+        F.when(is_text, _first_line_field(s, ENTRY_DESCRIPTION)).alias("product_description"),
         F.when(is_text, _entry_value(s)).alias("value"),
-        F.when(is_text, _first_line_field(s, r"Unit:\s*([A-Za-z]+)")).alias("unit"))
+        F.when(is_text, _first_line_field(s, ENTRY_UNIT)).alias("unit"))
 
 
 def join_bullets(c: Column) -> Column:
@@ -200,23 +212,28 @@ def process_catalog(df, text_col: str = "catalog_content", target: str = "price"
 
 # ----------------------------------------------------------------------- TXT-10
 def extract_catalog_fields(df, text_col: str = "catalog_content", out_col: str = "fields"):
-    """TXT-10 as staged projections: every intermediate (text after the item
-    line, raw description, section pairs) is projected once as a column, so
-    the later expressions read it instead of re-running its regexes."""
+    """TXT-10 as staged projections: every intermediate (text after the item line, text without its bullets, raw
+    description, section pairs) is projected once as a column, so the later expressions read it instead of re-running
+    its regexes."""
     s = F.col(text_col).cast("string")
-    item_pat = r"Item Name: (.*?)\n"
-    desc_pat = r"(?s)Product Description: (.*?)(?=\nValue:|\nUnit:|$)"
-    bullet_pat = r"(?s)Bullet Point \d+: (.*?)(?=\n(?:Bullet Point \d+:|Product Description:|Value:|Unit:|$))"
-    sec_pat = r"(?s)<b>(.*?)</b>(.*?(?=<b>|$))"
     cols = list(df.columns)
-    d1 = df.select("*", s.isNotNull().alias("_ok"), s.rlike(item_pat).alias("_has_item"),
-                   _strip(F.regexp_extract(s, item_pat, 1)).alias("_item"),
-                   F.regexp_replace(s, r"(?s)^.*?Item Name: .*?\n", "").alias("_cut"))
-    d2 = d1.select("*", F.when(F.col("_has_item"), F.col("_cut")).otherwise(s).alias("_after"))
+    d1 = df.select("*", s.isNotNull().alias("_ok"), s.rlike(FIELD_ITEM).alias("_has_item"),
+                   _strip(F.regexp_extract(s, FIELD_ITEM, 1)).alias("_item"),
+                   F.regexp_replace(s, r"(?sd)^.*?Item Name: [^\n]*?\n", "").alias("_cut"))
+    d2 = d1.select("*", F.when(F.col("_has_item"), F.col("_cut")).otherwise(s).alias("_after0"))
+    d2 = d2.select("*", F.regexp_extract_all("_after0", F.lit(FIELD_BULLET), 1).alias("_b"))
+
+    def cut(text, bullet):
+        # a bullet is taken out once, under the number of the first bullet with the same text
+        head = F.concat(F.lit("Bullet Point "), F.array_position("_b", bullet).cast("string"), F.lit(": "), bullet)
+        at = F.instr(text, head)
+        return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + F.length(head), F.length(text)))) \
+                .otherwise(text)
+
+    d2 = d2.select("*", F.aggregate("_b", F.col("_after0"), cut).alias("_after"))
     a = F.col("_after")
-    d3 = d2.select("*", F.regexp_extract_all(a, F.lit(bullet_pat), 1).alias("_b"), a.rlike(desc_pat).alias("_has_desc"),
-                   _strip(F.regexp_extract(a, desc_pat, 1)).alias("_draw"),
-                   F.regexp_replace(a, r"(?s)^.*?Product Description: .*?(?=\nValue:|\nUnit:|$)", "").alias("_rest0"))
+    d3 = d2.select("*", a.rlike(FIELD_DESCRIPTION).alias("_has_desc"), _strip(F.regexp_extract(a, FIELD_DESCRIPTION, 1)).alias("_draw"),
+                   F.regexp_replace(a, r"(?sd)^.*?Product Description: .*?(?=\nValue:|\nUnit:|$)", "").alias("_rest0"))
     d = F.col("_draw")
     d4 = d3.select("*", F.locate("<b>", d).alias("_bold"),
                    F.when(F.col("_has_desc"), F.col("_rest0")).otherwise(a).alias("_rest"))
@@ -226,8 +243,8 @@ def extract_catalog_fields(df, text_col: str = "catalog_content", out_col: str =
                    F.when(bold > 0, d.substr(bold, F.length(d))).alias("_sec"))
     sec = F.col("_sec")
     d6 = d5.select("*", F.zip_with(
-        F.transform(F.regexp_extract_all(sec, F.lit(sec_pat), 1), lambda t: _strip(F.regexp_replace(t, SECTION_TAG, ""))),
-        F.transform(F.regexp_extract_all(sec, F.lit(sec_pat), 2), lambda t: _strip(F.regexp_replace(t, SECTION_TAG, ""))),
+        F.transform(F.regexp_extract_all(sec, F.lit(FIELD_SECTION), 1), lambda t: _strip(F.regexp_replace(t, SECTION_TAG, ""))),
+        F.transform(F.regexp_extract_all(sec, F.lit(FIELD_SECTION), 2), lambda t: _strip(F.regexp_replace(t, SECTION_TAG, ""))),
         lambda t, v: F.struct(t.alias("t"), v.alias("v"))).alias("_pairs"))
     pairs = F.col("_pairs")
     titles = F.transform(pairs, lambda p: p["t"])
@@ -244,8 +261,8 @@ def extract_catalog_fields(df, text_col: str = "catalog_content", out_col: str =
         F.when(F.col("_has_item"), F.col("_item")).alias("item_name"),
         F.when(F.size("_b") > 0, F.transform("_b", _strip)).alias("bullet_points"),
         F.when(F.col("_has_desc"), _strip(combined)).alias("product_description"),
-        F.when(rest.rlike("Value: "), _strip(F.regexp_extract(rest, r"Value: (.*?)(?:\n|$)", 1))).alias("value"),
-        F.when(rest.rlike("Unit: "), _strip(F.regexp_extract(rest, r"Unit: (.*?)(?:\n|$)", 1))).alias("unit"))
+        F.when(rest.rlike("Value: "), _strip(F.regexp_extract(rest, FIELD_VALUE, 1))).alias("value"),
+        F.when(rest.rlike("Unit: "), _strip(F.regexp_extract(rest, FIELD_UNIT, 1))).alias("unit"))
     return d6.select(*cols, F.when(F.col("_ok"), fields).alias(out_col))
 
 
@@ -258,18 +275,3 @@ def char_drop(c: Column, key: Column, p: float, seed: int = 42) -> Column:
         F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8),
                16, 10).cast("double") / F.lit(4294967296.0)) >= F.lit(p))
     return F.array_join(kept, "")
-
-
-# ----------------------------------------------------------------------- TXT-18
-def tfidf_tokens(c: Column, stop_words: list[str] | None = None, ngram_max: int = 2) -> Column:
-    """TXT-18: lower-cased ``\\b\\w\\w+\\b`` tokens, stop words removed, then 1..n grams."""
-    toks = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(TFIDF_TOKEN), 0)
-    if stop_words:
-        stop = F.array(*[F.lit(w) for w in stop_words])
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
-    grams = toks
-    for n in range(2, ngram_max + 1):
-        ng = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)),
-                         lambda i, n=n: F.array_join(F.slice(toks, i, F.lit(n)), " "))
-        grams = F.concat(grams, F.when(F.size(toks) >= n, ng).otherwise(F.array().cast("array<string>")))
-    return grams

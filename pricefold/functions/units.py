@@ -111,9 +111,18 @@ def convert_to_base(value: Column, unit: Column) -> Column:
             .otherwise(F.struct((v * factor).alias("value_converted"), base.alias("base_unit")))
 
 
+def number_text(v: Column) -> Column:
+    """A double as Python's ``str`` writes it: shortest digits, plain from 1e-4 up to 1e16, else ``1e+16``, ``5e-05``."""
+    s, size = v.cast("string"), F.abs(v)
+    plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    mantissa = F.regexp_replace(F.regexp_extract(s, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    power = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
+    exponent = F.concat(mantissa, F.lit("e"), F.when(power < 0, "-").otherwise("+"),
+                        F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    return (F.when(F.isnan(v), "nan").when(size == float("inf"), F.when(v > 0, "inf").otherwise("-inf"))
+            .when(~s.contains("E"), s).when((size >= 1e-4) & (size < 1e16), plain).otherwise(exponent))
+
+
 def measure_text(converted: Column) -> Column:
-    """TXT-16: "<value> <base unit>"; NaN is written ``nan`` as Python's ``str``
-    does (other values use Spark's shortest double-to-text form)."""
-    v = converted["value_converted"]
-    txt = F.when(F.isnan(v), F.lit("nan")).otherwise(v.cast("string"))
-    return F.concat_ws(" ", txt, converted["base_unit"])
+    """TXT-16: "<value> <base unit>"."""
+    return F.concat_ws(" ", number_text(converted["value_converted"]), converted["base_unit"])

@@ -2,8 +2,8 @@
 
 Plan: both tables are unpivoted to (feature, x), so all features share one
 job.  Reference quantile edges come from the distributed exact percentile
-(``ranking.exact_percentiles``).  The edges table has one row per feature and
-is broadcast after a size check.  Then ONE aggregate per side gives per-bucket
+(``ranking.exact_percentiles``).  The edges table has one row per feature; AQE
+broadcasts it from its measured size.  Then ONE aggregate per side gives per-bucket
 count / mean / variance, and PSI and the profiles are merged from those small
 tables (at most features x (bins + 1) rows).
 """
@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quality import is_missing
-from .ranking import exact_percentiles, join_small
+from .ranking import exact_percentiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -45,49 +44,13 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
               .where(F.col("x").isNotNull() & ~F.isnan("x")))
 
 
-def profile(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
-    """MET-12: mean, population std (non-missing values) and missing rate."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "x")
-    ok = F.col("x").isNotNull() & ~F.isnan("x")
-    return long.groupBy("feature").agg(
-        F.avg(F.when(ok, F.col("x"))).alias(f"{prefix}_mean"),
-        F.stddev_pop(F.when(ok, F.col("x"))).alias(f"{prefix}_std"),
-        F.avg((~ok).cast("double")).alias(f"missing_{prefix}"),
-        F.count_if(ok).alias(f"{prefix}_n"))
-
-
-def psi(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int = 10, eps: float = 1e-9) -> DataFrame:
-    """DRF-1 for many features: (feature, psi).  Edges = reference quantiles with
-    open ends; buckets are [a, b); shares floored at eps, not renormalised."""
-    ref_l, cur_l = _long(ref, cols), _long(cur, cols)
-    probs = [i / bins for i in range(1, bins)]
-    edges = (exact_percentiles(ref_l, "x", probs, ["feature"])
-             .groupBy("feature")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("prob", "value"))), lambda s: s["value"])
-                  .alias("edges")))
-
-    def counts(long: DataFrame, name: str) -> DataFrame:
-        b = join_small(long, edges, ["feature"])  # one row per feature
-        b = b.withColumn("bucket", F.size(F.filter("edges", lambda e: F.col("x") >= e)))
-        c = b.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias(f"{name}_cnt"))
-        return c
-
-    rc, cc = counts(ref_l, "ref"), counts(cur_l, "cur")
-    tot_r = ref_l.groupBy("feature").agg(F.count(F.lit(1)).alias("ref_tot"))
-    tot_c = cur_l.groupBy("feature").agg(F.count(F.lit(1)).alias("cur_tot"))
-    j = rc.join(cc, ["feature", "bucket"], "full_outer").join(tot_r, "feature").join(tot_c, "feature")
-    r = F.greatest(F.coalesce(F.col("ref_cnt"), F.lit(0)) / F.greatest(F.col("ref_tot"), F.lit(1)), F.lit(eps))
-    c = F.greatest(F.coalesce(F.col("cur_cnt"), F.lit(0)) / F.greatest(F.col("cur_tot"), F.lit(1)), F.lit(eps))
-    return j.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
-
-
 def _bucket_stats(df: DataFrame, cols: list[str], edges: DataFrame) -> DataFrame:
     """One pass over one side: per (feature, bucket) the row count, mean and
     population variance of the non-missing values (bucket is null for missing
     values).  Everything drift needs is merged from this small table."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "x")
     ok = F.col("x").isNotNull() & ~F.isnan("x")
-    b = join_small(long, edges, ["feature"]) \
+    b = long.join(edges, "feature") \
         .withColumn("bucket", F.when(ok, F.size(F.filter("edges", lambda e: F.col("x") >= e)))) \
         .withColumn("xv", F.when(ok, F.col("x")))
     return b.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("xv").alias("m"),
@@ -150,7 +113,3 @@ def baseline_drift(cur: DataFrame, baseline: dict[str, float], stats: dict, thre
     # one row per statistic, so the empty window is tiny
     score = F.max("pct_change").over(Window.partitionBy())
     return out.withColumn("drift_score", score).withColumn("alarm", score > threshold)
-
-
-def missing_rate(df: DataFrame, col: str):
-    return F.avg(is_missing(df, col).cast("double"))

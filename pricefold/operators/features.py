@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import exact_percentiles
+from .ranking import exact_percentiles, rank_within
 
 WORD_SPLIT = r"[^a-z0-9_]+"  # ASCII word characters; tokens are runs of 2+
 
@@ -37,31 +37,6 @@ def english_stop_words() -> list[str]:
     return list(ENGLISH_STOP_WORDS)
 
 
-def base_tokens(c: Column, stop_words: list[str] | None = None) -> Column:
-    """TXT-18 unigrams: lower case, runs of two or more ASCII word characters,
-    stop words removed."""
-    toks = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), WORD_SPLIT), lambda t: F.length(t) >= 2)
-    if stop_words:
-        stop = F.array(*[F.lit(w) for w in stop_words])
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
-    return toks
-
-
-def with_ngrams(toks: Column, ngram_max: int = 2) -> Column:
-    """1..ngram_max grams of a token-array COLUMN (pass a column reference: the
-    array is read once per gram, so an inlined expression would be recomputed)."""
-    grams = toks
-    for n in range(2, ngram_max + 1):
-        # n-gram i = tok[i] .. tok[i+n-1]: zip the array with its shifted copies;
-        # zip_with pads the shorter side with null and concat(null) is null
-        g = toks
-        for k in range(1, n):
-            g = F.zip_with(g, F.slice(toks, k + 1, F.greatest(F.size(toks), F.lit(1))),
-                           lambda a, b: F.concat(a, F.lit(" "), b))
-        grams = F.concat(grams, F.filter(g, lambda x: x.isNotNull()))
-    return grams
-
-
 def tfidf_long(docs: DataFrame, id_col: str, text_col: str, max_features: int = 500,
                stop_words: list[str] | None = None, ngram_max: int = 2) -> DataFrame:
     """FEA-1: (id, term, weight) with sklearn's smooth idf ln((1+n)/(1+df)) + 1,
@@ -70,8 +45,7 @@ def tfidf_long(docs: DataFrame, id_col: str, text_col: str, max_features: int =
     vocabulary (<= max_features rows) is broadcast."""
     from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
     n_docs = docs.count()
-    # JVM tokenizer / stop-word remover / n-gram stages: same rule as
-    # base_tokens + with_ngrams, without interpreted lambdas per token
+    # JVM tokenizer / stop-word remover / n-gram stages, without interpreted lambdas per token
     base = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     t = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=WORD_SPLIT, gaps=True, minTokenLength=2,
                        toLowercase=True).transform(base)
@@ -124,16 +98,20 @@ def minmax_scale(df: DataFrame, cols: list[str], keep: list[str]) -> DataFrame:
     return df.select(*out)
 
 
-def label_encode(df: DataFrame, col: str, out_col: str) -> DataFrame:
-    """FEA-6: null -> "NA", labels numbered in sorted order (0-based).  Codes are
-    ranks of the distinct labels from the range-partitioned rank (no single-task
-    window, however many labels); the code table is broadcast only under a row
-    limit."""
-    from .ranking import join_small, rank_within
+def fit_labels(df: DataFrame, col: str) -> DataFrame:
+    """FEA-6 fit: (label, code); null counts as "NA", labels numbered in sorted order from 0 (ranked over many
+    partitions, however many labels there are)."""
     v = F.coalesce(F.col(col).cast("string"), F.lit("NA"))
-    labels = rank_within(df.select(v.alias("_lbl")).distinct(), ["_lbl"], rank_col="_code")
-    labels = labels.select("_lbl", F.col("_code").cast("int").alias(out_col))
-    return join_small(df.withColumn("_lbl", v), labels, ["_lbl"]).drop("_lbl")
+    return rank_within(df.select(v.alias("label")).distinct(), ["label"], rank_col="code") \
+        .select("label", F.col("code").cast("int").alias("code"))
+
+
+def apply_labels(df: DataFrame, codes: DataFrame, col: str, out_col: str) -> DataFrame:
+    """FEA-6 transform: a label that the fit has not seen is an error, raised when the row is computed."""
+    v = F.coalesce(F.col(col).cast("string"), F.lit("NA"))
+    j = df.withColumn("_lbl", v).join(codes.select(F.col("label").alias("_lbl"), F.col("code").alias(out_col)), "_lbl", "left")
+    unseen = F.raise_error(F.concat(F.lit("unseen label: "), F.col("_lbl"))).cast("int")
+    return j.withColumn(out_col, F.when(F.col(out_col).isNull(), unseen).otherwise(F.col(out_col))).drop("_lbl")
 
 
 # ------------------------------------------------------------------- SEL-1/2
@@ -150,13 +128,11 @@ def f_regression_scores(long: DataFrame) -> DataFrame:
     return st.withColumn("f_score", F.pow("r", 2) / (1.0 - F.pow("r", 2)) * (F.col("n") - 2))
 
 
-def select_top_k(scores: DataFrame, score_col: str, k: int, min_features: int = 1) -> list[int]:
-    """k_eff = max(min_features, min(k, n_features)); returns the chosen indices
-    sorted.  Only (index, score) pairs reach the driver."""
-    rows = scores.select("idx", score_col).collect()
-    k_eff = max(min_features, min(k, len(rows)))
-    best = sorted(rows, key=lambda r: (-(r[score_col] if r[score_col] is not None else float("-inf")), r["idx"]))
-    return sorted(r["idx"] for r in best[:k_eff])
+def select_top_k(scores: DataFrame, score_col: str, k: int, n_features: int, min_features: int = 1) -> list[int]:
+    """k_eff = max(min_features, min(k, n_features)); the chosen indices in order.  At most k_eff pairs reach the
+    driver (a top-k report)."""
+    k_eff = max(min_features, min(k, n_features))
+    return sorted(r["idx"] for r in scores.orderBy(F.desc_nulls_last(score_col), "idx").limit(k_eff).select("idx").collect())
 
 
 def binned_mutual_info(long: DataFrame, bins: int = 10) -> DataFrame:
@@ -233,21 +209,24 @@ def token_hash_embedding(c: Column, dim: int = 16, seed: int = 0) -> Column:
     toks = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
 
     def comp(t, d):
-        h = F.conv(F.substring(F.md5(F.concat_ws(":", t, F.lit(str(d)), F.lit(str(seed)))), 1, 8), 16, 10)
+        h = F.conv(F.substring(F.md5(F.concat_ws(":", t, d.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)
         return h.cast("double") / 4294967296.0 * 2.0 - 1.0
 
-    def total(d):
-        return F.aggregate(toks, F.lit(0.0), lambda a, t: a + comp(t, d))
-
-    n = F.size(toks)
-    return F.array(*[F.when(n == 0, F.lit(0.0)).otherwise(total(d) / n) for d in range(dim)])
+    # one fold over the tokens adds one vector per token
+    dims = F.sequence(F.lit(0), F.lit(dim - 1))
+    total = F.aggregate(toks, F.array_repeat(F.lit(0.0), dim),
+                        lambda acc, t: F.zip_with(acc, dims, lambda a, d: a + comp(t, d)))
+    n = F.greatest(F.size(toks), F.lit(1))
+    return F.transform(total, lambda x: x / n)
 
 
-def content_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
+def content_fingerprint(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """HSH-1 (re-aimed, order-free): row count plus the sum and xor of per-row
     64-bit hashes of the rounded values; equal tables give equal fingerprints
-    in any partitioning."""
-    parts = [F.coalesce(F.round(F.col(c), 6).cast("string") if dict(df.dtypes)[c] in ("double", "float")
+    in any partitioning.  A fractional value enters as the whole number of ``10**-digits`` it rounds to, so
+    its text form plays no part."""
+    kinds = dict(df.dtypes)
+    parts = [F.coalesce(F.round(F.col(c) * 10 ** digits).cast("long").cast("string") if kinds[c] in ("double", "float")
                         else F.col(c).cast("string"), F.lit("")) for c in cols]
     h = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
     # summed as decimal: a long sum of 60-bit hashes would overflow (ANSI error)

@@ -41,33 +41,56 @@ def latency_summary(events: DataFrame, exact: bool = True) -> DataFrame:
     return both.agg(F.max("runs").alias("runs"), *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in pcols])
 
 
+SERVICE_COUNTS = {
+    "requests": lambda: F.count(F.lit(1)), "errors": lambda: F.count_if(F.col("is_error")),
+    "predict_rows": lambda: F.coalesce(F.sum("rows_scored"), F.lit(0)),
+    "image_fallback": lambda: F.coalesce(F.sum("image_fallback_rows"), F.lit(0)),
+    "text_fallback": lambda: F.coalesce(F.sum("text_fallback_rows"), F.lit(0)),
+    "dq_passed": lambda: F.count_if(F.col("dq_policy") == "allow"), "dq_total": lambda: F.count("dq_policy"),
+}
+
+
+def service_counts() -> list:
+    """Mergeable counters of MET-15, for batch and stream aggregates."""
+    return [make().alias(name) for name, make in SERVICE_COUNTS.items()]
+
+
+def with_rates(counts: DataFrame) -> DataFrame:
+    """MET-15 rates; every denominator is 1 at least."""
+    rate = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))                              # noqa: E731
+    return (counts.withColumn("error_rate", rate("errors", "requests"))
+            .withColumn("image_fallback_rate", rate("image_fallback", "predict_rows"))
+            .withColumn("text_fallback_rate", rate("text_fallback", "predict_rows"))
+            .withColumn("dq_pass_rate", rate("dq_passed", "dq_total")))
+
+
 def service_metrics(requests: DataFrame, by: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """MET-15: requests, errors, error rate (denominator floored at 1) and
-    latency percentiles (ms) per service (``exact=False``: bounded sketch)."""
+    """MET-15: counters, error, fallback and data-quality pass rates and latency percentiles (ms) per service
+    (``exact=False``: bounded sketch)."""
     by = list(by or [])
-    base = requests.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"),
-                                     F.count_if(F.col("is_error")).alias("errors"))
-    base = base.withColumn("error_rate", F.col("errors") / F.greatest(F.col("requests"), F.lit(1)))
+    base = with_rates(requests.groupBy(*by).agg(*service_counts()))
     pct = (exact_percentiles if exact else approx_percentiles)(requests, "latency_ms", [0.5, 0.95, 0.99], by)
-    wide = pct.groupBy(*by).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
-                                  for n, p in [("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)]])
+    names = [("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)]
+    wide = pct.groupBy(*by).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in names])
     if by:
         return base.join(wide, by, "left")
-    pcols = ["p50_ms", "p95_ms", "p99_ms"]
-    both = base.select(*base.columns, *[F.lit(None).cast("double").alias(c) for c in pcols]) \
-        .unionByName(wide.select(*[F.lit(None).cast(t).alias(c) for c, t in
-                                   [("requests", "long"), ("errors", "long"), ("error_rate", "double")]], *pcols))
-    return both.agg(*[F.max(c).alias(c) for c in base.columns + pcols])
+    both = base.unionByName(wide, allowMissingColumns=True)      # two one-row tables folded into one
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def rolling_latency_window(requests: DataFrame, window_rows: int = 5000, by: str = "service") -> DataFrame:
-    """WIN-1: percentiles over each service's most recent ``window_rows``
-    requests (the service's bounded latency buffer, as of the end of the log).
-    Recency ranks come from the range-partitioned rank, not a per-service window."""
-    r = rank_within(requests.withColumn("_neg_ts", -F.unix_micros(F.col("ts")))
-                    .withColumn("_neg_id", -F.col("event_id")), ["_neg_ts", "_neg_id"], [by], rank_col="_recent")
-    recent = r.where(F.col("_recent") < window_rows)
-    pct = exact_percentiles(recent, "latency_ms", [0.5, 0.95, 0.99], [by])
+    """WIN-1: percentiles over each service's most recent ``window_rows`` requests (the service's bounded latency
+    buffer, as of the end of the log).  A sketch of the times gives each service a cut that keeps little more than
+    the window; only those rows are ranked by recency."""
+    r = requests.withColumn("_at", F.unix_micros(F.col("ts")))
+    grid = [1 - 2.0 ** -k for k in range(1, 13)] + [0.0]
+    cuts = r.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_at", grid, 10_000).alias("q"))
+    # the latest grid point that surely leaves window_rows newer requests (sketch error: n / 10,000 ranks); null: all rows
+    cut = F.greatest(*[F.when((1 - p - 2e-4) * F.col("n") >= window_rows, F.col("q")[i]) for i, p in enumerate(grid)])
+    newer = r.join(cuts.select(by, cut.alias("_cut")), by).where(F.col("_cut").isNull() | (F.col("_at") >= F.col("_cut")))
+    ranked = rank_within(newer.select(by, "latency_ms", (-F.col("_at")).alias("_neg_ts"), (-F.col("event_id")).alias("_neg_id")),
+                         ["_neg_ts", "_neg_id"], [by], rank_col="_recent")
+    pct = exact_percentiles(ranked.where(F.col("_recent") < window_rows), "latency_ms", [0.5, 0.95, 0.99], [by])
     return pct.groupBy(by).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
                                  for n, p in [("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)]],
                                F.lit(window_rows).alias("window_rows"))
@@ -86,8 +109,8 @@ def top_drift(drift: DataFrame, k: int = 20) -> DataFrame:
 
 def evaluate_alerts(drift: DataFrame, latency: DataFrame, rules: dict | None = None) -> DataFrame:
     """ALR-1: drift alerts per feature, latency alerts from the summary, each
-    carrying the top-k drift feature names.  Output: severity, alert_type,
-    subject, value, threshold, top_drift_features."""
+    carrying the top-k drift features with their PSI.  Output: severity, alert_type,
+    subject, value, threshold, top_drift_features (array of (feature, psi))."""
     r = dict(ALERT_RULES, **(rules or {}))
     d = drift.select(
         F.when(F.col("psi") >= r["psi_critical"], "critical").when(F.col("psi") >= r["psi_warn"], "warning")
@@ -104,9 +127,25 @@ def evaluate_alerts(drift: DataFrame, latency: DataFrame, rules: dict | None = N
                  F.col("p95_seconds_per_row").alias("value"),
                  F.lit(float(r["latency_p95_seconds_per_row"])).alias("threshold")))).alias("a")).select("a.*")
     alerts = d.unionByName(lat).where(F.col("severity").isNotNull())
-    # at most k feature names reach the driver (TakeOrderedAndProject)
-    top = [row["feature"] for row in top_drift(drift, int(r["alert_top_drift_features"])).select("feature").collect()]
-    return alerts.withColumn("top_drift_features", F.lit(",".join(top)))
+    # at most k pairs reach the driver (TakeOrderedAndProject)
+    top = top_drift(drift, int(r["alert_top_drift_features"])).select("feature", "psi").collect()
+    pairs = [F.struct(F.lit(t["feature"]).alias("feature"), F.lit(t["psi"]).alias("psi")) for t in top]
+    return alerts.withColumn("top_drift_features", F.array(*pairs).cast("array<struct<feature:string,psi:double>>"))
+
+
+def monitoring_report(drift: DataFrame, latency: DataFrame, alerts: DataFrame, counts: dict[str, int],
+                      top: int = 20) -> DataFrame:
+    """ALR-2: one nested row: ``drift_top`` (the ``top`` features by PSI), ``latency_summary``, ``alerts``, ``counts``.
+    Every input is a small derived table (a row per feature or rule)."""
+    ranked = rank_drift(drift).where(F.col("drift_rank") <= top)
+    parts = [ranked.agg(F.array_sort(F.collect_list(F.struct("drift_rank", "feature", "psi", "ref_mean", "cur_mean"))).alias("drift_top")),
+             latency.select(F.struct(*latency.columns).alias("latency_summary")),
+             alerts.agg(F.array_sort(F.collect_list(F.struct("alert_type", "subject", "severity", "value", "threshold"))).alias("alerts"))]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    one = rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("drift_top", "latency_summary", "alerts")])
+    return one.withColumn("counts", F.struct(*[F.lit(n).cast("long").alias(k) for k, n in counts.items()]))
 
 
 def retrain_reasons(drift: DataFrame, alerts: DataFrame, latency: DataFrame, runs: DataFrame,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BOUNDS = {"price": (0.0, 1_000_000.0)}
+DEFAULT_BOUNDS = {"price": (0.0, 1_000_000.0), "Price": (0.0, 1_000_000.0)}
 DEFAULT_REJECT_ON = ("missing_columns", "out_of_bounds")
 
 
@@ -29,6 +29,13 @@ def out_of_bounds(col: str, lo: float, hi: float) -> Column:
     return v.isNotNull() & ((v < lo) | (v > hi))
 
 
+def needs_fallback(df: DataFrame, col: str) -> Column:
+    """FLT-2: rows whose text or image is absent or blank; without the column, every row."""
+    if col not in df.columns:
+        return F.lit(True)
+    return F.col(col).isNull() | (F.trim(F.col(col).cast("string")) == "")
+
+
 def null_rates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """MET-11: long (column_name, null_rate), one pass."""
     cols = cols or df.columns

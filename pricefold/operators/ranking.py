@@ -1,13 +1,13 @@
 """Exact ranks and percentiles without pulling a group into one task.
 
-``rank_within`` range-partitions on (group, order) keys, so one hot group is
-spread over many partitions.  Each row's position is its index inside its
-sorted partition (fixed by one checkpointed evaluation) plus the row count of
-the earlier partitions holding the same group.  That offset table has at most (partitions + groups) rows.  Nothing is
-collected, and no window spans a whole group.
-
-``exact_percentiles`` reads the two ranks around ``(n-1)*p`` and interpolates
-linearly (numpy ``linear``, Spark ``percentile``, DuckDB ``quantile_cont``).
+``exact_percentiles`` brackets each wanted rank with a mergeable sketch (``percentile_approx``), then counts in
+one aggregate how many values lie below each bracket and how often each value inside one occurs.  Equal values
+collapse to one counted row before the shuffle, so neither a hot group nor a hot value reaches a single task, and
+nothing is sorted or written.  Ranks are resolved on the bracket rows only, and interpolated linearly (numpy
+``linear``, Spark ``percentile``, DuckDB ``quantile_cont``).
+
+``rank_within`` numbers the rows of each group: it range-partitions on (group, order) keys, so a hot group is
+spread over many partitions as long as the order keys differ (give a total order; equal keys stay together).
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id << 33 | row index
+_SKETCH = 10_000                       # percentile_approx: rank error of n / _SKETCH at most
+_SMALL, _MIDDLE = 1_000, 1_000_000     # below: all values are the bracket; below: wide brackets
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -26,26 +28,6 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               max_broadcast_rows: int = 2_000_000, materialize: bool = False) -> DataFrame:
-    """Join against a derived table that is usually small.  It is broadcast only
-    after its row count is checked; otherwise it is a normal shuffle join.
-    ``materialize=True`` writes the side once to the shared checkpoint dir first,
-    so an expensive side (e.g. an aggregate over a large table) is computed once
-    for both the count and the join."""
-    if materialize:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(small.sparkSession)
-        small = small.checkpoint(eager=True)
-    n = small.count()
-    side = F.broadcast(small) if n <= max_broadcast_rows else small
-    return big.join(side, on=on, how=how)
-
-
 def rank_within(df: DataFrame, order_cols: list[str], group_cols: list[str] | None = None,
                 rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based position of each row in ``order_cols`` order inside its group.
@@ -87,44 +69,49 @@ def _rank_with_counts(df: DataFrame, order_cols: list[str], group_cols: list[str
     return out.drop("_pid", "_local", "_off", "_first", *[f"_o_{c}" for c in ["_pid"] + group_cols]), counts
 
 
-def exact_percentiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | None = None,
-                      num_partitions: int | None = None) -> DataFrame:
-    """Long result: (group..., prob, value).  Nulls and NaN are skipped;
-    groups with no values are absent."""
+def _clip(p: float) -> float:
+    return min(1.0, max(0.0, p))
+
+
+def exact_percentiles(df: DataFrame, value_col: str, probs: list[float], group_cols: list[str] | None = None) -> DataFrame:
+    """Long result: (group..., prob, value).  Nulls and NaN are skipped; groups with no values are absent."""
     group_cols = list(group_cols or [])
-    vals = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
-             .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked, counts = _rank_with_counts(vals, ["_v"], group_cols, num_partitions=num_partitions)
-    probs_arr = F.array(*[F.lit(float(x)) for x in probs])
-    need = counts.select(*group_cols, "_cnt", F.explode(probs_arr).alias("prob")) \
-                 .withColumn("_pos", (F.col("_cnt") - 1).cast("double") * F.col("prob")) \
-                 .withColumn("_lo", F.floor("_pos").cast("long")) \
-                 .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_cnt") - 1)) \
-                 .withColumn("_frac", F.col("_pos") - F.col("_lo"))
-    wanted = need.select(*group_cols, F.explode(F.array("_lo", "_hi")).alias("rank")).distinct()
-    # the wanted ranks are at most 2 x probs x groups rows: semi join after a size check
-    hits = _semi_null_safe(ranked, wanted, group_cols + ["rank"])
-    hv = hits.select(*group_cols, "rank", "_v")
-    lo = hv.select(*[F.col(c).alias(f"_l_{c}") for c in group_cols], F.col("rank").alias("_l_rank"),
-                   F.col("_v").alias("_lo_v"))
-    hi = hv.select(*[F.col(c).alias(f"_h_{c}") for c in group_cols], F.col("rank").alias("_h_rank"),
-                   F.col("_v").alias("_hi_v"))
-    c1 = reduce(lambda a, b: a & b, [need["_lo"] == lo["_l_rank"]] +
-                [need[c].eqNullSafe(lo[f"_l_{c}"]) for c in group_cols])
-    t = need.join(lo, c1, "inner")
-    c2 = reduce(lambda a, b: a & b, [t["_hi"] == hi["_h_rank"]] +
-                [t[c].eqNullSafe(hi[f"_h_{c}"]) for c in group_cols])
-    t = t.join(hi, c2, "inner")
-    value = F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * F.col("_frac")
-    return t.select(*group_cols, "prob", value.alias("value"))
-
-
-def _semi_null_safe(big: DataFrame, small: DataFrame, cols: list[str]) -> DataFrame:
-    n = small.count()
-    s = small.select(*[F.col(c).alias(f"_s_{c}") for c in cols])
-    s = F.broadcast(s) if n <= 2_000_000 else s
-    cond = reduce(lambda a, b: a & b, [big[c].eqNullSafe(s[f"_s_{c}"]) for c in cols])
-    return big.join(s, cond, "left_semi")
+    probs = sorted({float(p) for p in probs})
+    vals = df.select(F.struct(*[F.col(c) for c in group_cols], F.lit(0).alias("_all")).alias("_g"),
+                     F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    near, wide = 2.0 / _SKETCH + 2.0 / _MIDDLE, 2.0 / _SKETCH + 2.0 / _SMALL
+    grid = [_clip(p + s) for p in probs for s in (-wide, wide, -near, near)]
+    stats = vals.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"),
+                                   F.percentile_approx("_v", grid, _SKETCH).alias("q"))
+
+    def bracket(i: int, p: float) -> Column:
+        n, q = F.col("n"), F.col("q")
+        pos = (n - 1).cast("double") * F.lit(p)
+        r0 = F.floor(pos).cast("long")
+        edge = [F.when(n < _SMALL, F.col(all_)).when(n < _MIDDLE, q[4 * i + k]).otherwise(q[4 * i + 2 + k])
+                for k, all_ in ((0, "least"), (1, "most"))]
+        return F.struct(F.lit(p).alias("prob"), edge[0].alias("lo"), edge[1].alias("hi"), r0.alias("r0"),
+                        F.least(r0 + 1, n - 1).alias("r1"), (pos - r0).alias("frac"))
+
+    brackets = stats.select("_g", F.array(*[bracket(i, p) for i, p in enumerate(probs)]).alias("_b"))
+    # per value: the first bracket that lies above it (one entry), and the brackets that hold it (mostly none)
+    v = F.col("_v")
+    above = F.struct(F.size(F.filter("_b", lambda x: x["lo"] <= v)).alias("i"), F.lit(None).cast("double").alias("v"))
+    inside = F.filter(F.transform("_b", lambda x, i: F.when((x["lo"] <= v) & (v <= x["hi"]), F.struct(i.alias("i"), v.alias("v")))),
+                      lambda x: x.isNotNull())
+    counted = (vals.join(brackets, "_g").select("_g", F.explode(F.concat(F.array(above), inside)).alias("e"))
+               .groupBy("_g", F.col("e.i").alias("i"), F.col("e.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    # at most (probs + 1) rows per group
+    below = counted.where("v IS NULL").groupBy("_g").agg(F.collect_list(F.struct("i", "c")).alias("_below"))
+    line = Window.partitionBy("_g", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inner = counted.where("v IS NOT NULL").withColumn("upto", F.sum("c").over(line))
+    t = inner.join(below, "_g").join(brackets, "_g").withColumn("x", F.get("_b", F.col("i")))
+    base = F.aggregate(F.filter("_below", lambda x: x["i"] <= F.col("i")), F.lit(0).cast("long"), lambda acc, x: acc + x["c"])
+    t = t.withColumn("to", base + F.col("upto")).withColumn("from", F.col("to") - F.col("c"))
+    at = lambda r: F.max(F.when((F.col("from") <= F.col(f"x.{r}")) & (F.col(f"x.{r}") < F.col("to")), F.col("v")))
+    out = t.groupBy("_g", F.col("x.prob").alias("prob"), F.col("x.frac").alias("frac")).agg(at("r0").alias("v0"), at("r1").alias("v1"))
+    return out.select(*[F.col(f"_g.{c}").alias(c) for c in group_cols], "prob",
+                      (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value"))
 
 
 def percentiles_wide(df: DataFrame, value_col: str, probs: dict[str, float],

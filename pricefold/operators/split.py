@@ -45,20 +45,29 @@ def stratified_kfold(df: DataFrame, id_col: str, y_col: str, n_splits: int = 5,
     edge_vals = [r["value"] for r in (edges.first()["e"] or [])]
     y = F.col(y_col).cast("double")
     bin_col = sum((F.when(y > F.lit(e), 1).otherwise(0) for e in edge_vals), F.lit(0)) if edge_vals else F.lit(0)
-    binned = df.withColumn("bin", bin_col.cast("int")).withColumn("_h", hash32(id_col, seed))
-    ranked = rank_within(binned, ["_h", id_col], ["bin"], rank_col="_r")
-    return ranked.withColumn(fold_col, (F.col("_r") % n_splits).cast("int")).drop("_h", "_r")
+    binned = df.withColumn("bin", bin_col.cast("int"))
+    # only the keys are sorted and ranked; other columns come back by id
+    ranked = rank_within(binned.select(id_col, "bin", hash32(id_col, seed).alias("_h")), ["_h", id_col], ["bin"], rank_col="_r") \
+        .select(id_col, (F.col("_r") % n_splits).cast("int").alias(fold_col))
+    return binned.join(ranked, id_col)
 
 
 def exact_sample(df: DataFrame, id_col: str, frac: float | None = None, n: int | None = None,
                  seed: int = 42) -> DataFrame:
-    """SMP-1/SMP-2: exactly round(frac * rows) (or ``n``) rows without
-    replacement, chosen by hash order; distributed rank, no single-task limit."""
-    if n is None:
-        total = df.count()
-        n = int(round(frac * total))
-    ranked = rank_within(df.withColumn("_h", hash32(id_col, seed)), ["_h", id_col], rank_col="_r")
-    return ranked.where(F.col("_r") < n).drop("_h", "_r")
+    """SMP-1/SMP-2: exactly round(frac * rows) (or ``n``) rows without replacement, the smallest by
+    hash.  A bound on the hash keeps little more than the sample; only those rows are ranked."""
+    total = df.count()
+    n = int(round(frac * total)) if n is None else min(n, total)
+    if n <= 0:
+        return df.limit(0)
+    keyed = df.withColumn("_h", hash32(id_col, seed))
+    # hashes are uniform: the n smallest lie below this bound but for a chance of about 1e-9; then widen
+    share = n / total
+    bound = share + 6 * (share / total) ** 0.5 + 10 / total
+    near = keyed.where(F.col("_h") < int(min(1.0, bound) * TWO_32))
+    if near.count() < n:
+        near = keyed
+    return rank_within(near, ["_h", id_col], rank_col="_r").where(F.col("_r") < n).drop("_h", "_r")
 
 
 def hash_split(df: DataFrame, id_col: str, test_frac: float = 0.2, seed: int = 42,

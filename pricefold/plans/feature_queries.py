@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import features as FE
 from ..operators import logtransform as LG
+from ..session import scratch_dir
 from ..sources import tables as S
 from . import duck as D
 from .registry import query
@@ -67,7 +68,7 @@ SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY coalesce(p_type, 'NA')) - 1 A
 """)
 def part_type_codes(spark, sf_dir):
     p = S.table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    return FE.label_encode(p, "p_type", "type_code").select("p_partkey", "type_code")
+    return FE.apply_labels(p, FE.fit_labels(p, "p_type"), "p_type", "type_code").select("p_partkey", "type_code")
 
 
 _EMB_LONG_DUCK = """
@@ -86,10 +87,8 @@ SELECT CAST(idx AS INTEGER) AS idx, round(f_score, 6) AS f_score,
 def embedding_f_regression(spark, sf_dir):
     e = S.table(spark, sf_dir, "embeddings")
     sc = FE.f_regression_scores(FE.vector_long(e, "vec_id", "embedding", "label"))
-    # the score table has one row per feature index: a single ordered window is small
-    from pyspark.sql import Window
-    rk = F.row_number().over(Window.orderBy(F.desc("f_score"), "idx"))
-    return sc.select("idx", r6(F.col("f_score")).alias("f_score"), (rk <= 8).alias("selected"))
+    chosen = FE.select_top_k(sc, "f_score", 8, n_features=64)
+    return sc.select("idx", r6(F.col("f_score")).alias("f_score"), F.col("idx").isin(chosen).alias("selected"))
 
 
 @query("embedding_mutual_info", "SEL-2", oracle=f"""
@@ -112,7 +111,7 @@ def embedding_mutual_info(spark, sf_dir):
 @query("embedding_vector_ops", "ARR-1 ARR-2 FLT-5 FLT-7 SCH-8 SCH-9 SCH-11 SEL-3", oracle="""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e)
-SELECT vec_id, round(nrm, 6) AS l2_norm, round(v[1] / (nrm + 1e-12), 6) AS first_normalized,
+SELECT vec_id, round(nrm, 6) AS l2_norm, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: i * v[i] / (nrm + 1e-12))), 6) AS normalized_position_sum,
        nrm <= 1e-12 AS is_zero, len(list_concat(v, v[1:16])) AS concat_width,
        round(list_sum(list_concat(v, list_transform(range(16), lambda i: 0.0))[1:80]), 6) AS aligned_sum,
        round(v[3] + v[6] + v[11], 6) AS sliced_sum,
@@ -125,7 +124,8 @@ def embedding_vector_ops(spark, sf_dir):
     nrm = FE.l2_norm(v)
     return e.select(
         "vec_id", r6(nrm).alias("l2_norm"),
-        r6(F.element_at(FE.l2_normalize(FE.zero_fill(v, 64), 1e-12), 1)).alias("first_normalized"),
+        r6(F.aggregate(F.transform(FE.l2_normalize(FE.zero_fill(v, 64), 1e-12), lambda x, i: x * (i + 1)), F.lit(0.0),
+                       lambda a, x: a + x)).alias("normalized_position_sum"),
         FE.is_zero_vector(v).alias("is_zero"),
         F.size(FE.concat_vectors(v, F.slice(v, 1, 16))).cast("long").alias("concat_width"),
         r6(F.aggregate(FE.align_width(v, 80), F.lit(0.0), lambda a, x: a + x)).alias("aligned_sum"),
@@ -133,40 +133,91 @@ def embedding_vector_ops(spark, sf_dir):
         F.size(F.filter(v, FE.is_finite)).cast("long").alias("finite_count"))
 
 
-def _duck_hash_embed(dim: int) -> str:
-    comps = []
-    for d in range(dim):
-        h = f"CAST(('0x' || substr(md5(concat_ws(':', t, '{d}', '0')), 1, 8)) AS BIGINT) / 4294967296.0 * 2.0 - 1.0"
-        comps.append(f"round(CASE WHEN len(tk) = 0 THEN 0.0 ELSE list_sum(list_transform(tk, lambda t: {h})) / len(tk) END, 6) AS e{d}")
-    return ", ".join(comps)
+HASH_DIM = 300
 
 
 @query("catalog_hash_embedding", "ARR-3 TXT-2", oracle=f"""
 WITH c AS (SELECT sample_id, list_filter(string_split_regex({D.embed_clean('catalog_content')}, '\\s+'), lambda x: x <> '') AS tk
-           FROM catalog)
-SELECT sample_id, {_duck_hash_embed(4)} FROM c
+           FROM catalog),
+t AS (SELECT DISTINCT unnest(tk) AS t FROM c),
+h AS (SELECT t, d, CAST(('0x' || substr(md5(concat_ws(':', t, CAST(d AS VARCHAR), '0')), 1, 8)) AS BIGINT)
+             / 4294967296.0 * 2.0 - 1.0 AS x FROM t, range({HASH_DIM}) r(d)),
+e AS (SELECT c.sample_id, h.d, avg(h.x) AS x FROM (SELECT sample_id, unnest(tk) AS t FROM c) c JOIN h USING (t) GROUP BY ALL)
+SELECT c.sample_id, coalesce(n, 0) AS n_dims, round(coalesce(s, 0), 6) AS component_sum, round(coalesce(q, 0), 6) AS square_sum,
+       round(coalesce(w, 0), 4) AS position_sum
+FROM c LEFT JOIN (SELECT sample_id, count(*) FILTER (WHERE x <> 0) AS n, sum(x) AS s, sum(x * x) AS q, sum(x * (d + 1)) AS w
+                  FROM e GROUP BY sample_id) USING (sample_id)
 """)
 def catalog_hash_embedding(spark, sf_dir):
-    # clean once as a column; every embedding dimension reads it
+    """All 300 components per row, reported by sums that any wrong, swapped or missing component changes."""
     c = S.catalog(spark, sf_dir).select("sample_id", T.embed_clean(F.col("catalog_content")).alias("t"))
-    out = c.select("sample_id", FE.token_hash_embedding(F.col("t"), dim=4).alias("e"))
-    return out.select("sample_id", *[r6(F.col("e")[d]).alias(f"e{d}") for d in range(4)])
+    e = c.select("sample_id", FE.token_hash_embedding(F.col("t"), dim=HASH_DIM).alias("e"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)                       # noqa: E731
+    return e.select("sample_id", F.size(F.filter("e", lambda x: x != 0)).cast("long").alias("n_dims"),
+                    r6(total(F.col("e"))).alias("component_sum"),
+                    r6(total(F.transform("e", lambda x: x * x))).alias("square_sum"),
+                    F.round(total(F.transform("e", lambda x, i: x * (i + 1))), 4).alias("position_sum"))
 
 
 @query("orders_fingerprint", "HSH-1", oracle="""
 WITH h AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR),
-                  coalesce(o_orderstatus, ''))), 1, 15)) AS BIGINT) AS h FROM orders)
+                  coalesce(o_orderstatus, ''), coalesce(CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), ''))), 1, 15)) AS BIGINT) AS h FROM orders)
 SELECT count(*) AS rows, CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM h
 """)
 def orders_fingerprint(spark, sf_dir):
-    o = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return FE.content_fingerprint(o, ["o_orderkey", "o_custkey", "o_orderstatus"])
+    o = S.table(spark, sf_dir, "orders")
+    return FE.content_fingerprint(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], digits=2)
 
 
-_GATE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_GATE_CTE = """
+l AS (SELECT 'value' AS feature, CAST(value AS DOUBLE) AS x FROM events
+      UNION ALL SELECT 'user_num', CAST(user_id AS DOUBLE) FROM events
+      UNION ALL SELECT 'shifted', value - 1.0 FROM events UNION ALL SELECT 'fixed', 1.0 FROM events),
+m AS (SELECT feature, count(x) AS n, avg(x) AS mu, min(x) AS mn, max(x) AS mx FROM l GROUP BY feature),
+c AS (SELECT m.feature, n, mn, mx, avg(pow(x - mu, 3)) / nullif(pow(avg(pow(x - mu, 2)), 1.5), 0) AS g1
+      FROM l JOIN m USING (feature) GROUP BY ALL),
+t AS (SELECT *, g1 * sqrt((n + 1.0) * (n + 3) / (6.0 * (n - 2))) AS yy,
+             3.0 * (n * n + 27.0 * n - 70) * (n + 1.0) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9)) AS b2 FROM c),
+u AS (SELECT *, -1 + sqrt(2 * (b2 - 1)) AS w2 FROM t),
+v AS (SELECT *, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2 / (w2 - 1)) AS alpha, CASE WHEN yy = 0 THEN 1 ELSE yy END AS y1 FROM u),
+z AS (SELECT *, delta * ln(y1 / alpha + sqrt((y1 / alpha) * (y1 / alpha) + 1)) AS z FROM v),
+gate AS (SELECT feature, n, round(g1, 6) AS skew,
+       CASE WHEN n < 30 THEN 'insufficient_rows' WHEN mn < 0 THEN 'negative' WHEN mx = mn THEN 'constant'
+            WHEN abs(z) > 2.5758293035489004 AND g1 >= 1.0 THEN 'selected' ELSE 'not_skewed' END AS reason FROM z)
+"""
+_GATE_COLS = ["value", "user_num", "shifted", "fixed"]
+
+
+def _gate_table(spark, sf_dir):
+    """A right-skewed, a uniform, a partly negative and a constant feature."""
+    ev = S.table(spark, sf_dir, "events")
+    return ev.select("event_id", F.col("value").cast("double").alias("value"), F.col("user_id").cast("double").alias("user_num"),
+                     (F.col("value") - 1.0).alias("shifted"), F.lit(1.0).alias("fixed"))
+
+
+@query("event_log_gate", "LOG-1 MET-18 MET-19", oracle=f"WITH {_GATE_CTE} SELECT * FROM gate")
+def event_log_gate(spark, sf_dir):
+    st = LG.skew_gate_stats(_gate_table(spark, sf_dir), _GATE_COLS)
+    return st.select("feature", "n", F.when(F.col("min") < F.col("max"), r6(F.col("skew"))).alias("skew"), "reason")
+
+
+@query("event_log_gate_applied", "LOG-2", oracle=f"""
+WITH {_GATE_CTE}, s AS (SELECT bool_or(feature = 'value' AND reason = 'selected') AS v,
+                               bool_or(feature = 'user_num' AND reason = 'selected') AS u FROM gate)
+SELECT event_id, round(CASE WHEN v THEN ln(1 + greatest(value, 0)) ELSE value END, 6) AS value,
+       round(CASE WHEN u THEN ln(1 + greatest(user_id, 0)) ELSE user_id END, 6) AS user_num
+FROM events, s
+""")
+def event_log_gate_applied(spark, sf_dir):
+    """The gate fitted on the table, saved and loaded, then applied at inference (LOG-2)."""
+    t = _gate_table(spark, sf_dir)
+    path = scratch_dir(spark, "log-gate")
+    LG.SkewLogGate(_GATE_COLS).fit(t).save(spark, path)
+    out = LG.SkewLogGate.load(spark, path).transform(t)
+    return out.select("event_id", r6(F.col("value")).alias("value"), r6(F.col("user_num")).alias("user_num"))
 
 
-@query("lineitem_log_gate", "LOG-1 LOG-2 MET-18 MET-19", oracle="""
+@query("lineitem_log_gate", "LOG-1 LOG-3 MET-18", oracle="""
 WITH l AS (SELECT 'l_quantity' AS feature, l_quantity AS x FROM lineitem
            UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem
            UNION ALL SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem),
@@ -185,5 +236,5 @@ FROM z
 """)
 def lineitem_log_gate(spark, sf_dir):
     li = S.table(spark, sf_dir, "lineitem")
-    st = LG.skew_gate_stats(li, _GATE_COLS, min_skew=0.5)
+    st = LG.skew_gate_stats(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], min_skew=0.5)
     return st.select("feature", "n", r6(F.col("skew")).alias("skew"), "reason")

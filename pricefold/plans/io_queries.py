@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import gates as G
 from ..operators import metrics as M
 from ..operators import monitoring as MON
 from ..operators import split as SP
@@ -27,7 +28,19 @@ def catalog_csv_alias_roundtrip(spark, sf_dir):
          "price": "Price"})
     path = scratch_dir(spark, "catalog-csv")
     IO.write_csv(cat, path)
-    return IO.prepare_training_data(IO.load_train_df(spark, path))
+    IO.write_parquet(IO.prepare_training_data(IO.load_train_df(spark, path)), path + "-columns")
+    return spark.read.parquet(path + "-columns")
+
+
+@query("test_csv_contract", "SRC-2 SCH-3", oracle="""
+SELECT sample_id, length(coalesce(catalog_content, '')) AS text_chars FROM catalog
+""")
+def test_csv_contract(spark, sf_dir):
+    """The test contract: the same columns without a price."""
+    path = scratch_dir(spark, "test-csv")
+    IO.write_csv(S.catalog(spark, sf_dir).drop("price").withColumnsRenamed({"sample_id": "unique_identifier"}), path)
+    out = IO.load_test_df(spark, path)
+    return out.select("sample_id", F.length(F.coalesce("catalog_content", F.lit(""))).cast("long").alias("text_chars"))
 
 
 @query("latency_log_roundtrip", "SRC-5 SNK-2 MET-14", oracle="""
@@ -48,21 +61,44 @@ def latency_log_roundtrip(spark, sf_dir):
     return s.select("runs", *[r6(F.col(c)).alias(c) for c in s.columns if c != "runs"])
 
 
-_PAYLOAD_KEY = "CASE WHEN sample_id < 1000 THEN sample_id // 150 ELSE 1000 + sample_id // 300 END"
+# a payload for every 300 items: items 0-149 of it form one body, the other 150 come with 60 items of the next
+# one (an overlap), so that bodies of 150 and of 210 records and broken bodies occur at every scale
+_PAYLOADS = """
+pay AS (SELECT sample_id // 300 * 10 + CASE WHEN sample_id % 300 < 150 THEN 1 ELSE 2 END AS payload_id FROM catalog
+        UNION ALL SELECT sample_id // 300 * 10 + 2 FROM catalog WHERE sample_id % 300 < 60),
+bodies AS (SELECT payload_id, count(*) AS n FROM pay GROUP BY 1),
+st AS (SELECT payload_id, CASE WHEN payload_id % 70 = 11 THEN -1 ELSE n END AS n_records FROM bodies)
+"""
+
+
+def _payloads(spark, sf_dir):
+    """Request bodies built by Spark from the catalog; some are over the limit, some are not JSON."""
+    cat = S.catalog(spark, sf_dir).select("sample_id", "catalog_content", "image_link")
+    block = F.floor(F.col("sample_id") / 300) * 10
+    own = cat.withColumn("payload_id", block + F.when(F.col("sample_id") % 300 < 150, 1).otherwise(2))
+    also = cat.where(F.col("sample_id") % 300 < 60).withColumn("payload_id", block + 2)
+    bodies = own.unionByName(also).groupBy("payload_id").agg(F.to_json(F.struct(F.collect_list(
+        F.struct("sample_id", "catalog_content", "image_link")).alias("records"))).alias("body"))
+    return bodies.withColumn("body", F.when(F.col("payload_id") % 70 == 11, F.concat(F.lit("{broken"), "body"))
+                             .otherwise(F.col("body")))
+
+
+@query("records_payload_status", "SRC-6", oracle=f"""
+WITH {_PAYLOADS}
+SELECT payload_id, n_records, CASE WHEN n_records < 0 THEN 'malformed'
+       WHEN n_records > 200 THEN 'too_many_records:' || n_records || '>200' ELSE 'accepted' END AS status FROM st
+""")
+def records_payload_status(spark, sf_dir):
+    out = IO.payload_status(_payloads(spark, sf_dir))
+    return out.select("payload_id", F.col("n_records").cast("long").alias("n_records"), "status")
 
 
 @query("records_payload_table", "SRC-6", oracle=f"""
-WITH p AS (SELECT {_PAYLOAD_KEY} AS payload_id, count(*) AS n_records FROM catalog GROUP BY 1)
-SELECT payload_id, n_records FROM p WHERE n_records <= 200
+WITH {_PAYLOADS}
+SELECT payload_id, n_records FROM st WHERE n_records BETWEEN 0 AND 200
 """)
 def records_payload_table(spark, sf_dir):
-    cat = S.catalog(spark, sf_dir)
-    key = F.when(F.col("sample_id") < 1000, F.floor(F.col("sample_id") / 150)) \
-           .otherwise(1000 + F.floor(F.col("sample_id") / 300))
-    # payload bodies built by Spark from the table: at most 300 records each
-    payloads = cat.groupBy(key.alias("payload_id")).agg(F.to_json(F.struct(F.collect_list(
-        F.struct("sample_id", "catalog_content", "image_link")).alias("records"))).alias("body"))
-    recs = IO.records_to_table(payloads)
+    recs = IO.records_to_table(_payloads(spark, sf_dir))
     return recs.groupBy("payload_id").agg(F.count(F.lit(1)).alias("n_records"))
 
 
@@ -106,24 +142,49 @@ def flattened_service_report(spark, sf_dir):
     return IO.flatten(back)
 
 
-@query("best_fold_by_smape", "MET-21 SLO-3", oracle="""
-WITH long AS (SELECT sample_id, y, 'p_a' AS model, p_a AS pred FROM predictions
-              UNION ALL SELECT sample_id, y, 'p_b', p_b FROM predictions),
+_FOLD_SMAPE = """
+long AS (SELECT sample_id, y, 'p_a' AS model, p_a AS pred FROM predictions
+         UNION ALL SELECT sample_id, y, 'p_b', p_b FROM predictions),
 f AS (SELECT model, CAST(CAST(('0x' || substr(md5(CAST(sample_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS fold,
-             avg(100.0 * abs(pred - y) / greatest((abs(y) + abs(pred)) / 2.0, 1e-8)) AS smape FROM long GROUP BY ALL),
-t AS (SELECT model, fold, CASE WHEN fold = 0 THEN 'n/a' ELSE CAST(round(smape, 6) AS VARCHAR) END AS smape_text FROM f)
-SELECT model, arg_min(fold, TRY_CAST(smape_text AS DOUBLE)) AS best_fold,
-       min(TRY_CAST(smape_text AS DOUBLE)) AS best_smape,
-       min(TRY_CAST(smape_text AS DOUBLE)) <= 30.0 AS passes_training_gate
-FROM t GROUP BY model
+             avg(100.0 * abs(pred - y) / greatest((abs(y) + abs(pred)) / 2.0, 1e-8)) AS smape FROM long GROUP BY ALL)
+"""
+
+
+def _fold_smape(spark, sf_dir):
+    long = M.long_predictions(S.predictions(spark, sf_dir), "sample_id", "y", ["p_a", "p_b"])
+    f = M.regression_metrics(SP.kfold(long, "sample_id", 5, 42), "y", "pred", ["model", "fold"])
+    return f.select("model", "fold", F.round("smape", 6).alias("smape"))
+
+
+@query("best_fold_by_smape", "MET-21", oracle=f"""
+WITH {_FOLD_SMAPE}
+SELECT model, arg_min(fold, round(smape, 6)) AS best_fold, min(round(smape, 6)) AS best_smape FROM f GROUP BY model
 """)
 def best_fold_by_smape(spark, sf_dir):
-    p = S.predictions(spark, sf_dir)
-    long = M.long_predictions(p, "sample_id", "y", ["p_a", "p_b"])
-    f = M.regression_metrics(SP.kfold(long, "sample_id", 5, 42), "y", "pred", ["model", "fold"])
-    # a run table where some metric values are not numbers
-    t = f.select("model", "fold", F.when(F.col("fold") == 0, F.lit("n/a"))
-                 .otherwise(r6(F.col("smape")).cast("string")).alias("smape_text"))
-    v = F.col("smape_text").try_cast("double")
-    return t.groupBy("model").agg(F.min_by("fold", v).alias("best_fold"), F.min(v).alias("best_smape")) \
-            .withColumn("passes_training_gate", F.col("best_smape") <= 30.0)
+    """Read from a report table of texts, in which an entry that is no number never wins."""
+    extra = spark.createDataFrame([("p_a", 9, "n/a"), ("p_b", 9, None)], "model string, fold int, smape string")
+    t = _fold_smape(spark, sf_dir).withColumn("smape", F.col("smape").cast("string")).unionByName(extra)
+    v = F.col("smape").try_cast("double")
+    return t.groupBy("model").agg(F.min_by("fold", v).alias("best_fold"), F.min(v).alias("best_smape"))
+
+
+@query("training_gate", "SLO-3", oracle=f"""
+WITH {_FOLD_SMAPE}, r AS (SELECT model, round(smape, 6) AS smape, 120.0 AS total FROM f
+  UNION ALL SELECT 'slow', round(smape, 6), 7200.0 FROM f
+  UNION ALL SELECT 'not_finite', 'nan'::DOUBLE, 60.0 FROM f
+  UNION ALL SELECT 'untimed', round(smape, 6), NULL FROM f),
+b AS (SELECT model, min(smape) AS best_smape, max(total) AS total FROM r GROUP BY model)
+SELECT model, best_smape, isfinite(best_smape) AND coalesce(total, 0) <= 3600 AS passed,
+       concat_ws(',', CASE WHEN NOT isfinite(best_smape) THEN 'smape_not_finite' END,
+                 CASE WHEN total > 3600 THEN 'training_time' END) AS failures
+FROM b
+""")
+def training_gate(spark, sf_dir):
+    """SLO-3 on reports that pass, took too long, hold no finite SMAPE, or carry no time."""
+    f = _fold_smape(spark, sf_dir)
+    report = lambda name, smape, total: f.select(                                              # noqa: E731
+        name.alias("model"), smape.alias("smape"), F.lit(total).cast("double").alias("total_seconds"))
+    rows = (report(F.col("model"), F.col("smape"), 120.0).unionByName(report(F.lit("slow"), F.col("smape"), 7200.0))
+            .unionByName(report(F.lit("not_finite"), F.lit(float("nan")), 60.0))
+            .unionByName(report(F.lit("untimed"), F.col("smape"), None)))
+    return G.training_gate(rows, max_train_seconds=3600)

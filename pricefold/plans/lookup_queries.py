@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.units import QUANTITY_UNIT_RULES
 from ..operators import drift as DR
-from ..operators.ranking import join_small
 from ..session import scratch_dir
 from ..sources import catalog_io as IO
 from ..sources import tables as S
@@ -47,11 +46,10 @@ SELECT c.sample_id, coalesce(m.n_sales, 0) AS n_sales, round(m.total_sale, 2) AS
 FROM catalog c LEFT JOIN meta m ON c.sample_id = m.unique_identifier
 """)
 def external_metadata_merge(spark, sf_dir):
-    """Left join of the catalog to a metadata table keyed on the item id; the
-    metadata side is broadcast only when its row count is under the limit."""
+    """Left join of the catalog to a metadata table keyed on the item id; AQE picks the join from measured sizes."""
     meta = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("sample_id")) \
         .agg(F.count(F.lit(1)).alias("n_sales"), F.sum("l_extendedprice").alias("total_sale"))
-    j = join_small(S.catalog(spark, sf_dir).select("sample_id"), meta, ["sample_id"], "left", materialize=True)
+    j = S.catalog(spark, sf_dir).select("sample_id").join(meta, "sample_id", "left")
     return j.select("sample_id", F.coalesce(F.col("n_sales"), F.lit(0)).alias("n_sales"),
                     F.round(F.col("total_sale"), 2).alias("total_sale"))
 
@@ -59,16 +57,22 @@ def external_metadata_merge(spark, sf_dir):
 @query("smoke_inference_metrics", "MET-16", oracle="""
 SELECT count(*) AS rows_scored, round(avg(p_a), 6) AS mean_prediction,
        round(avg(p_a) FILTER (WHERE p_a > 0), 6) AS mean_positive_prediction,
-       count(*) FILTER (WHERE p_a IS NULL OR isnan(p_a)) AS missing_predictions
-FROM predictions
+       count(*) FILTER (WHERE p_a IS NULL OR isnan(p_a)) AS missing_predictions,
+       round(any_value(l.total_seconds), 6) AS total_seconds,
+       round(any_value(l.total_seconds) * 1000 / greatest(any_value(l.logged_rows), 1), 6) AS latency_ms_per_row,
+       round(any_value(l.logged_rows) / any_value(l.total_seconds), 6) AS throughput_rows_per_second
+FROM predictions, (SELECT sum(total_seconds) AS total_seconds, sum(rows_scored) AS logged_rows FROM latency_events) l
 """)
 def smoke_inference_metrics(spark, sf_dir):
-    """Rows scored and prediction summary of a scored batch (the wall-clock
-    throughput is measured by the caller around the action)."""
+    """Prediction summary of a scored batch, with throughput and latency per row from the latency log of its runs."""
     p = S.predictions(spark, sf_dir)
-    return p.agg(F.count(F.lit(1)).alias("rows_scored"), r6(F.avg("p_a")).alias("mean_prediction"),
-                 r6(F.avg(F.when(F.col("p_a") > 0, F.col("p_a")))).alias("mean_positive_prediction"),
-                 F.count_if(F.col("p_a").isNull() | F.isnan("p_a")).alias("missing_predictions"))
+    one = p.agg(F.count(F.lit(1)).alias("rows_scored"), r6(F.avg("p_a")).alias("mean_prediction"),
+                r6(F.avg(F.when(F.col("p_a") > 0, F.col("p_a")))).alias("mean_positive_prediction"),
+                F.count_if(F.col("p_a").isNull() | F.isnan("p_a")).alias("missing_predictions"))
+    log = S.view(spark, sf_dir, "latency_events").agg(F.sum("total_seconds").alias("s"), F.sum("rows_scored").alias("n")).first()
+    s, n = float(log["s"] or 0.0), float(log["n"] or 0.0)
+    return one.select("*", r6(F.lit(s)).alias("total_seconds"), r6(F.lit(s * 1000 / max(n, 1.0))).alias("latency_ms_per_row"),
+                      r6(F.lit(n / s if s else None).cast("double")).alias("throughput_rows_per_second"))
 
 
 @query("baseline_drift_stats", "DRF-3", oracle="""

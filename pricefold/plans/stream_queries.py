@@ -1,6 +1,5 @@
 """Streaming queries: each runs a Structured Streaming job to completion
-(``availableNow``) over files staged from the shared tables, then returns the
-sink table.  Where an oracle exists it is the batch SQL twin, so these checks
+(``availableNow``) over the shared tables' own files, then returns the sink table.  Where an oracle exists it is the batch SQL twin, so these checks
 assert stream result == batch result."""
 
 from __future__ import annotations
@@ -21,50 +20,60 @@ def _fmt(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-@query("stream_tumbling_event_stats", "STR-1", oracle="""
-SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
-       count(*) AS n, round(sum(value), 6) AS total_value, max(value) AS max_value
-FROM events GROUP BY ALL
+# append mode writes a window once the watermark (10 minutes behind the newest event) has passed its end
+_CLOSED = "{end} <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
+
+
+@query("stream_tumbling_event_stats", "STR-1", oracle=f"""
+WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS ws, event_type, value FROM events)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total_value,
+       max(value) AS max_value, quantile_disc(value, 0.5) AS p50_value, quantile_disc(value, 0.95) AS p95_value
+FROM w WHERE {_CLOSED.format(end="ws + INTERVAL '1 day'")} GROUP BY ws, event_type
 """)
 def stream_tumbling_event_stats(spark, sf_dir):
-    stream = J.event_stream(spark, S.table(spark, sf_dir, "events"))
-    path, _ = J._run_to_table(J.tumbling_stats(stream), "tumbling")
+    path, _ = J.run_to_table(J.tumbling_stats(J.event_stream(spark, sf_dir)), "tumbling")
     out = spark.read.parquet(path)
     return out.select(_fmt("window_start").alias("window_start"), "event_type", "n",
-                      r6(F.col("total_value")).alias("total_value"), "max_value")
+                      r6(F.col("total_value")).alias("total_value"), "max_value", "p50_value", "p95_value")
 
 
-@query("stream_sliding_service_metrics", "STR-2 MET-15", oracle="""
+@query("stream_sliding_service_metrics", "STR-2 MET-15", oracle=f"""
 WITH w AS (SELECT unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours'])
-                  AS ws, event_type FROM events)
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS service, count(*) AS requests,
-       count(*) FILTER (WHERE event_type = 'error') AS errors,
-       round(count(*) FILTER (WHERE event_type = 'error') / greatest(count(*), 1), 6) AS error_rate
-FROM w GROUP BY ALL
+                  AS ws, * FROM service_requests)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, service, count(*) AS requests,
+       count(*) FILTER (WHERE is_error) AS errors, round(count(*) FILTER (WHERE is_error) / greatest(count(*), 1), 6) AS error_rate,
+       round(sum(image_fallback_rows) / greatest(sum(rows_scored), 1), 6) AS image_fallback_rate,
+       round(sum(text_fallback_rows) / greatest(sum(rows_scored), 1), 6) AS text_fallback_rate,
+       round(count(*) FILTER (WHERE dq_policy = 'allow') / greatest(count(dq_policy), 1), 6) AS dq_pass_rate
+FROM w WHERE {_CLOSED.format(end="ws + INTERVAL '1 day'")} GROUP BY ws, service
 """)
 def stream_sliding_service_metrics(spark, sf_dir):
-    stream = J.event_stream(spark, S.table(spark, sf_dir, "events"))
-    path, _ = J._run_to_table(J.sliding_service_metrics(stream), "sliding")
+    requests = spark.sql(S.VIEWS["service_requests"], events=J.event_stream(spark, sf_dir))
+    path, _ = J.run_to_table(J.sliding_service_metrics(requests), "sliding")
     out = spark.read.parquet(path)
-    return out.select(_fmt("window_start").alias("window_start"), "service", "requests", "errors",
-                      r6(F.col("error_rate")).alias("error_rate"))
+    return out.select(_fmt("window_start").alias("window_start"), "service", "requests", "errors", *[
+        r6(F.col(c)).alias(c) for c in ("error_rate", "image_fallback_rate", "text_fallback_rate", "dq_pass_rate")])
+
 
+_DQ_REQUIRED = ["sample_id", "catalog_content", "image_link", "price"]
 
-@query("stream_dq_routes", "STR-3 DQ-2 SNK-4", oracle="""
-SELECT CASE WHEN TRY_CAST(CAST(price AS VARCHAR) AS DOUBLE) < 1000.0 OR TRY_CAST(CAST(price AS VARCHAR) AS DOUBLE) > 1800.0
-            THEN 'reject'
-            WHEN sample_id IS NULL OR catalog_content IS NULL OR image_link IS NULL OR price IS NULL OR isnan(price)
-            THEN 'quarantine' ELSE 'allow' END AS dq_route,
-       count(*) AS n_rows
-FROM catalog GROUP BY 1
+
+@query("stream_dq_routes", "STR-3 DQ-1 DQ-2 SNK-4", oracle="""
+WITH t AS (SELECT CASE WHEN price < 905.0 OR price > 990.0 THEN 'reject' WHEN catalog_content IS NULL THEN 'quarantine' ELSE 'allow' END AS strict,
+                  CASE WHEN catalog_content IS NULL THEN 'quarantine' ELSE 'allow' END AS loose FROM catalog)
+SELECT 'bounds' AS rules, 'reject' AS policy, 'rejected' AS target, strict AS dq_route, count(*) AS n_rows FROM t GROUP BY strict
+UNION ALL SELECT 'null_rate', 'quarantine', unnest(['scoring', 'quarantine']), loose, count(*) FROM t GROUP BY loose
+UNION ALL SELECT 'none', 'allow', 'scoring', loose, count(*) FROM t GROUP BY loose
 """)
 def stream_dq_routes(spark, sf_dir):
-    cat = S.catalog(spark, sf_dir)
-    path, schema = J.stage_files(cat, "catalog", 4, "sample_id")
-    base = J.route_quality_stream(J.read_stream(spark, path, schema),
-                                  ["sample_id", "catalog_content", "image_link", "price"], {"price": (1000.0, 1800.0)})
-    routed = spark.read.parquet(base)
-    return routed.groupBy("dq_route").agg(F.count(F.lit(1)).alias("n_rows"))
+    """The catalog as a stream under rules that reject, quarantine and allow its batch."""
+    parts = []
+    for rules, bounds, rate in (("bounds", {"price": (905.0, 990.0)}, 0.5), ("null_rate", {}, 0.001), ("none", {}, 0.5)):
+        cat = spark.sql(S.VIEWS["catalog"], part=J.table_stream(spark, sf_dir, "part"))
+        base, _ = J.run_to_table(cat, f"dq-{rules}", J.quality_sink(_DQ_REQUIRED, bounds, rate))
+        parts.append(spark.read.parquet(base).groupBy("policy", "target", "dq_route").agg(F.count(F.lit(1)).alias("n_rows"))
+                     .select(F.lit(rules).alias("rules"), "policy", "target", "dq_route", "n_rows"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _DRIFT_STREAM_DUCK = """
@@ -83,7 +92,8 @@ cur_l AS (SELECT time_bucket(INTERVAL '1 day', ts) AS ws, 'value' AS feature, va
           WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'),
 cb AS (SELECT ws, l.feature, len(list_filter(e, lambda v: l.x >= v)) AS bucket FROM cur_l l JOIN edges USING (feature)
        WHERE x IS NOT NULL AND NOT isnan(x)),
-snap AS (SELECT ws, feature, bucket, count(*) AS cnt FROM cb GROUP BY ALL),
+snap AS (SELECT ws, feature, bucket, count(*) AS cnt FROM cb
+         WHERE ws + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events) GROUP BY ALL),
 tot AS (SELECT ws, feature, sum(cnt) AS tot FROM snap GROUP BY ALL),
 j AS (SELECT t.ws, t.feature, greatest(coalesce(s.cnt, 0) / t.tot, 1e-9) AS c, greatest(rs.ref_share, 1e-9) AS r
       FROM tot t JOIN rs ON rs.feature = t.feature
@@ -103,7 +113,6 @@ def stream_drift_alerts(spark, sf_dir):
     edges = (exact_percentiles(ref_long, "x", [i / 10 for i in range(1, 10)], ["feature"])
              .groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("prob", "value"))),
                                                  lambda s: s["value"]).alias("edges")))
-    edges = edges.cache()
     rb = ref_long.join(F.broadcast(edges), "feature") \
                  .withColumn("bucket", F.size(F.filter("edges", lambda e: F.col("x") >= e)))
     buckets = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bucket")
@@ -112,16 +121,15 @@ def stream_drift_alerts(spark, sf_dir):
     grid = tot.select("feature", "t", buckets)
     ref_shares = grid.join(counts, ["feature", "bucket"], "left") \
                      .select("feature", "bucket", (F.coalesce(F.col("c"), F.lit(0)) / F.col("t")).alias("ref_share"))
-    cur = S.table(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")) \
-        .select(F.col("ts").cast("timestamp").alias("ts"), "value", F.col("user_id").cast("double").alias("user_num"))
-    path, schema = J.stage_files(cur, "drift_cur", 4, "ts")
-    snap = J.drift_snapshots(J.read_stream(spark, path, schema), edges, feats)
-    spath, _ = J._run_to_table(snap, "drift")
-    psi = J.psi_from_snapshots(spark.read.parquet(spath), ref_shares)
-    # every (window, feature) snapshot; severity is null below the warning level
-    alerts = psi.withColumn("severity", F.when(F.col("psi") >= 0.3, "critical").when(F.col("psi") >= 0.2, "warning"))
-    return alerts.select(_fmt("window_start").alias("window_start"), "feature", r6(F.col("psi")).alias("psi"),
-                         "severity")
+    cur = J.event_stream(spark, sf_dir).where(F.col("ts") >= F.lit("2024-01-16 00:00:00").cast("timestamp")) \
+        .select("ts", "value", F.col("user_id").cast("double").alias("user_num"))
+    path, _ = J.run_to_table(J.drift_snapshots(cur, edges, feats), "drift", J.alert_sink(ref_shares))
+    out = spark.read.parquet(path)
+    psi = out.where("part = 'psi'").select("window_start", "feature", "psi")
+    alerts = out.where("part = 'alerts'").select("window_start", "feature", "severity")
+    # every snapshot with its alert, if the stream wrote one
+    return psi.join(alerts, ["window_start", "feature"], "left").select(
+        _fmt("window_start").alias("window_start"), "feature", r6(F.col("psi")).alias("psi"), "severity")
 
 
 @query("stream_scoring", "STR-6 SPL-4 PRD-1", oracle="""
@@ -139,9 +147,9 @@ def stream_scoring(spark, sf_dir):
     part = S.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"),
                                                   F.col("p_retailprice").alias("label"))
     model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), linear()]).fit(part)
-    path, schema = J.stage_files(part, "part", 4, "p_partkey")
-    scored = J.score_stream(J.read_stream(spark, path, schema), model, "p_partkey", 10.0)
-    out_path, _ = J._run_to_table(scored.select("p_partkey", "prediction", "route"), "scoring", mode="append")
+    stream = J.table_stream(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"))
+    scored = J.score_stream(stream, model, "p_partkey", 10.0)
+    out_path, _ = J.run_to_table(scored.select("p_partkey", "prediction", "route"), "scoring")
     out = spark.read.parquet(out_path)
     return out.select("p_partkey", F.round("prediction", 4).alias("prediction"), "route")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import units as U
+from ..operators import quality as Q
 from ..sources import tables as S
 from . import duck as D
 from .registry import query
@@ -131,6 +132,31 @@ def catalog_unit_normalised(spark, sf_dir):
                     F.col("cv.base_unit").alias("base_unit"), U.measure_text(F.col("cv")).alias("measure_text"))
 
 
+_SPELLINGS = ["Liter", " fl oz ", "Fl. Oz.", "ft", "feet", "inches", "in", "sq ft", "packs", "Box of 2", "lbs", "Kg", "grams",
+              "each", "12", "", "none", "Ounces", "ML", "can", "K-Cups", "wishes?", "---", "ounce (oz)"]
+_SPELLED = f"""
+sp AS (SELECT sample_id, list_extract({[*_SPELLINGS]!r}, CAST(sample_id % {len(_SPELLINGS)} + 1 AS BIGINT)) AS unit,
+              CASE sample_id % 5 WHEN 0 THEN price * 1000000 WHEN 1 THEN price / 10000000 WHEN 2 THEN NULL ELSE price END AS value FROM catalog)
+"""
+
+
+@query("unit_spellings_normalised", "TXT-14 TXT-15 TXT-16", oracle=f"""
+WITH {_SPELLED}, n AS (SELECT sample_id, value, unit, {_duck_normalize_unit('unit')} AS unit_clean FROM sp),
+c AS (SELECT sample_id, unit_clean, {_CV} AS v, {_CB} AS base_unit FROM n)
+SELECT sample_id, unit_clean, base_unit, (CASE WHEN isnan(v) THEN 'nan' ELSE CAST(v AS VARCHAR) END) || ' ' || base_unit AS measure_text
+FROM c
+""")
+def unit_spellings_normalised(spark, sf_dir):
+    """Spellings that reach every base unit, with values that are absent, very large and very small."""
+    i, price = F.col("sample_id"), F.col("price")
+    t = S.catalog(spark, sf_dir).select(
+        "sample_id", F.element_at(F.array(*[F.lit(x) for x in _SPELLINGS]), (i % len(_SPELLINGS) + 1).cast("int")).alias("unit"),
+        F.when(i % 5 == 0, price * 1000000).when(i % 5 == 1, price / 10000000).when(i % 5 == 2, None).otherwise(price).alias("value"))
+    n = t.select("sample_id", "value", U.normalize_unit(F.col("unit")).alias("unit_clean"))
+    c = n.select("sample_id", "unit_clean", U.convert_to_base(F.col("value"), F.col("unit_clean")).alias("cv"))
+    return c.select("sample_id", "unit_clean", F.col("cv.base_unit").alias("base_unit"), U.measure_text(F.col("cv")).alias("measure_text"))
+
+
 @query("catalog_unit_mix", "TXT-14 TXT-15", oracle=f"""
 WITH {_ENTRY_DUCK}, n AS (SELECT sample_id, value, unit, {_duck_normalize_unit('unit')} AS unit_clean FROM entries),
 c AS (SELECT unit_clean, {_CB} AS base_unit, {_CV} AS value_converted FROM n)
@@ -185,16 +211,17 @@ def pages_tag_strip(spark, sf_dir):
 SELECT count(*) AS n_rows,
        count(*) FILTER (WHERE trim(coalesce(catalog_content, '')) = '') AS blank_text_rows,
        count(*) FILTER (WHERE image_link IS NULL OR trim(image_link) = '') AS image_fallback_rows,
-       count(*) FILTER (WHERE catalog_content IS NULL OR trim(catalog_content) = '') AS text_fallback_rows
+       count(*) FILTER (WHERE catalog_content IS NULL OR trim(catalog_content) = '') AS text_fallback_rows,
+       count(*) AS absent_fallback_rows
 FROM catalog
 """)
 def catalog_blank_text(spark, sf_dir):
     c = S.catalog(spark, sf_dir)
-    blank = lambda col: F.col(col).isNull() | (F.trim(F.col(col)) == "")
+    flag = lambda col: F.count_if(Q.needs_fallback(c, col))                                     # noqa: E731
     return c.agg(F.count(F.lit(1)).alias("n_rows"),
                  F.count_if(F.trim(F.coalesce(F.col("catalog_content"), F.lit(""))) == "").alias("blank_text_rows"),
-                 F.count_if(blank("image_link")).alias("image_fallback_rows"),
-                 F.count_if(blank("catalog_content")).alias("text_fallback_rows"))
+                 flag("image_link").alias("image_fallback_rows"), flag("catalog_content").alias("text_fallback_rows"),
+                 flag("no_such_column").alias("absent_fallback_rows"))
 
 
 @query("documents_char_drop", "TXT-17", oracle="""

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -34,7 +35,7 @@ CATALOG_SQL = """
 SELECT p_partkey AS sample_id,
  CASE WHEN p_partkey % 50 = 49 THEN NULL
       WHEN p_partkey % 50 = 48 THEN concat(p_name, ' plain text')
- ELSE concat('Item Name: ', p_name, ' ', p_brand, ', ', CAST(p_size AS STRING), ' ', unit,
+ ELSE concat('Item Name: ', p_name, ', ', CAST(p_size AS STRING), ' ', unit, ' by ', p_brand,
    ' (Pack of ', CAST(1 + p_partkey % 6 AS STRING), ')', chr(10),
    'Bullet Point 1: ', p_type, ' grade, ', CAST(p_size AS STRING), '.5 ml each', chr(10),
    'Bullet Point 2: ', CAST(2 + p_partkey % 9 AS STRING), ' count', chr(10),
@@ -54,10 +55,11 @@ SELECT o_orderkey AS sample_id, o_totalprice AS y,
 FROM {orders}
 """
 
-DRIFT_REF_SQL = ("SELECT event_id, value, CAST(user_id AS DOUBLE) AS user_num FROM {events} "
-                 "WHERE ts <  TIMESTAMP '2024-01-16 00:00:00'")
-DRIFT_CUR_SQL = ("SELECT event_id, value, CAST(user_id AS DOUBLE) AS user_num FROM {events} "
-                 "WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'")
+# value and user_num keep their distribution; trend drifts to a warning, season to a critical PSI
+_DRIFT_COLS = ("value, CAST(user_id AS DOUBLE) AS user_num, value + 0.4 * extract(day FROM ts) AS trend, "
+               "value + 0.7 * extract(day FROM ts) AS season")
+DRIFT_REF_SQL = f"SELECT {_DRIFT_COLS} FROM {{events}} WHERE ts <  TIMESTAMP '2024-01-16 00:00:00'"
+DRIFT_CUR_SQL = f"SELECT {_DRIFT_COLS} FROM {{events}} WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'"
 
 LATENCY_EVENTS_SQL = """
 SELECT concat('run_', CAST(user_id AS STRING)) AS run_id, 1 + event_id % 50 AS rows_scored,
@@ -69,7 +71,22 @@ FROM {events}
 RUN_EVENTS_SQL = """
 SELECT event_id AS seq, concat('train_', CAST(user_id AS STRING)) AS run_id,
        CASE event_type WHEN 'signup' THEN 'register' WHEN 'view' THEN 'promote_staging' WHEN 'click' THEN 'promote_canary'
-            WHEN 'purchase' THEN 'activate' ELSE 'rollback' END AS action, ts
+            WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'promote_production' WHEN event_id % 3 = 1 THEN 'activate'
+                                      ELSE 'approve_production' END
+            ELSE CASE WHEN event_id % 5 = 0 THEN 'rollback' ELSE 'promote_canary' END END AS action, ts,
+       CASE WHEN event_type = 'signup' THEN CASE WHEN user_id % 6 = 5 THEN 'promotion' ELSE 'train' END END AS stage,
+       CASE WHEN event_type = 'signup' AND event_id % 4 <> 0 AND user_id % 6 <> 5
+            THEN concat('runs/train_', CAST(user_id AS STRING), '/bundle') END AS bundle_path,
+       CASE WHEN event_type = 'signup' AND event_id % 3 = 0 THEN concat('track_', CAST(user_id AS STRING)) END AS tracking_id
+FROM {events}
+"""
+
+SERVICE_REQUESTS_SQL = """
+SELECT event_id, ts, event_type AS service, event_type = 'error' AS is_error, value AS latency_ms,
+       1 + event_id % 50 AS rows_scored,
+       CASE WHEN event_id % 7 = 0 THEN 1 + event_id % 50 ELSE 0 END AS image_fallback_rows,
+       CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS text_fallback_rows,
+       CASE WHEN event_id % 20 = 0 THEN 'reject' WHEN event_id % 20 < 3 THEN 'quarantine' ELSE 'allow' END AS dq_policy
 FROM {events}
 """
 
@@ -80,6 +97,7 @@ VIEWS = {
     "drift_cur": DRIFT_CUR_SQL,
     "latency_events": LATENCY_EVENTS_SQL,
     "run_events": RUN_EVENTS_SQL,
+    "service_requests": SERVICE_REQUESTS_SQL,
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
@@ -105,11 +123,5 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Service requests: ``event_type`` is the service key, ``error`` a failed
-    request and ``value`` the latency in milliseconds."""
-    from pyspark.sql import functions as F
-    ev = table(spark, sf_dir, "events")
-    return ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
-                     F.col("event_type").alias("service"), "user_id",
-                     (F.col("event_type") == "error").alias("is_error"),
-                     F.col("value").alias("latency_ms"))
+    """Service requests: ``service``, ``is_error``, ``latency_ms``, scored and fallback rows, batch quality policy."""
+    return view(spark, sf_dir, "service_requests").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -11,6 +11,6 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from pricefold.session import get_spark
-    s = get_spark("local[4]", app="pricefold-tests", shuffle_partitions=4)
+    s = get_spark("local[3]", app="pricefold-tests", shuffle_partitions=4)
     yield s
     s.stop()

@@ -24,9 +24,9 @@ def test_psi_identical_is_zero_and_matches_brute_force(spark):
     ref = pd.DataFrame({"x": rng.normal(size=800), "k": rng.integers(0, 5, 800).astype(float)})
     cur = pd.DataFrame({"x": rng.normal(0.5, 1.2, 600), "k": rng.integers(0, 7, 600).astype(float)})
     r, c = spark.createDataFrame(ref), spark.createDataFrame(cur)
-    same = {row["feature"]: row["psi"] for row in DR.psi(r, r, ["x", "k"]).collect()}
+    same = {row["feature"]: row["psi"] for row in DR.numeric_drift(r, r, ["x", "k"]).collect()}
     assert all(abs(v) < 1e-12 for v in same.values())
-    got = {row["feature"]: row["psi"] for row in DR.psi(r, c, ["x", "k"]).collect()}
+    got = {row["feature"]: row["psi"] for row in DR.numeric_drift(r, c, ["x", "k"]).collect()}
     for f in ["x", "k"]:  # "k" has repeated edges (empty buckets on both sides)
         assert abs(got[f] - _psi_brute(ref[f].values, cur[f].values)) < 1e-9
 
@@ -62,4 +62,25 @@ def test_alerts(spark):
     a = {(r["subject"], r["severity"]) for r in MON.evaluate_alerts(drift, lat).collect()}
     assert a == {("a", "critical"), ("b", "warning"), ("p95_total_seconds", "critical")}
     top = MON.evaluate_alerts(drift, lat).first()["top_drift_features"]
-    assert top == "a,b,c"
+    assert [(t["feature"], t["psi"]) for t in top] == [("a", 0.35), ("b", 0.25), ("c", 0.01)]
+    crit = {r["subject"] for r in MON.critical_alerts(MON.evaluate_alerts(drift, lat)).collect()}
+    assert crit == {"a", "p95_total_seconds"}
+
+
+def test_rolling_window_keeps_the_newest(spark):
+    rng = np.random.default_rng(2)
+    n = 6000
+    pdf = pd.DataFrame({"event_id": np.arange(n), "service": np.where(rng.random(n) < 0.7, "hot", "cold"), "latency_ms": rng.random(n),
+                        "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 3000, n), unit="s")})
+    df = spark.createDataFrame(pdf).repartition(5)
+    for rows in (10, 500, 5000):
+        got = {r["service"]: r["p95_ms"] for r in MON.rolling_latency_window(df, rows).collect()}
+        for name, part in pdf.groupby("service"):
+            newest = part.sort_values(["ts", "event_id"]).tail(rows)
+            assert abs(got[name] - np.percentile(newest.latency_ms, 95)) < 1e-12
+
+
+def test_choice_of_numeric_features(spark):
+    df = spark.createDataFrame([(1, 2.0, "x", 3.0)], "a long, Price double, t string, parsed_ounces double")
+    assert DR.choose_numeric_features(df) == ["parsed_ounces"]
+    assert DR.choose_numeric_features(df.drop("parsed_ounces")) == ["a"]

@@ -1,22 +1,34 @@
-"""Label codes and the size-checked join."""
+"""Label codes, top-k selection and the token-hash embedding."""
 
-from pyspark.sql import functions as F
+import hashlib
+
+import pytest
 
 from pricefold.operators import features as FE
-from pricefold.operators.ranking import join_small
 
 
-def test_label_encode_sorted_with_na(spark):
+def test_label_codes_sorted_with_na_and_unseen_labels(spark):
     df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "id long, c string")
-    got = {r["id"]: r["code"] for r in FE.label_encode(df, "c", "code").collect()}
+    codes = FE.fit_labels(df, "c")
+    got = {r["id"]: r["code"] for r in FE.apply_labels(df, codes, "c", "code").collect()}
     # sorted labels: "NA" < "a" < "b" (byte order, as a sorted label encoder gives)
     assert got == {2: 0, 3: 1, 1: 2, 4: 2}
+    new = spark.createDataFrame([(9, "zz")], "id long, c string")
+    with pytest.raises(Exception, match="unseen label: zz"):
+        FE.apply_labels(new, codes, "c", "code").collect()
+
+
+def test_select_top_k(spark):
+    sc = spark.createDataFrame([(0, 1.0), (1, 5.0), (2, None), (3, 5.0), (4, 2.0)], "idx int, f double")
+    assert FE.select_top_k(sc, "f", 2, 5) == [1, 3]
+    assert FE.select_top_k(sc, "f", 99, 5) == [0, 1, 2, 3, 4]
+    assert FE.select_top_k(sc, "f", 0, 5, min_features=1) == [1]
 
 
-def test_join_small_materialized_and_above_limit(spark):
-    big = spark.range(100).withColumn("k", F.col("id") % 10)
-    small = spark.range(10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    a = join_small(big, small, ["k"], materialize=True)
-    b = join_small(big, small, ["k"], max_broadcast_rows=1)  # falls back to a shuffle join
-    assert a.count() == b.count() == 100
-    assert a.agg(F.sum("v")).first()[0] == b.agg(F.sum("v")).first()[0] == 900
+def test_token_hash_embedding(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([("a b a",), ("",), (None,)], "t string")
+    got = [r.e for r in df.select(FE.token_hash_embedding(F.col("t"), dim=5).alias("e")).collect()]
+    h = lambda t, d: int(hashlib.md5(f"{t}:{d}:0".encode()).hexdigest()[:8], 16) / 2 ** 32 * 2 - 1     # noqa: E731
+    assert got[0] == pytest.approx([(2 * h("a", d) + h("b", d)) / 3 for d in range(5)])
+    assert got[1] == got[2] == [0.0] * 5

@@ -15,6 +15,16 @@ def test_resolve_column_name():
     assert IO.resolve_column_name(cols, "other") == "other"
 
 
+def test_required_columns_count_under_any_spelling():
+    assert IO.missing_required_columns(["unique_identifier", "Description"], ["sample_id", "catalog_content", "price"]) == ["price"]
+
+
+def test_aliases_do_not_replace_a_present_name(spark):
+    df = spark.createDataFrame([(1, 2.0, "t")], "sample_id long, unique_identifier double, Description string")
+    out, renames = IO.normalize_to_train_schema(df)
+    assert out.columns == ["sample_id", "unique_identifier", "catalog_content"] and renames == {"Description": "catalog_content"}
+
+
 def test_missing_required_column_raises(spark):
     df = spark.createDataFrame([(1, "x")], "unique_identifier long, Description string")
     path = scratch_dir(spark, "t-csv")
@@ -33,7 +43,10 @@ def test_missing_latency_log_is_empty(spark):
 def test_payload_over_limit_rejected(spark):
     small = '{"records": [' + ",".join('{"sample_id": %d}' % i for i in range(3)) + "]}"
     big = '{"records": [' + ",".join('{"sample_id": %d}' % i for i in range(201)) + "]}"
-    df = spark.createDataFrame([(1, small), (2, big)], "req long, body string")
+    bad = [(3, "{broken"), (4, None), (5, '{"records": 7}'), (6, '{"records": []}')]
+    df = spark.createDataFrame([(1, small), (2, big), *bad], "req long, body string")
+    status = {r.req: r.status for r in IO.payload_status(df).collect()}
+    assert status == {1: "accepted", 2: "too_many_records:201>200", 3: "malformed", 4: "malformed", 5: "malformed", 6: "accepted"}
     out = IO.records_to_table(df)
     assert out.count() == 3 and out.select(F.countDistinct("req")).first()[0] == 1
 

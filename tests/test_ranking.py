@@ -1,7 +1,10 @@
 """Distributed exact ranks / percentiles against brute force, with a hot group."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pricefold.operators import split as SP
@@ -27,11 +30,33 @@ def test_rank_within_matches_sort(spark):
 def test_exact_percentiles_match_numpy(spark):
     pdf, df = _skewed(spark)
     probs = [0.0, 0.1, 0.5, 0.95, 0.99, 1.0]
-    got = exact_percentiles(df, "v", probs, ["g"], num_partitions=5).toPandas()
+    got = exact_percentiles(df, "v", probs, ["g"]).toPandas()
     for (g, p), val in got.set_index(["g", "prob"])["value"].items():
         assert abs(val - np.percentile(pdf.loc[pdf.g == g, "v"], p * 100)) < 1e-9
 
 
+@pytest.mark.parametrize("n", [1, 2, 999, 1000, 1001, 20_000])
+def test_percentiles_with_two_thirds_equal_values(spark, n):
+    rng = np.random.default_rng(n)
+    v = np.where(rng.random(n) < 2 / 3, 0.0, rng.normal(size=n).round(2))
+    df = spark.createDataFrame(pd.DataFrame({"v": v})).repartition(7)
+    probs = [0.0, 0.001, 0.25, 0.3333, 0.5, 0.9, 0.999, 1.0]
+    got = {r.prob: r.value for r in exact_percentiles(df, "v", probs).collect()}
+    assert got == pytest.approx({p: np.percentile(v, p * 100) for p in probs}, abs=1e-12)
+
+
+def test_percentiles_neither_sort_nor_move_the_rows(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 3 < 2, 0.0).otherwise(F.rand(1)).alias("v"), (F.col("id") % 2).alias("g"))
+    plan = exact_percentiles(df, "v", [0.1, 0.5, 0.9], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_percentiles_of_null_groups_and_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", float("nan")), ("a", None)], "g string, v double")
+    assert [(r.g, r.value) for r in exact_percentiles(df, "v", [0.5], ["g"]).collect()] == [(None, 2.0)]
+    assert exact_percentiles(df.where("v > 99 and not isnan(v)"), "v", [0.5]).count() == 0
+
+
 def test_stratified_folds_cover_each_id_once(spark):
     pdf, df = _skewed(spark)
     f = SP.stratified_kfold(df, "id", "v", n_splits=5).toPandas()
@@ -45,12 +70,14 @@ def test_exact_sample_size(spark):
     s = SP.exact_sample(df, "id", frac=0.07)
     assert s.count() == round(0.07 * len(pdf))
     assert s.select("id").distinct().count() == s.count()
+    order = sorted(range(len(pdf)), key=lambda i: (int(hashlib.md5(f"{i}:42".encode()).hexdigest()[:8], 16), i))
+    assert {r.id for r in SP.exact_sample(df, "id", n=25).collect()} == set(order[:25])
+    assert SP.exact_sample(df, "id", n=10 ** 6).count() == len(pdf) and SP.exact_sample(df, "id", n=0).count() == 0
 
 
 def test_kfold_md5_value(spark):
     df = spark.createDataFrame([(1,)], "sample_id long")
     # md5('1:42') -> first 8 hex digits as a number, mod 5
-    import hashlib
     exp = int(hashlib.md5(b"1:42").hexdigest()[:8], 16) % 5
     assert SP.kfold(df, "sample_id", 5, 42).first()["fold"] == exp
 

@@ -79,3 +79,16 @@ def test_catalog_entry_parse(spark):
     assert out[1]["bullet_points_str"] == "Ergonomic Design; 2.4GHz Wireless"
     assert out[2]["item_name"] is None and out[2]["bullet_points_str"] == ""
     assert out[3]["value"] is None  # malformed number -> null, not an error
+
+
+def test_number_text_as_python_writes_it(spark):
+    values = [0.0, 1.0, -2.5, 85.0, 1e7, 12345678.9, 9.99e15, 1e16, 1.5e17, 0.001, 0.00012345, 1e-4, 5e-05, -1.25e-7, 1e100, float("nan"), float("inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r.i: r.t for r in df.select("i", U.number_text(F.col("v")).alias("t")).collect()}
+    assert [got[i] for i in range(len(values))] == [str(v) for v in values]
+
+
+def test_fallback_rows_without_the_column(spark):
+    from pricefold.operators import quality as Q
+    df = spark.createDataFrame([(None,), (" ",), ("x",)], "t string")
+    assert df.where(Q.needs_fallback(df, "t")).count() == 2 and df.where(Q.needs_fallback(df, "absent")).count() == 3

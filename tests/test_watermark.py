@@ -26,8 +26,7 @@ def test_windows_close_with_watermark(spark):
         os.utime(dst, (1_700_000_000 + 10 * i,) * 2)
     stream = spark.readStream.schema("ts timestamp, event_type string, value double") \
         .option("maxFilesPerTrigger", 1).parquet(flat)
-    path, progress = J._run_to_table(J.tumbling_stats(stream, window="1 day", watermark="1 hour"), "wm",
-                                     mode="append")
+    path, progress = J.run_to_table(J.tumbling_stats(stream, window="1 day", watermark="1 hour"), "wm")
     out = spark.read.parquet(path)
     assert progress["batches"] >= 2
     # every emitted window is emitted exactly once
