@@ -3,8 +3,8 @@
 A text is cut into chunks where a rolling hash of the last ``ROLL`` bytes hits ``1 / 2**CUT_BITS`` and white space
 follows, so that passages shared by documents give equal chunks wherever they stand.  Inside a task every distinct
 chunk is encoded once, whatever the number of documents that hold it; a new chunk is put together from its words, and
-every distinct word is given to the tokenizer once.  Chunk and word results are forgotten and rebuilt when they outgrow
-``CHUNK_BYTES`` and ``WORDS``, which bounds memory and changes no result.
+every distinct word is given to the tokenizer once.  Results beyond ``CHUNK_BYTES`` and ``WORDS`` are dropped, the
+least recently used words first, and rebuilt when needed, which bounds memory and changes no result.
 
 Each join of two chunks is repaired: the words around it are re-encoded together, first one on each side, then twice as
 many, until the outer words of the re-encoded stretch come out as they did alone; its ids then replace those of the
@@ -29,7 +29,7 @@ from . import common as C
 from .registry import query
 
 ROLL, CUT_BITS = 12, 8            # a cut at one white space in 256: chunks of about 1.5 kB
-CHUNK_BYTES, WORDS = 8 << 20, 150_000
+CHUNK_BYTES, WORDS = 8 << 20, 300_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,47 +68,39 @@ class Encoder:
         self.chunks: dict[bytes, tuple[np.ndarray, bytes]] = {}
         self.chunk_bytes = 0
         self.joins: dict[tuple[bytes, bytes], bool] = {}
-        self._forget_words()
-
-    def _forget_words(self):
-        self.words: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.off = [0]
-        self.shown: list[bytes] = []
+        # two generations of word results: a word found in the old one moves to the young one, the rest are dropped
+        # when the young one is full; so frequent words stay
+        self.young: dict[bytes, tuple[bytes, bytes]] = {}
+        self.old: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _learn(self, new: list[bytes]):
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
         ids = [e.ids for e in encoded]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        self.flat[self.used: self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-        self.words.update(zip(new, range(len(self.shown), len(self.shown) + len(new))))
-        self.off.extend((self.used + np.cumsum(sizes)).tolist())
-        self.used += total
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * 4
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]) // 4).tobytes()
+        packed = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         if self.names is not None:           # no decoder: a text is its tokens, joined by spaces
-            self.shown.extend(b" ".join(map(self.names.__getitem__, x)) for x in ids)
+            shown = [b" ".join(map(self.names.__getitem__, x)) for x in ids]
         else:
-            self.shown.extend(self.tokenizer.decode(x, skip_special_tokens=False).encode("utf-8") for x in ids)
+            shown = [self.tokenizer.decode(x, skip_special_tokens=False).encode("utf-8") for x in ids]
+        self.young.update(zip(new, zip(packed, shown)))
 
     def chunk_results(self, wanted: list[bytes]) -> None:
         """Fill ``self.chunks`` for all of ``wanted``."""
         if self.chunk_bytes > CHUNK_BYTES:
             self.chunks, self.chunk_bytes = {}, 0
-        if len(self.words) > WORDS:
-            self._forget_words()
+        if len(self.young) > WORDS // 2:
+            self.old, self.young = self.young, {}
         todo = {c: c.split() for c in dict.fromkeys(wanted) if c not in self.chunks}
-        new = set(chain.from_iterable(todo.values())) - self.words.keys()
-        if new:
-            self._learn(list(new))
-        off = np.array(self.off, np.int64)
+        missing = set(chain.from_iterable(todo.values())) - self.young.keys()
+        known = missing & self.old.keys()
+        self.young.update((w, self.old[w]) for w in known)
+        if len(missing) > len(known):
+            self._learn(list(missing - known))
         for c, words in todo.items():
-            at = list(map(self.words.__getitem__, words))
-            where = np.array(at, np.int64)
-            lo = off[where]
-            ids = self.flat[C.ranges(lo, off[where + 1] - lo)] if at else np.zeros(0, np.int32)
-            self.chunks[c] = (ids, b" ".join(filter(None, map(self.shown.__getitem__, at))))
+            got = list(map(self.young.__getitem__, words))
+            ids = np.frombuffer(b"".join([x for x, _ in got]), np.int32)
+            self.chunks[c] = (ids, b" ".join([y for _, y in got if y]))
             self.chunk_bytes += len(c) + 4 * len(ids) + len(self.chunks[c][1])
 
     def agree(self, pairs: list[tuple[bytes, bytes]]) -> None:
@@ -121,8 +113,10 @@ class Encoder:
             self.joins[a, b] = e.ids == self._word(a) + self._word(b)
 
     def _word(self, w: bytes) -> list[int]:
-        return self.tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids if w not in self.words else \
-            self.flat[self.off[self.words[w]]: self.off[self.words[w] + 1]].tolist()
+        got = self.young.get(w) or self.old.get(w)
+        if got is None:
+            return self.tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids
+        return np.frombuffer(got[0], np.int32).tolist()
 
     def repaired(self, pieces: list[bytes], seam: int) -> tuple[int, int, list[int]]:
         """The join after ``pieces[seam]`` re-encoded over ever more words: (ids to drop on the left, on the right,
