@@ -30,6 +30,7 @@ from .registry import query
 BUCKETS, DIM, BLOCK = 1 << 15, 32, 512
 FEATURES = DIM + 4
 TRAIN_BOUND = {0: 6000, 1: 6000}
+POOL_BYTES = 1 << 19           # text pooled at once: one vector per token is held
 KEEP_AT = 0.3
 
 _CLASS = np.full(256, 2, np.uint8)             # 0 space, 1 letters and digits, 2 marks
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = rows.join(F.broadcast(drawn), "_id").select("_id", "_sub", "_text", "y", "fold")
 
     def features(batches):
-        for batch in C.small_batches(batches):
+        for batch in C.small_batches(batches, limit=POOL_BYTES):
             f = pooled(*C.buffer_of(batch.column(batch.schema.get_field_index("_text"))), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(c)) for c in ("_id", "_sub", "y", "fold")]
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in C.small_batches(batches):
+        for batch in C.small_batches(batches, limit=POOL_BYTES):
             s = shared.value.scores(batch.column(batch.schema.get_field_index("_text")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())],
                                              names=["_id", "_sub", "score"])
@@ -224,7 +225,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", at:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in C.small_batches(batches, text_col):
+        for batch in C.small_batches(batches, text_col, POOL_BYTES):
             s = shared.value.scores(batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array(s >= at))
 
