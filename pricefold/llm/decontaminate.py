@@ -8,8 +8,11 @@ Only words of the items can extend a match, and no match crosses another word, s
 (numpy, whole batch at once) into runs of item words that are long enough to hold a window; only those runs
 go through the automaton.
 
-The automaton is built on the driver and broadcast: test items are a fixed, small table, and ``MAX_ITEM_BYTES``
-checks that bound (ValueError beyond it) before anything is collected.
+Items of up to ``MAX_ITEM_BYTES`` together make one automaton, built on the driver and broadcast.  More items are dealt
+as a Spark table to groups of ``GROUP_BYTES`` (a longer item is cut into pieces that overlap by a window less a word, so
+that it keeps its windows), and each group's automaton is built in the tasks that stream documents against it.  A document
+meets the groups that share a key with it: every window, of items and documents, names the least of its ``GRAM``-word grams,
+so equal windows name equal keys and no match is lost.  Hits are a union, so the groups' spans and items add up exactly.
 
 Defined results: a null text has no words; an item without words never matches; items with equal text each
 count; null item ids are written as the empty string; an empty benchmark gives no hits; repeated documents each
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,9 @@ from .registry import query
 
 WINDOW = 13
 COVERAGE = 20          # contaminated: 20 * hit words >= words
-MAX_ITEM_BYTES = 4 << 20
+MAX_ITEM_BYTES = 4 << 20   # one broadcast automaton; more items are dealt to groups
+GROUP_BYTES = 1 << 20
+GRAM, KEY_BITS, SPLIT_DOCS = 5, 23, 5000
 
 
 class ItemAutomaton:
@@ -126,9 +132,13 @@ def _item_words(text: str | None) -> list[bytes]:
     return [low[a:b] for a, b in zip(start.tolist(), end.tolist())]
 
 
+def item_bytes(benchmark: DataFrame, text_col: str = "text") -> int:
+    return benchmark.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+
+
 def build_automaton(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
                     window: int = WINDOW) -> ItemAutomaton:
-    size = benchmark.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    size = item_bytes(benchmark, text_col)
     if size > MAX_ITEM_BYTES:
         raise ValueError(f"test items hold {size} bytes; the automaton is broadcast only up to {MAX_ITEM_BYTES}")
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).collect()
@@ -148,7 +158,7 @@ class Scanner:
         self.code_of = np.array([c for _, c in vocab], np.int64)
 
     def texts(self, column: pa.Array):
-        """(words, hit words, item ids, hit byte spans) of each text."""
+        """(words, hit words, item ids, hit spans in words and bytes) of each text."""
         a = self.automaton
         data, offs = C.buffer_of(column)
         start, end, first = C.word_spans(data, offs, C.WORD_FOLDED)
@@ -174,11 +184,14 @@ class Scanner:
             n_hit[doc] = mask.sum()
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
             o = offs[doc]
-            spans_out[doc] = [{"start": int(start[base + x] - o), "end": int(end[base + y - 1] - o)}
+            spans_out[doc] = [{"from": int(x), "to": int(y), "start": int(start[base + x] - o), "end": int(end[base + y - 1] - o)}
                               for x, y in edge.reshape(-1, 2)]
         return n_words, n_hit, [sorted(a.names[i] for i in items.get(d, ())) for d in range(len(n_words))], spans_out
 
 
+BYTES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
 def scan(docs: DataFrame, automaton: ItemAutomaton) -> DataFrame:
     """Per document: word counts, item ids (comma-joined, sorted as strings) and hit byte spans of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
@@ -191,14 +204,197 @@ def scan(docs: DataFrame, automaton: ItemAutomaton) -> DataFrame:
                 batch.column(batch.schema.get_field_index("_id")), batch.column(batch.schema.get_field_index("_sub")),
                 pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
                 pa.array([",".join(x) for x in names], pa.string()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                pa.array(spans, BYTES)],
                 names=["_id", "_sub", "n_words", "n_hit", "n_items", "items", "hits"])
 
     return docs.mapInArrow(run, OUT)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+ITEM = "g long, u long, name string, _text string"
+
+
+def item_groups(benchmark: DataFrame, total: int, id_col: str = "item_id", text_col: str = "text",
+                window: int = WINDOW) -> DataFrame:
+    """``(g, u, name, _text)``: the items (``u`` numbers them) or their pieces, in groups of ``GROUP_BYTES``."""
+    limit = GROUP_BYTES
+
+    def pieces(text):
+        data = np.frombuffer(text.encode("utf-8"), np.uint8)
+        if len(data) <= limit:
+            yield text
+            return
+        start, end, _ = C.word_spans(data, np.array([0, len(data)]), C.WORD_FOLDED)
+        a, n = 0, len(start)
+        while a < n:
+            b = min(n, max(a + window, int(np.searchsorted(end, start[a] + limit, side="right"))))
+            yield data[start[a]:end[b - 1]].tobytes().decode("utf-8")
+            a = n if b == n else b - window + 1
+
+    def run(batches):
+        base = TaskContext.get().partitionId() << 40
+        g, held, u = 0, 0, 0
+        for batch in C.small_batches(batches):
+            out = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for piece in pieces(text):
+                    size = len(piece.encode("utf-8"))
+                    if held and held + size > limit:
+                        g, held = g + 1, 0
+                    held += size
+                    out.append((base + g, base + u, name, piece))
+                u += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
+                    zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["g", "u", "name", "_text"])
+
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"),
+                            F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return C.stored(rows.coalesce(-(-total // limit)).mapInArrow(run, ITEM), "item-groups")
+
+
+def _window_keys(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of every window of ``size`` words: the hash of the window's least gram."""
+    gram = min(size, GRAM)
+    count = np.maximum(0, np.diff(first) - size + 1)
+    doc = np.repeat(np.arange(len(count)), count)
+    if not len(doc):
+        return doc, np.zeros(0, C.U64)
+    at = np.arange(len(h) - gram + 1)
+    g = C.ROLL_B.span(C.ROLL_B.prefix(h), at, at + gram)
+    return doc, C.mix(g[C.rightmost_minimum(g, size - gram + 1)[C.ranges(first[:-1], count)]] + C.U64(size))
+
+
+def _words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    data, offs = C.buffer_of(batch.column(batch.schema.get_field_index("_text")))
+    start, end, first = C.word_spans(data, offs, C.WORD_FOLDED)
+    return C.ROLL_A.span(C.ROLL_A.prefix(C.BYTE_A[C.LOWER[data]]), start, end), first
+
+
+def _document_groups(docs: DataFrame, groups: DataFrame, window: int) -> DataFrame:
+    """``(_id, _sub, g)``: the groups that share a window key with a document.  A bitmap of the items' keys (of a fixed
+    size; where it fills up it lets more pass, never fewer) keeps most other keys from being shuffled."""
+
+    def item_keys(batches):
+        for batch in C.small_batches(batches):
+            h, first = _words_of(batch)
+            g, least = C.column(batch, "g"), np.minimum(np.diff(first), window)
+            for size in np.unique(least[least > 0]).tolist():
+                doc, key = _window_keys(h, first, size)
+                use = least[doc] == size
+                yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(g[doc[use]]),
+                                                  pa.array(np.full(use.sum(), size, np.int32))], names=["key", "g", "size"])
+
+    keys = C.stored(groups.mapInArrow(item_keys, "key long, g long, size int").distinct(), "item-keys")
+    sizes = sorted(r[0] for r in keys.select("size").distinct().collect())          # at most ``window`` rows
+    bitmap = np.zeros(1 << (KEY_BITS - 6), C.U64)
+    place = F.pmod("key", F.lit(1 << KEY_BITS))
+    cells = keys.select(F.shiftright(place, 6).alias("c"), F.pmod(place, F.lit(64)).cast("int").alias("b"))
+    for c, w in cells.select("c", F.expr("shiftleft(1L, b)").alias("w")).groupBy("c").agg(F.bit_or("w")).toLocalIterator():
+        bitmap[c] = C.U64(w & C.MASK)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def document_keys(batches):
+        bits = shared.value
+        for batch in C.small_batches(batches):
+            h, first = _words_of(batch)
+            ids, subs = C.column(batch, "_id"), C.column(batch, "_sub")
+            for size in sizes:
+                doc, key = _window_keys(h, first, size)
+                at = key & C.U64((1 << KEY_BITS) - 1)
+                use = (bits[at >> C.U64(6)] >> (at & C.U64(63)) & C.U64(1)).astype(bool)
+                doc, key = doc[use], key[use]
+                order = np.lexsort((key, doc))
+                doc, key = doc[order], key[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                doc, key = doc[new], key[new]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(subs[doc])],
+                                                 names=["key", "_id", "_sub"])
+
+    found = docs.mapInArrow(document_keys, "key long, _id long, _sub int")
+    return C.stored(found.join(keys.select("key", "g").distinct(), "key").select("_id", "_sub", "g").distinct(), "document-groups")
+
+
+HITS = "_id long, _sub int, own array<struct<u:long,name:string>>, spans array<struct<from:int,to:int,start:int,end:int>>"
+
+
+def scan_dealt(docs: DataFrame, benchmark: DataFrame, total: int, window: int = WINDOW) -> DataFrame:
+    """The result of ``scan`` for any number of items: one automaton per group of items, inside the tasks."""
+    groups = item_groups(benchmark, total, window=window)
+    pairs = _document_groups(docs, groups, window)
+    splits = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / SPLIT_DOCS).cast("int").alias("n"))
+    pairs = pairs.join(splits, "g").withColumn("s", F.pmod(F.xxhash64("_id", "_sub"), F.col("n")).cast("int"))
+    texts = C.sieved(docs, pairs).join(pairs, ["_id", "_sub"]).select(
+        "g", "s", F.lit(1).alias("kind"), "_id", "_sub", F.lit("").alias("name"), "_text")
+    items = groups.join(splits, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"), F.lit(0).alias("kind"),
+                                            F.col("u").alias("_id"), F.lit(0).alias("_sub"), "name", "_text")
+    hits_type = pa.list_(pa.struct([(x, pa.int32()) for x in ("from", "to", "start", "end")]))
+
+    def run(batches):
+        key, held, scanner = None, [], None
+        for batch in C.small_batches(batches):
+            cols = [C.column(batch, x) for x in ("g", "s", "kind")]
+            change = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+            edges = np.concatenate([[0], np.flatnonzero(change) + 1, [batch.num_rows]]).tolist()
+            for a, b in zip(edges, edges[1:]):
+                part = batch.slice(a, b - a)
+                if key != (cols[0][a], cols[1][a]):
+                    key, held, scanner = (cols[0][a], cols[1][a]), [], None
+                ids, subs, names, text = (part.column(part.schema.get_field_index(x)) for x in ("_id", "_sub", "name", "_text"))
+                if cols[2][a] == 0:                                 # a group's items come before its documents
+                    held += [((u, n), _item_words(t)) for u, n, t in zip(ids.to_pylist(), names.to_pylist(), text.to_pylist())]
+                    continue
+                if scanner is None:
+                    scanner, held = Scanner(ItemAutomaton(held, window)), []
+                _, n_hit, own, spans = scanner.texts(text)
+                use = np.flatnonzero(n_hit)
+                if len(use):
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(use)), subs.take(pa.array(use)),
+                         pa.array([[{"u": u, "name": n} for u, n in own[d]] for d in use],
+                                  pa.list_(pa.struct([("u", pa.int64()), ("name", pa.string())]))),
+                         pa.array([spans[d] for d in use], hits_type)], names=["_id", "_sub", "own", "spans"])
+
+    def merge(batches):
+        for batch in batches:
+            rows = []
+            for own, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                joined: list[dict] = []
+                for s in sorted(spans, key=lambda x: (x["from"], x["to"])):
+                    if joined and s["from"] <= joined[-1]["to"]:
+                        if s["to"] > joined[-1]["to"]:
+                            joined[-1] |= {"to": s["to"], "end": s["end"]}
+                    else:
+                        joined.append(s)
+                names = sorted(n for _, n in {(o["u"], o["name"]) for o in own})
+                rows.append((sum(s["to"] - s["from"] for s in joined), len(names), ",".join(names), joined))
+            n_hit, n_items, names, spans = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()),
+                 pa.array(names, pa.string()), pa.array(spans, BYTES)], names=["_id", "_sub", "n_hit", "n_items", "items", "hits"])
+
+    def count(batches):
+        for batch in C.small_batches(batches):
+            _, first = _words_of(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)) for x in ("_id", "_sub")]
+                                             + [pa.array(np.diff(first).astype(np.int64))], names=["_id", "_sub", "n_words"])
+
+    found = items.unionByName(texts).repartition("g", "s").sortWithinPartitions("g", "s", "kind").mapInArrow(run, HITS)
+    hits = "array<struct<start:int,end:int>>"
+    merged = found.groupBy("_id", "_sub").agg(F.flatten(F.collect_list("own")).alias("own"),
+                                              F.flatten(F.collect_list("spans")).alias("spans")) \
+        .mapInArrow(merge, f"_id long, _sub int, n_hit long, n_items long, items string, hits {hits}")
+    zero = F.lit(0).cast("long")
+    return docs.mapInArrow(count, "_id long, _sub int, n_words long").join(merged, ["_id", "_sub"], "left").select(
+        "_id", "_sub", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items", F.lit("")).alias("items"), F.coalesce("hits", F.array().cast(hits)).alias("hits"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
+    if item_bytes(benchmark) > MAX_ITEM_BYTES:
+        gone = decontaminate(docs, benchmark, id_col, text_col).where("contaminated").select("_id", "_sub")
+        return C.keyed(docs, id_col, text_col, row=True).join(gone, ["_id", "_sub"], "left_anti").select("_row.*")
     shared = docs.sparkSession.sparkContext.broadcast(build_automaton(benchmark))
 
     def run(batches):
@@ -236,7 +432,9 @@ CONTAMINATED = f"n_hit > 0 AND {COVERAGE} * n_hit >= n_words"
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scan result with ``contaminated``: hit words reach a twentieth of the document's words."""
-    return scan(C.keyed(docs, id_col, text_col), build_automaton(benchmark)).withColumn("contaminated", F.expr(CONTAMINATED))
+    rows, total = C.keyed(docs, id_col, text_col), item_bytes(benchmark)
+    out = scan_dealt(rows, benchmark, total) if total > MAX_ITEM_BYTES else scan(rows, build_automaton(benchmark))
+    return out.withColumn("contaminated", F.expr(CONTAMINATED))
 
 
 _WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -75,6 +75,31 @@ def test_a_large_benchmark_is_refused(spark, docs_of, monkeypatch):
         D.build_automaton(spark.createDataFrame([(1, "many words of an item")], "item_id long, text string"))
 
 
+@pytest.mark.parametrize("group", [150, 5000])
+def test_more_items_than_one_automaton_holds(spark, docs_of, monkeypatch, group):
+    rng = random.Random(7)
+    vocab = ["the", "Of", "tea", "HÖHE", "日本", "x9", "a", "b", "c", "d"]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))                                      # noqa: E731
+    items = [(n, say(rng.choice([2, 4, 6, 12, 13, 14, 30, 90]))) for n in range(40)] + [(50, ""), (51, None), (52, "--"), (None, say(15))]
+    items += [(60, items[3][1])]
+    docs = [(n, say(rng.choice([0, 3, 40, 200]))) for n in range(30)]
+    docs += [(100 + n, say(30) + ", " + (t or "").upper() + " " + say(300)) for n, t in items[:20]]
+    docs += [(200, None), (201, ""), (None, items[0][1]), (3, docs[3][1]), (3, "tea"), (300, items[5][1] + " " + items[9][1])]
+    table = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    whole = {(r._id, r._sub): r for r in D.decontaminate(docs_of(docs), table).collect()}
+    monkeypatch.setattr(D, "MAX_ITEM_BYTES", 10)
+    monkeypatch.setattr(D, "GROUP_BYTES", group)
+    monkeypatch.setattr(D, "SPLIT_DOCS", 7)
+    out = D.decontaminate(docs_of(docs), table).collect()
+    assert {(r._id, r._sub): r for r in out} == whole and len(out) == len(docs)
+    got = sorted(((None if r._id == -(2 ** 63) else r._id, r.n_words, r.n_hit, r.n_items,
+                   hashlib.sha256(r["items"].encode()).hexdigest(), r.contaminated) for r in out), key=repr)
+    assert got == brute(docs, items)
+    clean = D.keep_clean(docs_of(docs), table)
+    assert clean.columns == docs_of(docs).columns
+    assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((g[0] for g in got if not g[5]), key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
