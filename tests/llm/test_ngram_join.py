@@ -1,5 +1,6 @@
 """Operator 4 against all pairs compared by brute force."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -84,6 +85,41 @@ def test_every_link_and_group(spark, docs_of, seed, limit, block):
     assert got == brute(rows)
 
 
+def test_a_shared_leaf_behind_one_sided_leaves_is_followed(spark):
+    # documents 1 and 2 share leaf 100 only; their smaller leaves, made by splits, have other members
+    n = ngram_join.KEPT + 3
+    rows = [(p, 1, 0, True) for p in [*range(n), 100]] + [(p, 3, 0, True) for p in range(n)]
+    rows += [(50 + p, 2, 0, True) for p in range(n)] + [(50 + p, 4, 0, True) for p in range(n)] + [(100, 2, 0, True)]
+    buckets = spark.createDataFrame(rows, "path long, _id long, _sub int, split boolean")
+    sketch = {1: b"a" * 32, 2: b"a" * 32, 3: b"b" * 32, 4: b"c" * 32}
+    reps = spark.createDataFrame([(i, 0, 100, bytearray(s)) for i, s in sketch.items()], "_id long, _sub int, n int, sketch binary")
+    got = ngram_join.block_groups(buckets, reps).collect()
+    assert sorted((r.path, r._id) for r in got) == [(100, 1), (100, 2)]
+
+
+def test_split_buckets_mark_their_members(spark, docs_of):
+    passage = " ".join(f"p{n}" for n in range(30))
+    rows = [(i, passage + " " + " ".join(f"x{i}y{n}" for n in range(90))) for i in range(40)] + [(90, "z1 z2 z3 z4 z5 z6"), (91, "z1 z2 z3 z4 z5 z6 z7")]
+    docs = ngram_join.C.keyed(docs_of(rows))
+    got = ngram_join.final_buckets(docs, ngram_join.signatures(docs), limit=6).collect()
+    split = {r._id for r in got if r.split}
+    assert set(range(40)) <= split and not split & {90, 91}
+    assert {90, 91} <= {r._id for r in got if r.path is not None}
+
+
+def test_the_computed_miss_at_the_threshold_holds_on_every_split_level():
+    # one set inside the other at 0.8: shared picks per run are Poisson(0.8 * PICKS); a split repeats that below each path
+    mean, none = ngram_join.SIMILARITY * ngram_join.PICKS, 0.0
+    same = ngram_join.SIMILARITY + (1 - ngram_join.SIMILARITY) / 256
+    unlike = sum(math.comb(ngram_join.SKETCH, k) * same ** k * (1 - same) ** (ngram_join.SKETCH - k) for k in range(ngram_join.ALIKE))
+    for level in range(ngram_join.DEPTH):
+        none = math.exp(-mean * (1 - none))
+        miss = none ** ngram_join.RUNS + unlike
+        if level == 0:             # unsplit: KEPT leaves of one side alone come before the first shared one, on either side
+            miss += 2 * (1 - ngram_join.SIMILARITY) ** ngram_join.KEPT
+        assert miss < 1e-5
+
+
 def test_keep_one_returns_the_columns_of_the_input(spark, docs_of):
     rows = corpus(4)
     docs = docs_of(rows)
