@@ -1,14 +1,14 @@
 r"""Operator 9, PII: format-preserving pseudonyms by keyed Feistel networks, in DataFrame functions only.
 
-Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (remainder 97), North American phone numbers (area and
-exchange from 2), social security numbers (ranges), IPv4 addresses (octets up to 255), dates (real days, written
+Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (remainder 97), North American phone numbers (any area and
+exchange after +1 or around brackets, else both from 2), social security numbers (ranges), IPv4 addresses (octets up to 255), dates (real days, written
 Y-M-D, D.M.Y or M/D/Y) and the local part of e-mail addresses.  A candidate that fails its check stays as it is.
 
 Each value is permuted inside its own format by a keyed Feistel network, so the pseudonym passes the same check, different
 values never meet, and equal values give equal pseudonyms in every document:
 
 * strings of marks: two halves, each round adds a key stream drawn from the other half mark by mark, modulo the size of
-  the mark's class (digits, 2-9 where the format asks for it, a-z, A-Z);
+  the mark's class (digits, a-z, A-Z; the first digit of a phone's area and exchange stays in 2-9, or in 0-1);
 * numbers: a mixed-radix Feistel on Z_a x Z_b, exact on ``a * b`` values (addresses, social security numbers, days of
   the 400-year calendar cycle);
 * check digits (Luhn, IBAN) are computed anew; the first digit of a card, an IBAN's country, a phone's country code and
@@ -35,7 +35,8 @@ _SPLIT = "[ -]?"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[.\- ])[2-9]\d{2}[.\- ]\d{4}(?![0-9A-Za-z])",
+    "phone": (r"(?<![0-9A-Za-z])(?:(?:\+1[ .\-]?(?:\(\d{3}\) ?|\d{3}[.\- ])|(?:1[ .\-]?)?\(\d{3}\) ?)\d{3}"
+              r"|(?:1[ .\-]?)?[2-9]\d{2}[.\- ][2-9]\d{2})[.\- ]\d{4}(?![0-9A-Za-z])"),
     "ssn": r"(?<![0-9A-Za-z\-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z\-])",
     "date": r"(?<![0-9A-Za-z./\-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![0-9A-Za-z]|[./\-]\d)",
     "ip": r"(?<![0-9A-Za-z.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![0-9A-Za-z]|\.\d)",
@@ -67,17 +68,17 @@ def _byte(stream: Column, i: Column) -> Column:
 
 
 def _shift(c: Column, by: Column, high: Column) -> Column:
-    """Move a mark inside its class: 2-9 where ``high``, else the digits, a-z or A-Z; other marks stay."""
+    """Move a mark inside its class: 2-9 or 0-1 where ``high``, else the digits, a-z or A-Z; other marks stay."""
     def inside(alphabet: str) -> Column:
         place = F.instr(F.lit(alphabet), c)
         return F.substring(F.lit(alphabet), F.pmod(place - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))
 
-    return (F.when(high & c.between("2", "9"), inside("23456789")).when(c.between("0", "9"), inside(DIGITS))
+    return (F.when(high & c.between("2", "9"), inside("23456789")).when(high & c.between("0", "1"), inside("01")).when(c.between("0", "9"), inside(DIGITS))
             .when(c.between("a", "z"), inside(LOWER)).when(c.between("A", "Z"), inside(UPPER)).otherwise(c))
 
 
 def permute_marks(value: Column, key: str, kind: str, high: Column | None = None) -> Column:
-    """Feistel over the marks of ``value``; ``high`` is an array of places (from 0) that hold 2-9.
+    """Feistel over the marks of ``value``; ``high`` is an array of places (from 0) where 2-9 and 0-1 stay apart.
 
     The state carries each mark's own place, so that a place's class never changes while the halves swap."""
     def all_rounds(marks):

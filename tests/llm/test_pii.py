@@ -152,5 +152,22 @@ def test_pseudonyms_keep_format_and_never_meet():
     assert len(days) == len(range(0, 146097, 7))
 
 
+def test_phones_with_any_area_code_in_the_explicit_form(docs_of):
+    phones = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (171) 555-2028", "(012) 055-7713", "+1-117-155-2028"]
+    phones += [f"+1 ({n:03d}) 555-7713" for n in range(1000)]
+    bare = ["112-555-0199", "1 017 555 7713"]
+    out = pii.pseudonymise(docs_of([(i, f"call {v} now") for i, v in enumerate(phones + bare)])).collect()
+    new = {}
+    for r in out:
+        v = (phones + bare)[r.doc_id]
+        if v in bare:
+            assert (r.text, r.pii_found) == (f"call {v} now", [])
+            continue
+        (kind, value, name), = r.pii_found
+        assert (kind, value, r.text) == ("phone", v, f"call {name} now") and v != name
+        assert re.sub(r"\d", "0", name) == re.sub(r"\d", "0", v)
+        assert re.fullmatch(pii.PATTERNS["phone"], name, re.A) and new.setdefault(name, v) == v
+
+
 def test_empty_table(docs_of):
     assert pii.pseudonymise(docs_of([]).where("doc_id = 1")).count() == 0
