@@ -2,7 +2,9 @@ r"""Operator 9, PII: format-preserving pseudonyms by keyed Feistel networks, in
 
 Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (remainder 97), North American phone numbers (any area and
 exchange after +1 or around brackets, else both from 2), social security numbers (ranges), IPv4 addresses (octets up to 255), dates (real days, written
-Y-M-D, D.M.Y or M/D/Y) and the local part of e-mail addresses.  A candidate that fails its check stays as it is.
+Y-M-D, D.M.Y or M/D/Y) and the local part of e-mail addresses.  A candidate that fails its check stays as it
+is, but a card or IBAN candidate that fails is searched for valid ones made of some of its parts (split at spaces and
+hyphens), the leftmost and longest first: a security code, an expiry date or a word may have been taken along.
 
 Each value is permuted inside its own format by a keyed Feistel network, so the pseudonym passes the same check, different
 values never meet, and equal values give equal pseudonyms in every document:
@@ -31,16 +33,33 @@ from .registry import query
 ROUNDS = 8
 KEY = "pseudonym-key-1"          # a deployment passes its own secret
 
-_SPLIT = "[ -]?"
+COUNTRIES = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+             22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+             25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV",
+             29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+
+
+def _iban_shape(size: int) -> str:
+    """Country's check digits and account marks, solid or in groups of four."""
+    groups, rest = divmod(size - 4, 4)
+    return rf"\d{{2}}(?:[A-Z0-9]{{{size - 4}}}|(?: [A-Z0-9]{{4}}){{{groups}}}" + (rf" [A-Z0-9]{{{rest}}})" if rest else ")")
+
+
+_IBAN = "|".join(f"(?:{names}){_iban_shape(size)}" for size, names in COUNTRIES.items())
+# groups of four with one separator, any number of them and with a part before them: the card is looked for inside
+_CARDS = "|".join(rf"(?:\d{{1,12}}[ \-])?\d{{4}}(?:{c}\d{{4}}){{3,}}(?:{c}\d{{1,3}})?" for c in (" ", r"\-"))
+# a card inside a longer candidate: solid, or grouped with one separator
+_CARD = r"^(?:\d{13,19}|" + "|".join(
+    rf"\d{{4}}{c}(?:\d{{4}}{c}\d{{4}}(?:{c}\d{{4}})?(?:{c}\d{{1,3}})?|\d{{6}}{c}\d{{4,5}})" for c in (" ", r"\-")) + ")$"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "phone": (r"(?<![0-9A-Za-z])(?:(?:\+1[ .\-]?(?:\(\d{3}\) ?|\d{3}[.\- ])|(?:1[ .\-]?)?\(\d{3}\) ?)\d{3}"
               r"|(?:1[ .\-]?)?[2-9]\d{2}[.\- ][2-9]\d{2})[.\- ]\d{4}(?![0-9A-Za-z])"),
     "ssn": r"(?<![0-9A-Za-z\-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z\-])",
     "date": r"(?<![0-9A-Za-z./\-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![0-9A-Za-z]|[./\-]\d)",
     "ip": r"(?<![0-9A-Za-z.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![0-9A-Za-z]|\.\d)",
-    "card": r"(?<![0-9A-Za-z.])\d(?:[ \-]?\d){12,18}(?![0-9A-Za-z]|\.\d)",
+    "card": rf"(?<![0-9A-Za-z.])(?:{_CARDS}|\d(?:[ \-]?\d){{12,18}})(?![0-9A-Za-z]|\.\d)",
 }
 KINDS = list(PATTERNS)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -154,7 +173,7 @@ def card(v: Column, key: str) -> tuple[Column, Column]:
     d = _digits(v)
     new = _let(F.concat(F.substring(d, 1, 1), permute_marks(F.substring(d, F.lit(2), F.length(d) - 2), key, "card")),
                lambda body: F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")))
-    return (_let(d, _luhn) == 0) & ~d.rlike(r"^(\d)\1*$"), _pour(v, new, "[0-9]")
+    return (_let(d, _luhn) == 0) & ~d.rlike(r"^(\d)\1*$") & F.length(d).between(13, 19), _pour(v, new, "[0-9]")
 
 
 def iban(v: Column, key: str) -> tuple[Column, Column]:
@@ -219,6 +238,36 @@ def email(v: Column, key: str) -> tuple[Column, Column]:
     return F.lit(True), F.concat(permute_marks(local, key, "email"), F.substring(v, at, F.length(v)))
 
 
+def _parts(v: Column, key: str) -> Column:
+    """``v`` cut into strings: a card or IBAN candidate around its valid values, leftmost and longest first."""
+    def searched(words):
+        def part(i, j):
+            before = F.length(F.array_join(F.slice(words, F.lit(1), i - 1), " "))
+            start = before + F.when(i > 1, 2).otherwise(1)
+            value = F.substring(v, start, F.length(F.array_join(F.slice(words, i, j - i + 1), " ")))
+            return F.struct(start.alias("start"), value.alias("value"))
+
+        def valid(x):
+            u = x["value"]
+            return F.when(u.rlike("^[0-9]"), (u.rlike(_CARD) | (u == v)) & card(u, key)[0]) \
+                .otherwise(u.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$") & iban(u, key)[0])
+
+        size = F.size(words)
+        every = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(size, i, F.lit(-1)), lambda j: part(i, j)))
+        return F.filter(F.flatten(every), valid)
+
+    def add(acc, x):
+        taken = F.struct(F.concat(acc["parts"], F.array(F.substring(v, acc["at"], x["start"] - acc["at"]), x["value"])).alias("parts"),
+                         (x["start"] + F.length(x["value"])).alias("at"))
+        return F.when(x["start"] >= acc["at"], taken).otherwise(acc)
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(1).alias("at"))
+    cut = F.aggregate(_let(F.split(v, "[ -]"), searched), start, add,
+                      lambda acc: F.concat(acc["parts"], F.array(F.substring(v, acc["at"], F.length(v)))))
+    either = "|".join(f"(?:{PATTERNS[k]})" for k in ("iban", "card"))
+    return F.when(v.rlike(f"^(?:{either})$"), cut).otherwise(F.array(v))
+
+
 MAKERS = {"email": email, "iban": iban, "phone": phone, "ssn": ssn, "date": date, "ip": ip, "card": card}
 
 
@@ -245,15 +294,16 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, found_
 
     def read(line):
         values = F.when(hot(line), F.regexp_extract_all(line, F.lit(ANY), F.lit(0)))
-        return F.struct(line.alias("line"), F.coalesce(F.transform(values, replaced), none).alias("values"))
+        values = F.transform(values, lambda v: F.transform(_parts(v, key), replaced))
+        return F.struct(line.alias("line"), F.coalesce(values, F.array().cast(f"array<{kind}>")).alias("values"))
 
     def written(x):
         # line = rest[0] value[0] rest[1] value[1] ... rest[n]
-        woven = F.transform(F.split(x["line"], ANY, -1), lambda r, i: F.concat(r, F.coalesce(F.get(x["values"], i)["pseudonym"], F.lit(""))))
+        woven = F.transform(F.split(x["line"], ANY, -1), lambda r, i: F.concat(r, F.coalesce(F.array_join(F.get(x["values"], i)["pseudonym"], ""), F.lit(""))))
         return F.when(F.size(x["values"]) == 0, x["line"]).otherwise(F.array_join(woven, ""))
 
     df = docs.withColumn(lines, F.when(hot(text), F.transform(F.split(text, "\n", -1), read)))
-    found = F.filter(F.flatten(F.transform(lines, lambda x: x["values"])), lambda v: v["kind"] != "")
+    found = F.filter(F.flatten(F.transform(lines, lambda x: F.flatten(x["values"]))), lambda v: v["kind"] != "")
     changed = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.transform(lines, written), "\n"))
     return df.withColumn(text_col, changed).withColumn(found_col, F.coalesce(found, none)).drop(lines)
 
