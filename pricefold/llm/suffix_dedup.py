@@ -3,8 +3,9 @@
 1. Candidates: every 100-byte window belongs to one content-defined segment (``anchors``); equal windows share the
    segment's anchor.  Equal segments meet by key, the earliest keeps its bytes, the others lose all of theirs.
 2. Shards: segments that share an anchor but differ around it are gathered by anchor (an anchor with more than
-   ``HOT`` different segments is dealt by window content instead, so no group is bound to one task), and each task
-   builds suffix arrays over shards of at most ``SHARD_BYTES``.
+   ``HOT`` different segments is dealt by window content instead), and each task builds suffix arrays over shards of at
+   most ``SHARD_BYTES``.  A window with more places than fit is dealt by place to sub-shards; each leaves the earliest
+   place, and these meet again in rounds until one is left, so no group is bound to one task.
 3. Suffix array by induced sorting, in numpy: suffixes are classified, leftmost-smaller (LMS) substrings are sorted by
    one induction and named; equal names recurse on the name string (whose alphabet is large, so its suffixes are
    ranked by pair doubling up to the window length); the sorted LMS suffixes then induce the whole array in two
@@ -253,10 +254,8 @@ SHARDED = "shard long, _id long, _sub int, a int, bytes binary"
 SPANS = "_id long, _sub int, start int, end int"
 
 
-def segment_bytes(docs: DataFrame, reps: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """Bytes of the candidate segments with their shard key: the anchor, or for a hot anchor the window itself."""
-    crowded = reps.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h", F.lit(True).alias("hot"))
-    marked = reps.join(crowded, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+def segment_bytes(docs: DataFrame, marked: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Bytes of the candidate segments with their shard key: the anchor, or for a ``hot`` anchor the window itself."""
 
     def run(batches):
         for batch in C.small_batches(batches):
@@ -284,8 +283,12 @@ def segment_bytes(docs: DataFrame, reps: DataFrame, window: int = WINDOW, hot: i
     return A.with_segments(docs, marked, "h", "hot").mapInArrow(run, SHARDED)
 
 
-def shard_repeats(rows: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Suffix arrays over shards; spans of the windows that start earlier too."""
+PLACES = "_id long, _sub int, a int, gone boolean, bytes binary"
+
+
+def shard_repeats(rows: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, places: bool = False) -> DataFrame:
+    """Suffix arrays over shards; spans of the windows that start earlier too.  With ``places`` every row is one window:
+    all rows come back, those that start earlier in the shard too as ``gone``, the others with their bytes."""
 
     def solve(parts):
         shard, i, s, a, data, first = parts
@@ -294,6 +297,15 @@ def shard_repeats(rows: DataFrame, window: int = WINDOW, shard_bytes: int = SHAR
         flat = data[C.ranges(first[:-1][order], size)]
         first = np.concatenate([[0], np.cumsum(size)])
         gone = repeated_windows(flat, first, window)
+        if places:
+            lost = gone[first[:-1]]
+            ends = np.concatenate([[0], np.cumsum(np.where(lost, 0, size))]).astype(np.int32)
+            left = pa.py_buffer(flat[~np.repeat(lost, size)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i[order]), pa.array(s[order]), pa.array(a[order]), pa.array(lost),
+                 pa.BinaryArray.from_buffers(pa.binary(), len(order), [None, pa.py_buffer(ends), left])],
+                names=["_id", "_sub", "a", "gone", "bytes"])
+            return
         edge = np.concatenate([[False], gone, [False]])
         edge = edge[1:].astype(np.int8) - edge[:-1].astype(np.int8)
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -329,7 +341,39 @@ def shard_repeats(rows: DataFrame, window: int = WINDOW, shard_bytes: int = SHAR
         if held is not None and len(held[0]):
             yield from solve(held)
 
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, SPANS)
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, PLACES if places else SPANS)
+
+
+HEAVY_BITS = 20
+
+
+def hot_repeats(rows: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Spans of the repeated windows of hot anchors (``rows``: stored, one window each).
+
+    Windows with more places than half a shard holds are marked in a bitmap of a fixed size (others that it marks too only
+    take the longer way) and dealt by place; a sub-shard leaves one place of each window for the next round."""
+    most = max(2, shard_bytes // (2 * window))
+    heavy = C.stored(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "heavy-windows")
+    n = heavy.agg(F.max("n")).first()[0]
+    if n is None:
+        return shard_repeats(rows, window, shard_bytes)
+    place = F.pmod("shard", F.lit(1 << HEAVY_BITS))
+    cell, bit = F.shiftright(place, 6).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    cells = dict(heavy.select(cell.alias("c"), bit.alias("b")).select("c", F.expr("shiftleft(1L, b)").alias("w"))
+                 .groupBy("c").agg(F.bit_or("w")).collect())            # 2**(HEAVY_BITS - 6) rows at most
+    words = F.lit([cells.get(k, 0) for k in range(1 << (HEAVY_BITS - 6))]).cast("array<bigint>")
+    marked = F.call_function("bit_get", F.get(words, cell), bit) == 1
+    spans = shard_repeats(rows.where(~marked), window, shard_bytes)
+    left, salts = rows.where(marked), -(-n // most)
+    while salts > 1:
+        salt = F.pmod(F.xxhash64("_id", "_sub", "a"), F.lit(salts))
+        dealt = left.select(F.xxhash64("bytes", salt).alias("shard"), "_id", "_sub", "a", "bytes")
+        solved = C.stored(shard_repeats(dealt, window, shard_bytes, places=True), "hot-round")
+        spans = spans.unionByName(solved.where("gone").select(
+            "_id", "_sub", F.col("a").alias("start"), (F.col("a") + window).cast("int").alias("end")))
+        left = solved.where("NOT gone").select(F.xxhash64("bytes").alias("shard"), "_id", "_sub", "a", "bytes")
+        salts = -(-salts // most)
+    return spans.unionByName(shard_repeats(left, window, shard_bytes))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT,
@@ -338,8 +382,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     seen = C.stored(A.first_seen(byte_segments(docs, window, gram), across_documents=False), "suffix-segments")
     copies = seen.where("NOT rep").select("_id", "_sub", F.col("a").alias("start"),
                                           (F.col("a") + F.col("nb") + (window - 1)).cast("int").alias("end"))
-    shards = segment_bytes(docs, seen.where("rep"), window, hot)
-    return copies.unionByName(shard_repeats(shards, window, shard_bytes))
+    reps = seen.where("rep")
+    crowded = C.stored(reps.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h"), "hot-anchors")
+    cold = reps.withColumn("hot", F.lit(False))
+    if not crowded.limit(1).count():
+        return copies.unionByName(shard_repeats(segment_bytes(docs, cold, window), window, shard_bytes))
+    windows = C.stored(segment_bytes(docs, reps.join(crowded, "h", "left_semi").withColumn("hot", F.lit(True)), window), "hot-windows")
+    spans = copies.unionByName(hot_repeats(windows, window, shard_bytes))
+    return spans.unionByName(shard_repeats(segment_bytes(docs, cold.join(crowded, "h", "left_anti"), window), window, shard_bytes))
 
 
 OUT = "_id long, _sub int, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -72,6 +72,30 @@ def test_suffix_dedup_is_exact(spark, docs_of, seed, hot, shard):
     assert got == brute_bytes(rows)
 
 
+def test_a_passage_after_many_contexts_is_dealt_to_bounded_shards(spark, docs_of, monkeypatch):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    rows = [(i, f"{rng.random()}" * 4 + passage + f"{rng.random()}" * 4) for i in range(150)]
+    rows += [(500 + i, "x" * i + passage[:115] + passage) for i in range(20)] + [(None, passage), (3, rows[3][1])]
+    dealt, of = [], suffix_dedup.shard_repeats
+
+    def shard_repeats(rows, window, shard_bytes, places=False):
+        most = rows.groupBy("shard").agg({"*": "count"}).agg({"count(1)": "max"}).first()[0] or 0
+        dealt.append((most, places))
+        return of(rows, window, shard_bytes, places)
+
+    monkeypatch.setattr(suffix_dedup, "shard_repeats", shard_repeats)
+    for shard in (1000, 2500):               # 170 places of a window, 5 or 12 to a sub-shard
+        got = suffix_dedup.dedup(docs_of(rows), hot=2, shard_bytes=shard).collect()
+        got = sorted(((None if r._id == -(2 ** 63) else r._id, r.n_bytes, r.n_removed, r.n_spans,
+                       hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr)
+        assert got == brute_bytes(rows)
+    windows = spark.createDataFrame([(7, i, 0, 0, bytearray(b"w" * 100)) for i in range(400)], suffix_dedup.SHARDED)
+    spans = sorted(tuple(r) for r in suffix_dedup.hot_repeats(windows, shard_bytes=4000).collect())
+    assert spans == [(i, 0, 0, 100) for i in range(1, 400)]
+    assert any(places for _, places in dealt) and max(most for most, _ in dealt) <= 60      # of 400 places
+
+
 def test_substring_dedup_is_exact(spark, docs_of):
     rows = corpus(3)
     got = substring_dedup.dedup(docs_of(rows)).collect()
