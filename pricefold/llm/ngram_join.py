@@ -224,7 +224,8 @@ def _unpack(t: pa.Table):
     return ids, subs, n, side, sketch, follows, key
 
 
-def block_groups(buckets: DataFrame, reps: DataFrame, kept: int = KEPT, block: int = BLOCK) -> DataFrame:
+def block_groups(buckets: DataFrame, reps: DataFrame, kept: int = KEPT, block: int = BLOCK,
+                 similarity: float = SIMILARITY) -> DataFrame:
     """Deal the followed buckets to block pairs; only documents that take part in an allowed pair stay."""
     own = buckets.groupBy("_id", "_sub").agg(F.array_sort(F.collect_set("path")).alias("all"), F.max("split").alias("split")) \
         .select("_id", "_sub", F.when(F.col("split"), F.col("all")).otherwise(F.slice("all", 1, kept)).alias("follows"))
@@ -244,7 +245,7 @@ def block_groups(buckets: DataFrame, reps: DataFrame, kept: int = KEPT, block: i
             if t.num_rows < 2:
                 continue
             ids, subs, n, side, sketch, follows, (path, bi, bj) = _unpack(t)
-            left, right, ok = _pairs_allowed(ids, subs, n, side, sketch, follows, path, bi == bj, SIMILARITY)
+            left, right, ok = _pairs_allowed(ids, subs, n, side, sketch, follows, path, bi == bj, similarity)
             use = np.zeros(len(ids), bool)
             use[left[ok.any(axis=1)]] = True
             use[right[ok.any(axis=0)]] = True
@@ -340,14 +341,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT,
                     block: int = BLOCK, similarity: float = SIMILARITY) -> DataFrame:
-    """``(_id, _sub, text_id, text_sub, n_copies, group_id, group_sub, n_links)``, one row per document."""
+    """``(_id, _sub, text_id, text_sub, n_copies, group_id, group_sub, n_links)``, one row per document.
+
+    The runs, picks and the sketch are set for ``SIMILARITY``; a lower ``similarity`` would lose pairs and is refused."""
+    if not SIMILARITY <= similarity <= 1:
+        raise ValueError(f"similarity {similarity} is outside {SIMILARITY} to 1")
     rows = C.keyed(docs, id_col, text_col)
     signed = C.stored(signatures(rows), "signatures")
     key = F.struct("_id", "_sub")
     firsts = signed.groupBy("t1", "t2").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n_copies"))
     member = C.stored(signed.join(firsts, ["t1", "t2"]).select("_id", "_sub", "rep", "n_copies", (key == F.col("rep")).alias("first")), "members")
     reps = C.stored(signed.join(member.where("first").select("_id", "_sub"), ["_id", "_sub"]).where("n > 0"), "representatives")
-    groups = C.stored(block_groups(final_buckets(rows, reps, limit), reps, block=block), "block-groups")
+    groups = C.stored(block_groups(final_buckets(rows, reps, limit), reps, block=block, similarity=similarity), "block-groups")
     found = C.stored(verify(rows, groups, similarity), "links")
     links = found.groupBy("_id", "_sub").agg(F.sum("links").alias("n_links")).select(key.alias("rep"), "n_links")
     roots = components(found.select(key.alias("u"), F.struct(F.col("root_id").alias("_id"), F.col("root_sub").alias("_sub")).alias("v")))

@@ -129,6 +129,16 @@ def test_keep_one_returns_the_columns_of_the_input(spark, docs_of):
     assert kept.count() == len(groups)
 
 
+def test_a_similarity_below_the_tuned_one_is_refused(spark, docs_of):
+    words = [f"w{n}" for n in range(104)]
+    docs = docs_of([(1, " ".join(words)), (2, " ".join(words[:94])), (3, " ".join(words[:86]))])     # 100, 90 and 82 shingles
+    for low in (0.5, 0.79, 1.1):
+        with pytest.raises(ValueError, match="similarity"):
+            ngram_join.near_duplicates(docs, similarity=low)
+    got = {s: sorted((r._id, r.n_links) for r in ngram_join.near_duplicates(docs, similarity=s).collect()) for s in (0.8, 0.9)}
+    assert got == {0.8: [(1, 2), (2, 2), (3, 2)], 0.9: [(1, 1), (2, 2), (3, 1)]}
+
+
 def test_empty_table(spark, docs_of):
     assert ngram_join.near_duplicates(docs_of([]).where("doc_id = 1")).count() == 0
 
