@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline; each module holds one operator and its query."""
 
-from . import (bpe, cross_align, decontaminate, fingerprint, html_extract, ngram_join, pii, quality, substring_dedup,  # noqa: F401
+from . import (bpe, chat_format, cross_align, decontaminate, fingerprint, html_extract, ngram_join, pii, quality, substring_dedup,  # noqa: F401
                suffix_dedup, toxicity, whitening)
 from .registry import ORACLES, QUERIES
 
