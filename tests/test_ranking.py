@@ -51,6 +51,37 @@ def test_percentiles_neither_sort_nor_move_the_rows(spark):
     assert "rangepartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("groups", [[], ["g"]])
+@pytest.mark.parametrize("bound", [40])
+def test_large_brackets_are_narrowed_by_cells(spark, monkeypatch, bound, groups):
+    from pricefold.operators import ranking
+    monkeypatch.setattr(ranking, "_CELLS", 256)
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=3000), rng.normal(size=900) * 1e-9 + 5, [1e9, -1e9, 0.0], np.full(800, 2.5)])
+    pdf = pd.DataFrame({"v": v, "g": np.where(np.arange(len(v)) % 3 == 0, None, "a")})
+    probs = [0.0, 0.001, 0.25, 0.5, 0.8, 0.81, 0.999, 1.0]
+    got = exact_percentiles(spark.createDataFrame(pdf, "v double, g string").repartition(5), "v", probs, groups, bound=bound).collect()
+    for key in (["a", None] if groups else [None]):
+        own = pdf.v if not groups else pdf.v[pdf.g.isna() if key is None else pdf.g == key]
+        mine = {r.prob: r.value for r in got if not groups or r.g == key}
+        assert mine == pytest.approx({p: np.percentile(own, p * 100) for p in probs}, rel=1e-12, abs=1e-300)
+
+
+def test_percentiles_without_groups_join_nothing(spark, monkeypatch):
+    from pricefold.operators import ranking
+    plans, kept = [], ranking._stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+    monkeypatch.setattr(ranking, "_stored", seen)
+    df = spark.range(5000).select(F.rand(1).alias("v"), (F.col("id") % 2).alias("g"))
+    exact_percentiles(df, "v", [0.1, 0.9])
+    assert plans and not any("Join" in p or "Cartesian" in p for p in plans)
+    exact_percentiles(df, "v", [0.1, 0.9], ["g"])
+    assert not any("Cartesian" in p or "NestedLoop" in p or "SortMergeJoin" in p for p in plans)
+
+
 def test_percentiles_of_null_groups_and_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", float("nan")), ("a", None)], "g string, v double")
     assert [(r.g, r.value) for r in exact_percentiles(df, "v", [0.5], ["g"]).collect()] == [(None, 2.0)]
