@@ -29,7 +29,7 @@ def keep_uncontaminated(spark, docs, sf_dir):
 
 def pseudonymise(spark, docs, sf_dir):
     """Operator 9: personal values are replaced in place; ``n_chars`` follows the text."""
-    out = pii.pseudonymise(docs, found_col="__pii_found").drop("__pii_found")
+    out = pii.pseudonymise(docs, key=pii.KEY, found_col="__pii_found").drop("__pii_found")
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), "n_chars").cast(kind))
