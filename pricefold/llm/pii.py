@@ -19,7 +19,8 @@ values never meet, and equal values give equal pseudonyms in every document:
 One regular expression finds all kinds; it only reads lines that hold a digit or an @ (no value spans lines).
 
 Defined results: a null text stays null and has no findings; an empty text stays empty; repeated rows get equal results;
-all rows and columns of the input are kept.
+all rows and columns of the input are kept; a line that is one very long run of numbers is searched in time that grows
+with its length.  Planning the expression takes some seconds, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from . import common as C
 from .registry import query
 
 ROUNDS = 8
-KEY = "pseudonym-key-1"          # a deployment passes its own secret
+KEY = "pseudonym-key-1"          # of the registered queries; callers must pass their own secret
 
 COUNTRIES = {15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
              22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
@@ -173,7 +174,7 @@ def card(v: Column, key: str) -> tuple[Column, Column]:
     d = _digits(v)
     new = _let(F.concat(F.substring(d, 1, 1), permute_marks(F.substring(d, F.lit(2), F.length(d) - 2), key, "card")),
                lambda body: F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")))
-    return (_let(d, _luhn) == 0) & ~d.rlike(r"^(\d)\1*$") & F.length(d).between(13, 19), _pour(v, new, "[0-9]")
+    return F.length(d).between(13, 19) & (_let(d, _luhn) == 0) & ~d.rlike(r"^(\d)\1*$"), _pour(v, new, "[0-9]")
 
 
 def iban(v: Column, key: str) -> tuple[Column, Column]:
@@ -181,7 +182,7 @@ def iban(v: Column, key: str) -> tuple[Column, Column]:
     country = F.substring(d, 1, 2)
     new = _let(permute_marks(F.substring(d, F.lit(5), F.length(d)), key, "iban"), lambda body: F.concat(
         country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0"), body))
-    return (_mod97(d) == 1) & F.length(d).between(15, 34), _pour(v, new, "[0-9A-Z]")
+    return F.length(d).between(15, 34) & (_mod97(d) == 1), _pour(v, new, "[0-9A-Z]")
 
 
 def phone(v: Column, key: str) -> tuple[Column, Column]:
@@ -238,40 +239,68 @@ def email(v: Column, key: str) -> tuple[Column, Column]:
     return F.lit(True), F.concat(permute_marks(local, key, "email"), F.substring(v, at, F.length(v)))
 
 
+MOST_WORDS = 19        # a card has at most 19 digits; an IBAN candidate has at most nine groups
+LONG, FEW_WORDS = 40, 6    # only groups of four, but for the first and last, make a longer candidate: a card is five of them, or less
+LIST = 256
+
+
 def _parts(v: Column, key: str) -> Column:
-    """``v`` cut into strings: a card or IBAN candidate around its valid values, leftmost and longest first."""
+    """``v`` cut into strings: a card or IBAN candidate around its valid values, leftmost and longest first.
+
+    From each word at most ``MOST_WORDS`` words are tried, so the work grows with the length of the candidate."""
     def searched(words):
-        def part(i, j):
-            before = F.length(F.array_join(F.slice(words, F.lit(1), i - 1), " "))
-            start = before + F.when(i > 1, 2).otherwise(1)
-            value = F.substring(v, start, F.length(F.array_join(F.slice(words, i, j - i + 1), " ")))
-            return F.struct(start.alias("start"), value.alias("value"))
-
-        def valid(x):
-            u = x["value"]
+        """Starts (from 1) and numbers of words of every valid value, leftmost and longest first."""
+        size = F.size(words)
+
+        def valid(u):
             return F.when(u.rlike("^[0-9]"), (u.rlike(_CARD) | (u == v)) & card(u, key)[0]) \
                 .otherwise(u.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$") & iban(u, key)[0])
 
-        size = F.size(words)
-        every = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(size, i, F.lit(-1)), lambda j: part(i, j)))
-        return F.filter(F.flatten(every), valid)
+        def from_word(i):
+            most = F.least(size - i + 1, F.when(size > LONG, FEW_WORDS).otherwise(MOST_WORDS))
+            lengths = F.sequence(most, F.lit(1), F.lit(-1))
+            return F.transform(F.filter(lengths, lambda n: valid(_value(words, i, n))), lambda n: F.struct(i.alias("i"), n.alias("n")))
+        return F.flatten(F.transform(F.sequence(F.lit(1), size), from_word))
+
+    kind = "array<struct<i:int,n:int>>"
 
     def add(acc, x):
-        taken = F.struct(F.concat(acc["parts"], F.array(F.substring(v, acc["at"], x["start"] - acc["at"]), x["value"])).alias("parts"),
-                         (x["start"] + F.length(x["value"])).alias("at"))
-        return F.when(x["start"] >= acc["at"], taken).otherwise(acc)
+        """Take ``x`` unless it begins inside what was taken; the list grows in pieces of LIST, so that few are copied."""
+        full = F.size(acc["part"]) >= LIST
+        taken = F.struct(F.when(full, F.concat(acc["full"], F.array(acc["part"]))).otherwise(acc["full"]).alias("full"),
+                         F.when(full, F.array(x)).otherwise(F.concat(acc["part"], F.array(x))).alias("part"), (x["i"] + x["n"]).alias("at"))
+        return F.when(x["i"] >= acc["at"], taken).otherwise(acc)
+
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("full"), F.array().cast(kind).alias("part"), F.lit(1).alias("at"))
+
+    def woven(words):
+        chosen = F.aggregate(searched(words), start, add, lambda acc: F.concat(F.flatten(acc["full"]), acc["part"]))
+
+        def cut(taken):
+            end = lambda k: F.coalesce(F.get(taken, k)["i"] + F.get(taken, k)["n"], F.lit(1))       # noqa: E731
+            gap = lambda k, to: F.concat(_separator(words, end(k) - 1), F.array_join(F.slice(words, end(k), to - end(k)), ""))
+            both = F.transform(taken, lambda x, k: F.array(gap(k - 1, x["i"]), _value(words, x["i"], x["n"])))
+            return F.concat(F.flatten(both), F.array(gap(F.size(taken) - 1, F.size(words) + 1)))
+        return _let(chosen, cut)
 
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(1).alias("at"))
-    cut = F.aggregate(_let(F.split(v, "[ -]"), searched), start, add,
-                      lambda acc: F.concat(acc["parts"], F.array(F.substring(v, acc["at"], F.length(v)))))
     either = "|".join(f"(?:{PATTERNS[k]})" for k in ("iban", "card"))
-    return F.when(v.rlike(f"^(?:{either})$"), cut).otherwise(F.array(v))
+    return F.when(v.rlike(f"^(?:{either})$"), _let(F.regexp_extract_all(v, F.lit("[^ -]+[ -]?"), F.lit(0)), woven)).otherwise(F.array(v))
+
+
+def _value(words: Column, i: Column, n: Column) -> Column:
+    """``n`` words from the ``i``-th; each word has the separator behind it, the last one's is left out."""
+    return F.regexp_replace(F.array_join(F.slice(words, i, n), ""), "[ -]$", "")
+
+
+def _separator(words: Column, i: Column) -> Column:
+    """The separator behind the ``i``-th word; the empty string for none, and for no word."""
+    return F.when(i < 1, F.lit("")).otherwise(F.regexp_extract(F.get(words, i - 1), "[ -]$", 0))
 
 
 MAKERS = {"email": email, "iban": iban, "phone": phone, "ssn": ssn, "date": date, "ip": ip, "card": card}
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, found_col: str = "pii_found") -> DataFrame:
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", found_col: str = "pii_found") -> DataFrame:
     """``docs`` with the text's personal values replaced, and ``found_col`` = array of (kind, value, pseudonym)."""
     text = F.col(text_col)
 
@@ -312,7 +341,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, found_
 def op9_pii(spark, sf_dir):
     """doc_id, the whole text with pseudonyms, and how many values of each kind were replaced."""
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pseudonymise(docs)
+    out = pseudonymise(docs, key=KEY)
 
     def count(kind):
         return F.size(F.filter("pii_found", lambda x: x["kind"] == kind)).alias(f"n_{kind}")
