@@ -4,7 +4,8 @@ Pass 0 cuts a page into blocks at block tags and leaves out what is never articl
 navigation, headers, footers, asides and elements whose class, id or role names a menu, advert, notice, comment area or
 the like.  Pass 1 classifies the blocks by link density, length and stop-word density; pass 2 lets ambiguous short
 blocks inherit the labels of the nearest decided neighbours.  If a page marks an ``article`` or ``main`` element, blocks
-outside are boilerplate, and blocks inside need no stop words to count as text.
+outside are boilerplate; blocks inside are decided text if they are long, or of middle length and of stop words, and else follow
+their neighbours, the good one before the bad.
 
 Every page is handled alone inside an Arrow batch, so there is no shuffle at all.
 
@@ -53,10 +54,26 @@ le la les de des du un une et est en que qui dans pour sur par pas au aux ce il
 der die das und ist ein eine von zu mit den dem des im nicht sich auf für als auch es an werden aus er hat dass sie nach bei
 el los las y del al lo con una su para por como más o pero sus ha me sin sobre este ya entre cuando todo esta""".split())
 
+# nouns that make a compound name of a bad word a page's part ("share-buttons"), where others do not ("related-work")
+PARTS = {"area", "article", "articles", "bar", "block", "box", "btn", "button", "buttons", "container", "content", "form", "group",
+         "icon", "icons", "inner", "inline", "item", "items", "link", "links", "list", "module", "news", "outer", "panel", "post",
+         "posts", "row", "section", "slot", "stories", "story", "text", "thread", "unit", "us", "wrap", "wrapper", "zone",
+         "top", "bottom", "left", "right", "main", "site", "page"}
+OWNER = re.compile(r"©\s*.{0,60}$|(?:©|\(c\)\s)\s*(?:copyright\b|(?:19|20)\d\d\b|.{0,120}\brights reserved)", re.I | re.S)
 LINKS, SHORT, LONG, STOP_LOW, STOP_HIGH = 0.4, 70, 200, 0.18, 0.28
 
 
-def _left_out(attrs: str) -> bool:
+def _names_part(token: str, inside: bool) -> bool:
+    """Does a class or id name a menu, advert, notice or the like?  Inside a marked element a compound only does if all of its
+    parts are such words or plain nouns for a part of a page."""
+    if token in BAD_NAMES or token in BAD_WORDS:
+        return True
+    parts = re.split(r"[-_:]+", token)
+    bad = [w in BAD_WORDS for w in parts]
+    return any(bad) and (not inside or all(b or w in PARTS or w.isdigit() for b, w in zip(bad, parts)))
+
+
+def _left_out(attrs: str, inside: bool) -> bool:
     for m in HINT.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -67,7 +84,7 @@ def _left_out(attrs: str) -> bool:
             return True
         if name in ("class", "id"):
             for token in value.split():
-                if token in BAD_NAMES or token in BAD_WORDS or any(w in BAD_WORDS for w in re.split(r"[-_:]+", token)):
+                if _names_part(token, inside):
                     return True
     return False
 
@@ -144,7 +161,7 @@ def blocks(page: str) -> list[Block]:
             out_now, in_main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if name in MAIN:
             stack.append((name, out_now or _hidden(attrs), True))
-        elif name not in ("html", "body") and (name in NEVER and not (name == "header" and in_main) or (attrs and _left_out(attrs))):
+        elif name not in ("html", "body") and (name in NEVER and not (name == "header" and in_main) or (attrs and _left_out(attrs, in_main))):
             stack.append((name, True, in_main))
         elif is_block or (stack and stack[-1][1]):
             stack.append((name, out_now, in_main))
@@ -169,10 +186,10 @@ def classify(found: list[Block]) -> list[str]:
         stop = sum(w in STOP for w in words) / len(words)
         if marked and not b.main:
             labels.append("bad")
-        elif links > LINKS or b.text.startswith(("©", "(c) ")):
+        elif links > LINKS or (OWNER.match(b.text) and size < LONG):
             labels.append("bad")
         elif marked:
-            labels.append("good" if size >= SHORT else "short")
+            labels.append("good" if size >= LONG or (size >= SHORT and stop >= STOP_LOW) else "short")
         elif size < SHORT:
             labels.append("bad" if links > 0 else "short")
         elif stop >= STOP_HIGH or (stop >= STOP_LOW and size >= LONG):

@@ -26,6 +26,14 @@ CASES = {
                                     f"<section id=comments><article class=comment><p>{LONG}</p></article></section>"
                                     f"<div style='display: none'>{MORE}</div><p>{MORE}</p></main>",
                                     f"Title of it\n\n{LONG}\n\n{MORE}"),
+    "points of a list": (f"<article><p>{LONG}</p><p>(a) the first point of it</p><p>(b) the second</p><p>(c) the third of them all</p>"
+                         f"<p>{MORE}</p><p>(c) 2024 The Site. All rights reserved.</p><p>\u00a9 The Site</p></article>",
+                         f"{LONG}\n\n(a) the first point of it\n\n(b) the second\n\n(c) the third of them all\n\n{MORE}"),
+    "names with a bad part": (f"<article><section id='related-work'><p>{LONG}</p></section><div class='search-party'><p>{MORE}</p></div>"
+                              f"<p class='alert-level-history'>{LONG}</p><div class='related-posts'><p>{MORE}</p></div>"
+                              f"<div class='ad-slot-2'><p>{MORE}</p></div></article>", f"{LONG}\n\n{MORE}\n\n{LONG}"),
+    "few stop words inside": (f"<article><p>{LONG}</p><p>Zinc, copper, lead, iron, nickel, cobalt, silver, gold, platinum, mercury, tin.</p><p>{MORE}</p></article>",
+                              f"{LONG}\n\nZinc, copper, lead, iron, nickel, cobalt, silver, gold, platinum, mercury, tin.\n\n{MORE}"),
     "stray and unclosed": (f"</div><article></b><p class='a>{LONG}</p>", ""),
     "attribute with a mark": (f"<article data-x='a > b'><p title=\"1 > 0\">{LONG}</p></article>", LONG),
     "broken script": ("<script>never closed <p>text</p>", ""),
@@ -57,6 +65,34 @@ def test_blocks_follow_their_neighbours():
     assert mark(["short"]) == [False] and mark(["short"], True) == [True]
 
 
+WORDS = "river town bridge stone water field road market winter people house king church letter ship island".split()
+CHROME = ["<div class='top-menu'><a href=/>Home</a> <a href=/n>News</a> <a href=/a>About us</a></div>",
+          "<div><a href=1>Older entries of the month</a> <a href=2>Newer entries of the month</a></div>",
+          "<ul><li><a href=/t>Tags</a></li><li><a href=/c>Contact</a></li></ul>", "<div class=cookie-notice><p>We use cookies to make the site better for you.</p></div>",
+          "<form><p>Write your mail to get the news of the week in your box.</p></form>",
+          "<div id=comments><p>I think that it is the best of all that I have read in the last year, and I will come back.</p></div>",
+          "<footer><p>\u00a9 2024 The Site. All rights reserved.</p></footer>"]
+
+
+def test_pages_without_marks_have_high_precision_and_recall():
+    """Unmarked pages made from known paragraphs and page parts: blocks are compared one by one."""
+    import random
+    rng = random.Random(6)
+
+    def paragraph():
+        return " ".join(rng.choice(["the", "of", "and", "to", "in", "it", "was", "that"]) if rng.random() < 0.4 else rng.choice(WORDS)
+                        for _ in range(rng.randint(18, 90))).capitalize() + "."
+    right = kept = wanted = 0
+    for _ in range(200):
+        article = [paragraph() for _ in range(rng.randint(2, 9))]
+        article.insert(rng.randint(1, len(article)), " ".join(rng.sample(WORDS, 3)))       # a short heading between or behind
+        chrome = [rng.choice(CHROME) for _ in range(6)]
+        page = "<body>" + "".join(chrome[:3]) + "<div>" + "".join(f"<p>{p}</p>" for p in article) + "</div>" + "".join(chrome[3:]) + "</body>"
+        got = H.main_text(page).split("\n\n")
+        right, kept, wanted = right + len([g for g in got if g in article]), kept + len(got), wanted + len(article)
+    assert right / kept >= 0.98 and right / wanted >= 0.95, (right / kept, right / wanted)
+
+
 def test_operator_keeps_rows_and_schema(spark):
     rows = [(i, f"u{i}", page, "x", 1) for i, (page, _) in enumerate(CASES.values())] + [(0, "u0", CASES["article"][0], "x", 1), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, _id int")
