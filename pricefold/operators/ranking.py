@@ -76,7 +76,7 @@ def _clip(p: float) -> float:
     return min(1.0, max(0.0, p))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """A small table, written to the shared folder once and read back: its true size is known to the planner."""
     from ..session import scratch_dir
     path = scratch_dir(df.sparkSession, name)
@@ -105,12 +105,12 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: list[float], group_c
     first = [F.when(n < _SMALL, F.col("least")).when(n < _MIDDLE, q[4 * k]).otherwise(q[4 * k + 2]).alias(f"lo{k}") for k in ks] + \
             [F.when(n < _SMALL, F.col("most")).when(n < _MIDDLE, q[4 * k + 1]).otherwise(q[4 * k + 3]).alias(f"hi{k}") for k in ks] + \
             [F.ceil(n * share).cast("long").alias(f"rows{k}") for k in ks]
-    brackets = _stored(vals.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"),
+    brackets = stored(vals.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"),
                                              F.percentile_approx("_v", grid, _SKETCH).alias("q"))
                        .where("n > 0").select(*by, "n", *first), "percentile-brackets")
     done = []
     for turn in range(_ROUNDS):
-        found = _stored(_located(vals, brackets, probs, by, bound if turn < _ROUNDS - 1 else None), "percentile-ranks")
+        found = stored(_located(vals, brackets, probs, by, bound if turn < _ROUNDS - 1 else None), "percentile-ranks")
         open_ = F.exists("at", lambda x: x["v0"].isNull() | x["v1"].isNull())
         done.append(found.where(~open_))
         rest = found.where(open_)

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import features as FE
 from ..operators import logtransform as LG
 from ..session import scratch_dir
+from ..operators.ranking import stored
 from ..sources import tables as S
 from . import duck as D
 from .registry import query
@@ -55,7 +56,7 @@ SELECT sample_id,
 FROM parsed, s
 """)
 def catalog_scaled_features(spark, sf_dir):
-    p = T.add_parsed_features(S.catalog(spark, sf_dir)).select("sample_id", *_SCALE_COLS).cache()
+    p = stored(T.add_parsed_features(S.catalog(spark, sf_dir)).select("sample_id", *_SCALE_COLS), "scaled-columns")
     z = FE.apply_standard(p, FE.fit_standard(p, _SCALE_COLS), ["sample_id"])
     mm = FE.minmax_scale(p, _SCALE_COLS, ["sample_id"])
     z = z.select("sample_id", *[r6(F.col(c)).alias(f"z_{c}") for c in _SCALE_COLS])

@@ -69,12 +69,12 @@ def test_large_brackets_are_narrowed_by_cells(spark, monkeypatch, bound, groups)
 
 def test_percentiles_without_groups_join_nothing(spark, monkeypatch):
     from pricefold.operators import ranking
-    plans, kept = [], ranking._stored
+    plans, kept = [], ranking.stored
 
     def seen(df, name):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return kept(df, name)
-    monkeypatch.setattr(ranking, "_stored", seen)
+    monkeypatch.setattr(ranking, "stored", seen)
     df = spark.range(5000).select(F.rand(1).alias("v"), (F.col("id") % 2).alias("g"))
     exact_percentiles(df, "v", [0.1, 0.9])
     assert plans and not any("Join" in p or "Cartesian" in p for p in plans)
