@@ -26,13 +26,21 @@ from ..session import scratch_dir
 NULL_ID = -(2 ** 63)
 U64 = np.uint64
 MASK = (1 << 64) - 1
-BATCH_BYTES = 2 << 20  # text handled at once inside a task; one longer document is handled alone
+BATCH_BYTES = 1 << 20  # text handled at once inside a task; one longer document is handled alone
+ARROW_BYTES = 4 << 20  # rows given to a Python worker at once, unless the session says otherwise; one longer row comes alone
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, which by default is bounded by rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,6 +56,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """``(_id, _sub, _text)``, with ``row`` also ``_row``, the whole input row; the rank of repeats is only computed
     where an id does repeat (one pass over ids)."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
                        *([F.struct(*docs.columns).alias("_row")] if row else []))

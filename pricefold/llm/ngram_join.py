@@ -12,7 +12,7 @@ A document's set holds the hashes of its five-word shingles (of all its words wh
    other only if they share none of the followed: at the threshold itself, one set inside the other and every leaf with
    other members too, the computed chance is 5.4e-6 without splits, 3.0e-6 after one and 9.9e-6 after two (``DEPTH``),
    the sketch filter's part (1.8e-7) included.
-4. Small buckets are compared by brute force; a large one is dealt to blocks of ``BLOCK`` documents, and every pair of
+4. Small buckets are compared by brute force; a large one is dealt to blocks of ``BLOCK`` documents (fewer, if they are long), and every pair of
    blocks is a task group of its own, so no bucket is bound to one task and none is cut.  A pair is handled
    only in the smallest bucket that both follow, and only if size and a 32-byte sketch allow the threshold.
 5. The pairs left are verified on their whole shingle sets; each block pair returns link counts and a spanning forest,
@@ -40,6 +40,8 @@ from .registry import query
 
 SHINGLE, SIMILARITY = 5, 0.8
 RUNS, PICKS, LIMIT, DEPTH, KEPT = 10, 2.0, 64, 3, 8
+BLOCK_SHINGLES = 1 << 20                     # a block holds about so many shingles at most, however long its texts
+ATTACH_BYTES = 4 << 20                      # rows with their shingle sets go on in batches of this size
 BLOCK, SKETCH, ALIKE = 512, 32, 13          # ALIKE of 32 sketch bytes: a pair at 0.8 falls below with p < 1e-6
 
 
@@ -231,8 +233,8 @@ def block_groups(buckets: DataFrame, reps: DataFrame, kept: int = KEPT, block: i
         .select("_id", "_sub", F.when(F.col("split"), F.col("all")).otherwise(F.slice("all", 1, kept)).alias("follows"))
     rows = own.join(reps.select("_id", "_sub", "n", "sketch"), ["_id", "_sub"]) \
               .withColumn("path", F.explode("follows"))
-    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    g = F.ceil(F.col("m") / block).cast("int")
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
+    g = F.ceil(F.greatest(F.col("m") / block, F.col("total") / BLOCK_SHINGLES)).cast("int")
     rows = rows.join(sizes, "path").withColumn("g", g) \
                .withColumn("b", F.pmod(F.xxhash64("_id", "_sub"), F.col("g")).cast("int"))
     # block b meets each block o: as the left one of (b, o) if b < o, the right one of (o, b) if b > o, both if equal
@@ -267,9 +269,13 @@ def verify(docs: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -
             own = np.repeat(np.arange(batch.num_rows), np.diff(col.offsets.to_numpy()))
             flat = col.flatten()
             sets = [h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            for lo in range(0, len(own), 2000):
-                d = own[lo:lo + 2000]
-                part = {f: flat.field(f)[lo:lo + 2000] for f in fields}
+            held = np.cumsum(np.diff(first)[own] * 8 + 256)          # bytes of the rows so far
+            lo = 0
+            while lo < len(own):
+                hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + ATTACH_BYTES, side="right")))
+                d, took = own[lo:hi], slice(lo, hi)
+                lo = hi
+                part = {f: flat.field(f)[took.start:took.stop] for f in fields}
                 part |= {"_id": pa.array(C.column(batch, "_id")[d]), "_sub": pa.array(C.column(batch, "_sub")[d]),
                          "shingles": pa.array([sets[x] for x in d.tolist()], pa.binary())}
                 order = ["path", "bi", "bj", "_id", "_sub", "n", "side", "sketch", "follows", "shingles"]

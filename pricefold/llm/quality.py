@@ -90,7 +90,10 @@ def context_table(docs: DataFrame) -> np.ndarray:
                                           pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "sums"])
 
     schema = "block int, sums binary"
-    parts = docs.select("_text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    # two steps: a block's tables of all tasks never meet in one task, only those of a share of the tasks do, then the shares' sums
+    shares = max(1, C.shuffle_partitions(docs.sparkSession) // 8)
+    parts = docs.select("_text").mapInArrow(count, schema).repartition("block", F.pmod(F.spark_partition_id(), F.lit(shares))) \
+        .mapInArrow(add, schema).repartition("block").mapInArrow(add, schema)
     table = np.zeros((BUCKETS // BLOCK, BLOCK * DIM))
     for row in parts.collect():                # BUCKETS * DIM doubles at most: bounded by the two parameters
         table[row.block] = np.frombuffer(row.sums)
