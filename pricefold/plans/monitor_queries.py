@@ -11,6 +11,7 @@ from ..operators import quality as Q
 from ..operators import registry as REG
 from ..session import scratch_dir
 from ..sources import catalog_io as IO
+from ..operators import sliding as SL
 from ..sources import tables as S
 from .registry import query
 
@@ -170,6 +171,18 @@ def rolling_latency_window(spark, sf_dir):
     return w.select("service", *[r6(F.col(c)).alias(c) for c in ["p50_ms", "p95_ms", "p99_ms"]], "window_rows")
 
 
+@query("sliding_latency_percentiles", "WIN-1", oracle="""
+SELECT service, event_id, row_number() OVER (PARTITION BY service ORDER BY ts, event_id) - 1 AS rank, count(latency_ms) OVER w AS window_rows,
+       round(quantile_cont(latency_ms, 0.5) OVER w, 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95) OVER w, 6) AS p95_ms,
+       round(quantile_cont(latency_ms, 0.99) OVER w, 6) AS p99_ms
+FROM service_requests WHERE latency_ms IS NOT NULL
+WINDOW w AS (PARTITION BY service ORDER BY ts, event_id ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)
+""")
+def sliding_latency_percentiles(spark, sf_dir):
+    w = SL.sliding_percentiles(S.request_events(spark, sf_dir))
+    return w.select("service", "event_id", "rank", "window_rows", *[r6(F.col(c)).alias(c) for c in ["p50_ms", "p95_ms", "p99_ms"]])
+
+
 @query("monitoring_alerts", "ALR-1 ALR-2 TOP-2 FLT-6", oracle=f"""
 WITH {_DRIFT_DUCK}, {_LAT_DUCK},
 a AS (SELECT CASE WHEN psi >= 0.3 THEN 'critical' WHEN psi >= 0.2 THEN 'warning' END AS severity, 'drift' AS alert_type,
