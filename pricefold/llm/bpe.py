@@ -1,10 +1,10 @@
 """Operator 2, BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut into chunks where a rolling hash of the last ``ROLL`` bytes hits ``1 / 2**CUT_BITS`` and white space
-follows, so that passages shared by documents give equal chunks wherever they stand.  Inside a task every distinct
+follows, so that passages shared by documents give equal chunks wherever they stand.  Inside a worker every distinct
 chunk is encoded once, whatever the number of documents that hold it; a new chunk is put together from its words, and
 every distinct word is given to the tokenizer once.  Results beyond ``CHUNK_BYTES`` and ``WORDS`` are dropped, the
-least recently used words first, and rebuilt when needed, which bounds memory and changes no result.
+words met least often first, and rebuilt when needed, which bounds memory and changes no result.
 
 Each join of two chunks is repaired: the words around it are re-encoded together, first one on each side, then twice as
 many, until the outer words of the re-encoded stretch come out as they did alone; its ids then replace those of the
@@ -68,40 +68,62 @@ class Encoder:
         self.chunks: dict[bytes, tuple[np.ndarray, bytes]] = {}
         self.chunk_bytes = 0
         self.joins: dict[tuple[bytes, bytes], bool] = {}
-        # two generations of word results: a word found in the old one moves to the young one, the rest are dropped
-        # when the young one is full; so frequent words stay
-        self.young: dict[bytes, tuple[bytes, bytes]] = {}
-        self.old: dict[bytes, tuple[bytes, bytes]] = {}
+        # results of all words met, by number: ids back to back, their ends, decoded text, how often met since the last halving
+        self.number: dict[bytes, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.shown, self.met = np.zeros(0, object), np.zeros(0, np.int64)
 
     def _learn(self, new: list[bytes]):
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
         ids = [e.ids for e in encoded]
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * 4
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]) // 4).tobytes()
-        packed = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))
+        shown = np.empty(len(new), object)
         if self.names is not None:           # no decoder: a text is its tokens, joined by spaces
-            shown = [b" ".join(map(self.names.__getitem__, x)) for x in ids]
+            shown[:] = [b" ".join(map(self.names.__getitem__, x)) for x in ids]
         else:
-            shown = [self.tokenizer.decode(x, skip_special_tokens=False).encode("utf-8") for x in ids]
-        self.young.update(zip(new, zip(packed, shown)))
+            shown[:] = [self.tokenizer.decode(x, skip_special_tokens=False).encode("utf-8") for x in ids]
+        first = len(self.number)
+        self.number.update(zip(new, range(first, first + len(new))))
+        self.flat, self.ends = np.concatenate([self.flat, flat]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(count)])
+        self.shown, self.met = np.concatenate([self.shown, shown]), np.concatenate([self.met, np.zeros(len(new), np.int64)])
+
+    def _halve(self) -> None:
+        """Only the half met most often stays."""
+        stay = np.sort(np.argsort(-self.met, kind="stable")[: WORDS // 2])
+        stay = stay[self.met[stay] > 1]
+        names = list(self.number)
+        self.number = {names[i]: k for k, i in enumerate(stay.tolist())}
+        count = self.ends[stay + 1] - self.ends[stay]
+        self.flat = self.flat[C.ranges(self.ends[stay], count)]
+        self.ends = np.concatenate([[0], np.cumsum(count)])
+        self.shown, self.met = self.shown[stay], np.zeros(len(stay), np.int64)
 
     def chunk_results(self, wanted: list[bytes]) -> None:
         """Fill ``self.chunks`` for all of ``wanted``."""
         if self.chunk_bytes > CHUNK_BYTES:
             self.chunks, self.chunk_bytes = {}, 0
-        if len(self.young) > WORDS // 2:
-            self.old, self.young = self.young, {}
-        todo = {c: c.split() for c in dict.fromkeys(wanted) if c not in self.chunks}
-        missing = set(chain.from_iterable(todo.values())) - self.young.keys()
-        known = missing & self.old.keys()
-        self.young.update((w, self.old[w]) for w in known)
-        if len(missing) > len(known):
-            self._learn(list(missing - known))
-        for c, words in todo.items():
-            got = list(map(self.young.__getitem__, words))
-            ids = np.frombuffer(b"".join([x for x, _ in got]), np.int32)
-            self.chunks[c] = (ids, b" ".join([y for _, y in got if y]))
+        todo = [c for c in dict.fromkeys(wanted) if c not in self.chunks]
+        words = [c.split() for c in todo]
+        every = list(chain.from_iterable(words))
+        missing = [w for w in dict.fromkeys(every) if w not in self.number]
+        if missing and len(self.number) + len(missing) > WORDS:
+            self._halve()
+            missing = [w for w in dict.fromkeys(every) if w not in self.number]
+        if missing:
+            self._learn(missing)
+        at = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        self.met += np.bincount(at, minlength=len(self.met))
+        count = self.ends[at + 1] - self.ends[at]
+        flat, shown = self.flat[C.ranges(self.ends[at], count)], self.shown[at].tolist()
+        upto = np.concatenate([[0], np.cumsum(count)])
+        lo = 0
+        for c, own in zip(todo, words):
+            hi = lo + len(own)
+            ids = flat[upto[lo]: upto[hi]].copy()
+            self.chunks[c] = (ids, b" ".join(filter(None, shown[lo:hi])))
             self.chunk_bytes += len(c) + 4 * len(ids) + len(self.chunks[c][1])
+            lo = hi
 
     def agree(self, pairs: list[tuple[bytes, bytes]]) -> None:
         """Re-encode the two words around each new join."""
@@ -113,10 +135,10 @@ class Encoder:
             self.joins[a, b] = e.ids == self._word(a) + self._word(b)
 
     def _word(self, w: bytes) -> list[int]:
-        got = self.young.get(w) or self.old.get(w)
-        if got is None:
+        k = self.number.get(w)
+        if k is None:
             return self.tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids
-        return np.frombuffer(got[0], np.int32).tolist()
+        return self.flat[self.ends[k]: self.ends[k + 1]].tolist()
 
     def repaired(self, pieces: list[bytes], seam: int) -> tuple[int, int, list[int]]:
         """The join after ``pieces[seam]`` re-encoded over ever more words: (ids to drop on the left, on the right,
@@ -173,14 +195,22 @@ class Encoder:
 
 
 OUT = "_id long, _sub int, ids array<int>, decoded string"
+_ENCODERS: dict[str, Encoder] = {}           # one per worker process, kept between its tasks
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(load(path))
+    return _ENCODERS[path]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """``(_id, _sub, ids, decoded)``: the token ids of every whole text and the text they decode to."""
     path = path or tokenizer_path()
+    C.bounded_batches(docs.sparkSession)
 
     def run(batches):
-        encoder = Encoder(load(path))
+        encoder = encoder_of(path)
         for batch in C.small_batches(batches):
             data, offs = C.buffer_of(batch.column(batch.schema.get_field_index("_text")))
             edges = np.unique(np.concatenate([offs, cut_places(data, offs)]))

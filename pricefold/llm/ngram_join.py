@@ -41,6 +41,7 @@ from .registry import query
 SHINGLE, SIMILARITY = 5, 0.8
 RUNS, PICKS, LIMIT, DEPTH, KEPT = 10, 2.0, 64, 3, 8
 BLOCK_SHINGLES = 1 << 20                     # a block holds about so many shingles at most, however long its texts
+SET_BYTES = 1 << 20                         # texts whose shingle sets are made at once
 ATTACH_BYTES = 4 << 20                      # rows with their shingle sets go on in batches of this size
 BLOCK, SKETCH, ALIKE = 512, 32, 13          # ALIKE of 32 sketch bytes: a pair at 0.8 falls below with p < 1e-6
 
@@ -82,7 +83,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """Text hash, set size, first-level paths and sketch of every keyed document."""
 
     def run(batches):
-        for batch in C.small_batches(batches):
+        for batch in C.small_batches(batches, limit=SET_BYTES):
             data, offs = C.buffer_of(batch.column(batch.schema.get_field_index("_text")))
             t1 = C.ROLL_A.span(C.ROLL_A.prefix(C.BYTE_A[data]), offs[:-1], offs[1:])
             t2 = C.ROLL_B.span(C.ROLL_B.prefix(C.BYTE_B[data]), offs[:-1], offs[1:])
@@ -116,7 +117,7 @@ def split_paths(docs: DataFrame, crowded: DataFrame) -> DataFrame:
     owned = crowded.groupBy("_id", "_sub").agg(F.collect_list("path").alias("at"))
 
     def run(batches):
-        for batch in C.small_batches(batches):
+        for batch in C.small_batches(batches, limit=SET_BYTES):
             h, first = shingles(*C.buffer_of(batch.column(batch.schema.get_field_index("_text"))))
             size = np.diff(first)
             col = batch.column(batch.schema.get_field_index("at"))
@@ -263,7 +264,7 @@ def verify(docs: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -
     owned = groups.groupBy("_id", "_sub").agg(F.collect_list(F.struct(*fields)).alias("at"))
 
     def attach(batches):
-        for batch in C.small_batches(batches):
+        for batch in C.small_batches(batches, limit=SET_BYTES):
             h, first = shingles(*C.buffer_of(batch.column(batch.schema.get_field_index("_text"))))
             col = batch.column(batch.schema.get_field_index("at"))
             own = np.repeat(np.arange(batch.num_rows), np.diff(col.offsets.to_numpy()))
@@ -352,6 +353,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The runs, picks and the sketch are set for ``SIMILARITY``; a lower ``similarity`` would lose pairs and is refused."""
     if not SIMILARITY <= similarity <= 1:
         raise ValueError(f"similarity {similarity} is outside {SIMILARITY} to 1")
+    C.bounded_batches(docs.sparkSession)
     rows = C.keyed(docs, id_col, text_col)
     signed = C.stored(signatures(rows), "signatures")
     key = F.struct("_id", "_sub")

@@ -186,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Word vectors from all documents; the network from a bounded, hash-drawn set of labelled ones."""
     rows = C.keyed(docs, id_col, text_col)
     vectors = unit_vectors(context_table(rows))
+    C.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     drawn = training_labels(labels, "quality", bound or TRAIN_BOUND, id_col)
     # the drawn labels are bounded by TRAIN_BOUND, so this side may be broadcast
