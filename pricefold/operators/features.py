@@ -9,10 +9,12 @@ reach the driver or a broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import exact_percentiles, rank_within
+from .ranking import exact_percentiles, rank_within, stored
 
 WORD_SPLIT = r"[^a-z0-9_]+"  # ASCII word characters; tokens are runs of 2+
 
@@ -40,9 +42,11 @@ def english_stop_words() -> list[str]:
 def tfidf_long(docs: DataFrame, id_col: str, text_col: str, max_features: int = 500,
                stop_words: list[str] | None = None, ngram_max: int = 2) -> DataFrame:
     """FEA-1: (id, term, weight) with sklearn's smooth idf ln((1+n)/(1+df)) + 1,
-    the ``max_features`` most frequent terms (ties alphabetical) and L2-normalised
-    rows.  Shuffles: (id, term) counts, term document frequencies; the
-    vocabulary (<= max_features rows) is broadcast."""
+    the ``max_features`` most frequent terms (ties alphabetical) and L2-normalised rows.
+
+    The vocabulary comes first: a mergeable frequent-items summary names candidates, so that terms are not shuffled; only
+    candidates are counted, by (id, term).  If the counts and the summary's bound do not prove that no other term belongs
+    to the vocabulary, every term is counted."""
     from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
     n_docs = docs.count()
     # JVM tokenizer / stop-word remover / n-gram stages, without interpreted lambdas per token
@@ -57,18 +61,33 @@ def tfidf_long(docs: DataFrame, id_col: str, text_col: str, max_features: int =
     for n in range(2, ngram_max + 1):
         t = NGram(n=n, inputCol="_uni", outputCol=f"_g{n}").transform(t)
         grams.append(F.col(f"_g{n}"))
-    # explicit non-null filter: the join would otherwise infer it on one branch
-    # only, and the two (doc, term) exchanges could not be reused as one
     toks = t.select(id_col, F.explode(F.concat(*grams)).alias("term")).where(F.col("term").isNotNull())
-    tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    vocab = stats.orderBy(F.desc("total"), "term").limit(max_features) \
-                 .withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
-    w = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    tf, rows = _vocabulary(toks, id_col, max_features)
+    spark = docs.sparkSession
+    vocab = spark.createDataFrame([(r["term"], math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0) for r in rows], "term string, idf double")
+    w = tf.join(F.broadcast(vocab), "term").withColumn("w", F.col("tf") * F.col("idf"))      # max_features rows at most
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
+def _vocabulary(toks: DataFrame, id_col: str, max_features: int) -> tuple[DataFrame, list]:
+    """((id, term, tf) of at least the vocabulary's terms, the vocabulary's (term, df, total) rows)."""
+    def counted(t):
+        tf = stored(t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+        stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+        return tf, stats.orderBy(F.desc("total"), "term").limit(max_features).collect()     # a top-k report
+
+    k, tracked = 4 * max_features, min(1_000_000, max(10_000, 200 * max_features))
+    found = toks.agg(F.call_function("approx_top_k", F.col("term"), F.lit(k), F.lit(tracked)).alias("x")).first()["x"] or []
+    # estimates are upper bounds: a term that is not among the k has at most the least of them
+    rest = min((r["count"] for r in found), default=0) if len(found) == k else 0
+    names = toks.sparkSession.createDataFrame([(r["item"],) for r in found], "term string")
+    tf, rows = counted(toks.join(F.broadcast(names), "term"))
+    if len(found) == k and (len(rows) < max_features or rows[-1]["total"] <= rest):
+        tf, rows = counted(toks)
+    return tf, rows
+
+
 # ------------------------------------------------------------------ FEA-4/5/6
 def fit_standard(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """FEA-4 fit: mean and population std per column (nulls filled with 0 first)."""

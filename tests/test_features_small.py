@@ -4,7 +4,9 @@ import hashlib
 
 import pytest
 
+import numpy as np
 from pricefold.operators import features as FE
+from pricefold.operators.features import tfidf_long
 
 
 def test_label_codes_sorted_with_na_and_unseen_labels(spark):
@@ -32,3 +34,17 @@ def test_token_hash_embedding(spark):
     h = lambda t, d: int(hashlib.md5(f"{t}:{d}:0".encode()).hexdigest()[:8], 16) / 2 ** 32 * 2 - 1     # noqa: E731
     assert got[0] == pytest.approx([(2 * h("a", d) + h("b", d)) / 3 for d in range(5)])
     assert got[1] == got[2] == [0.0] * 5
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_vocabulary_is_the_exact_one_with_and_without_proof(spark, flat):
+    """Skewed counts are proven by the summary; where all counts are equal it cannot, and every term is counted."""
+    import collections
+    rng = np.random.default_rng(3)
+    words = [f"w{i:03d}" for i in range(300)]
+    p = np.ones(300) if flat else 1.0 / np.arange(1, 301)
+    docs = [[words[j] for j in (range(300) if flat else rng.choice(300, 60, p=p / p.sum()))] for _ in range(40)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "id long, t string")
+    got = {r.term for r in tfidf_long(df, "id", "t", max_features=20, ngram_max=1).select("term").distinct().collect()}
+    total = collections.Counter(w for d in docs for w in d)
+    assert got == set(sorted(total, key=lambda w: (-total[w], w))[:20])
