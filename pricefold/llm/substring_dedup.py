@@ -3,14 +3,17 @@
 Edges are the 13-word windows, nodes their 12-word ends.  A word is removed where a window over it also starts in a
 document with a smaller id.
 
-1. Paths: runs of consecutive edges that share a content-defined anchor leave each document as one precompacted path
-   (``anchors``), so the graph is never held edge by edge.
-2. Equal paths meet by anchor and the smallest document keeps each one; edges of every other copy are repeats.
-3. Only where different paths share an anchor can the graph branch: those paths are opened into single edges, which
-   meet by a 128-bit key; the smallest occurrence is each edge's source coordinate.
-4. Compaction: repeated edges join to the next edge of their document when their source coordinates go on alike;
-   heads and tails of these nonbranching stretches become spans ``(document, start, end, source document, source
-   start)``.  A span stands only if the source coordinates run along its whole length.
+1. Candidates: runs of consecutive edges that share a content-defined anchor leave each document as one segment
+   (``anchors``).  Equal segments meet by a 128-bit key and the smallest document keeps each one; all edges of every other
+   copy are repeats, so exact copies never enter the graph.
+2. Edges: only where different segments share an anchor can single windows repeat; those segments are opened.  An edge is
+   known by the hashes of its two nodes and an independent hash of its words.  Edges that occur in two documents or more
+   make the graph, each with its source coordinate, the smallest occurrence.
+3. Compaction, by joins of the node table: a node with one edge in and one edge out whose source coordinates go on alike
+   does not branch, and its edges join to one path; all other nodes end paths.
+4. Every document's occurrences of edges are led to their paths by a join on the source coordinate; along a path they
+   become spans ``(document, start, end, source document, source start)``.  A span stands only as far as its places and the
+   path's source coordinates advance together.  Equality is that of the 128-bit keys; texts are not compared again.
 
 Defined results: a null or empty text has no words (0 words, hash of the empty text); texts of under 13 words lose
 nothing; rows that repeat an id count as documents in order of their text (so a repeated row is removed as a copy); a
@@ -48,12 +51,13 @@ def paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     return docs.mapInArrow(run, A.ROWS)
 
 
-EDGES = "e1 long, e2 long, _id long, _sub int, pos int"
-SOURCED = "_id long, _sub int, pos int, src_id long, src_sub int, src_pos int"
+EDGES = "left long, right long, e long, _id long, _sub int, pos int"
+SOURCED = "_id long, _sub int, pos int, left long, right long, src_id long, src_sub int, src_pos int"
+SOURCE = ["src_id", "src_sub", "src_pos"]
 
 
 def open_edges(docs: DataFrame, reps: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The single edges of branching paths."""
+    """The single edges of segments that share an anchor with different ones, with their nodes."""
 
     def run(batches):
         for batch in C.small_batches(batches):
@@ -62,47 +66,64 @@ def open_edges(docs: DataFrame, reps: DataFrame, window: int = WINDOW) -> DataFr
             pos = C.ranges(a.astype(np.int64), nb.astype(np.int64))
             row = np.repeat(row, nb)
             at = first[row] + pos
-            e1 = C.ROLL_A.span(C.ROLL_A.prefix(ua), at, at + window)
-            e2 = C.ROLL_B.span(C.ROLL_B.prefix(ub), at, at + window)
+            pa_ = C.ROLL_A.prefix(ua)
+            left, right = (C.ROLL_A.span(pa_, x, x + window - 1) for x in (at, at + 1))
+            e = C.ROLL_B.span(C.ROLL_B.prefix(ub), at, at + window)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(e1.view(np.int64)), pa.array(e2.view(np.int64)), pa.array(C.column(batch, "_id")[row]),
-                 pa.array(C.column(batch, "_sub")[row]), pa.array(pos.astype(np.int32))],
-                names=["e1", "e2", "_id", "_sub", "pos"])
+                [pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(e.view(np.int64)),
+                 pa.array(C.column(batch, "_id")[row]), pa.array(C.column(batch, "_sub")[row]), pa.array(pos.astype(np.int32))],
+                names=["left", "right", "e", "_id", "_sub", "pos"])
 
     return A.with_segments(docs, reps).mapInArrow(run, EDGES)
 
 
 def sources(edges: DataFrame) -> DataFrame:
-    """Edges that occur in a smaller document, with their smallest occurrence (streamed in key order)."""
+    """Occurrences of edges that occur in a smaller document, with the smallest occurrence (streamed in key order)."""
 
     def run(batches):
         carry = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            e1, e2, i, s, p = (C.column(batch, x) for x in ("e1", "e2", "_id", "_sub", "pos"))
-            n = len(e1)
+            key = [C.column(batch, x) for x in ("e", "left", "right")]
+            i, s, p = (C.column(batch, x) for x in ("_id", "_sub", "pos"))
+            n = len(i)
             new = np.ones(n, bool)
-            new[1:] = (e1[1:] != e1[:-1]) | (e2[1:] != e2[:-1])
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
             if carry is not None:
-                new[0] = (e1[0], e2[0]) != carry[:2]
+                new[0] = tuple(k[0] for k in key) != carry[0]
             at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            src = [np.where(at >= 0, v[at], carry[k] if carry else 0) for v, k in ((i, 2), (s, 3), (p, 4))]
+            src = [np.where(at >= 0, v[at], carry[1][k] if carry else 0) for k, v in enumerate((i, s, p))]
             hit = (i != src[0]) | (s != src[1])
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(v[hit]) for v in (i, s, p, *src)],
-                                                 names=["_id", "_sub", "pos", "src_id", "src_sub", "src_pos"])
-            carry = (e1[-1], e2[-1], src[0][-1], src[1][-1], src[2][-1])
-
-    return edges.repartition("e1").sortWithinPartitions("e1", "e2", "_id", "_sub", "pos").mapInArrow(run, SOURCED)
-
-
-def compact(edges: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Join neighbouring repeated edges into spans along which the source coordinates advance together."""
-    line = Window.partitionBy("_id", "_sub", "src_id", "src_sub", "shift").orderBy("pos")
-    runs = edges.withColumn("shift", F.col("src_pos") - F.col("pos")) \
-                .withColumn("run", F.col("pos") - F.row_number().over(line))
-    return (runs.groupBy("_id", "_sub", "src_id", "src_sub", "shift", "run")
+                yield pa.RecordBatch.from_arrays([pa.array(v[hit]) for v in (i, s, p, key[1], key[2], *src)],
+                                                 names=["_id", "_sub", "pos", "left", "right", *SOURCE])
+            carry = tuple(k[-1] for k in key), tuple(v[-1] for v in src)
+
+    return edges.repartition("e").sortWithinPartitions("e", "left", "right", "_id", "_sub", "pos").mapInArrow(run, SOURCED)
+
+
+def compacted(hits: DataFrame) -> DataFrame:
+    """``(src_id, src_sub, src_pos, path)`` of every edge of the graph: paths are maximal runs of edges through nonbranching
+    nodes, named by the source place of their first edge."""
+    graph = hits.groupBy(*SOURCE).agg(F.min("left").alias("left"), F.min("right").alias("right"))
+    edge = F.min(F.struct(*SOURCE))
+    into = graph.groupBy(F.col("right").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), edge.alias("a"))
+    out = graph.groupBy(F.col("left").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), edge.alias("b"))
+    alike = (F.col("a.src_id") == F.col("b.src_id")) & (F.col("a.src_sub") == F.col("b.src_sub")) & (F.col("a.src_pos") + 1 == F.col("b.src_pos"))
+    inner = into.where("n_in = 1").join(out.where("n_out = 1"), "node").where(alike).select("b.*", F.lit(True).alias("goes_on"))
+    # a document's own edges in order; the last place where a path begins names it
+    line = Window.partitionBy("src_id", "src_sub").orderBy("src_pos").rowsBetween(Window.unboundedPreceding, 0)
+    return graph.select(*SOURCE).join(inner, SOURCE, "left") \
+        .select(*SOURCE, F.max(F.when(F.col("goes_on").isNull(), F.col("src_pos"))).over(line).alias("path"))
+
+
+def spans_of(hits: DataFrame, paths_: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Occurrences along one path as spans of words with their source coordinates."""
+    line = Window.partitionBy("_id", "_sub", "src_id", "src_sub", "path", "shift").orderBy("pos")
+    runs = hits.join(paths_, SOURCE).withColumn("shift", F.col("src_pos") - F.col("pos")) \
+               .withColumn("run", F.col("pos") - F.row_number().over(line))
+    return (runs.groupBy("_id", "_sub", "src_id", "src_sub", "path", "shift", "run")
             .agg(F.min("pos").alias("start"), (F.max("pos") + window).cast("int").alias("end"), F.min("src_pos").alias("src_start"))
             .select("_id", "_sub", "start", "end", "src_id", "src_sub", "src_start"))
 
@@ -112,7 +133,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     seen = C.stored(A.first_seen(paths(docs, window, gram), across_documents=True), "debruijn-paths")
     copies = seen.where("NOT rep").select("_id", "_sub", F.col("a").alias("start"),
                                           (F.col("a") + F.col("nb") + (window - 1)).cast("int").alias("end"))
-    spans = compact(sources(open_edges(docs, seen.where("rep"), window)), window)
+    hits = C.stored(sources(open_edges(docs, seen.where("rep"), window)), "debruijn-edges")
+    spans = spans_of(hits, compacted(hits), window)
     return copies.unionByName(spans.select("_id", "_sub", "start", "end"))
 
 

@@ -128,3 +128,50 @@ def test_suffix_array_against_sorting():
             while n < 9 and max(x, y) + n < len(t) and t[x + n] == t[y + n]:
                 n += 1
             assert lcp[x] == n
+
+
+def brute_paths(rows, window):
+    """Edges that occur in two documents or more, compacted: {source place: source place of the path's first edge}."""
+    where = {}
+    for n, text in enumerate(rows):
+        words = text.split()
+        for a in range(len(words) - window + 1):
+            where.setdefault(tuple(words[a:a + window]), []).append((n, a))
+    source = {e: min(at) for e, at in where.items() if len({n for n, _ in at}) > 1}
+    into, out = {}, {}
+    for e in source:
+        into.setdefault(e[1:], []).append(e)
+        out.setdefault(e[:-1], []).append(e)
+    before = {}
+    for node, (a, *more) in into.items():
+        after = out.get(node, [])
+        if not more and len(after) == 1 and (source[a][0], source[a][1] + 1) == source[after[0]]:
+            before[after[0]] = a
+
+    def first(e):
+        while e in before:
+            e = before[e]
+        return e
+    return {source[e]: source[first(e)] for e in source}
+
+
+def test_paths_are_the_compacted_graph(spark):
+    """All windows as edges, window of four words; many nodes branch, and dropping the node joins would change the paths."""
+    window, rng = 4, random.Random(8)
+    base = [rng.choice("abcdefgh") for _ in range(120)]
+    texts = [" ".join(base), " ".join(base[10:50] + ["x"] + base[51:90]), " ".join(base[30:70] + base[5:40])]
+    texts += [" ".join(rng.choice("abc") for _ in range(60)) for _ in range(4)] + [" ".join(base[30:70] + ["y", "z"] + base[80:])]
+    node = lambda ws: int.from_bytes(hashlib.sha256(" ".join(ws).encode()).digest()[:8], "big", signed=True)     # noqa: E731
+    edges = [(node(w[a:a + window - 1]), node(w[a + 1:a + window]), node(w[a:a + window]), n, 0, a)
+             for n, w in enumerate(t.split() for t in texts) for a in range(len(w) - window + 1)]
+    hits = substring_dedup.sources(spark.createDataFrame(edges, substring_dedup.EDGES).repartition(5))
+    got = {(r.src_id, r.src_pos): (r.src_id, r.path) for r in substring_dedup.compacted(hits).collect()}
+    want = brute_paths(texts, window)
+    assert got == want and 1 < len(set(want.values())) < len(want)
+    spans = substring_dedup.spans_of(hits, substring_dedup.compacted(hits), window).collect()
+    words = [t.split() for t in texts]
+    covered = {(s._id, p) for s in spans for p in range(s.start, s.end)}
+    assert covered == {(h._id, p) for h in hits.collect() for p in range(h.pos, h.pos + window)}
+    for s in spans:                                       # the words at the source coordinates are the span's
+        assert words[s.src_id][s.src_start: s.src_start + s.end - s.start] == words[s._id][s.start: s.end]
+    assert max(s.end - s.start for s in spans) > 3 * window
