@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import stored
+
 ACTIVATING = ("promote_production", "activate", "rollback")
 PRODUCTION = (*ACTIVATING, "approve_production")
 BLOCK = 4096
@@ -35,7 +37,8 @@ def run_state(events: DataFrame) -> DataFrame:
         F.min_by("stage", F.when(is_reg, F.col("seq"))).alias("_first_stage"),
         F.max_by("stage", F.when(is_reg, F.col("seq"))).alias("stage"), given("bundle_path"), given("tracking_id"),
         F.min("ts").alias("created_ts"), F.max("seq").alias("_own_seq"), F.max_by("ts", "seq").alias("_own_ts"))
-    acts = valid.where(F.col("action").isin(*ACTIVATING)).select("seq", "ts", "run_id")
+    # read four times below: written once, so that the events are not parsed and joined again for each
+    acts = stored(valid.where(F.col("action").isin(*ACTIVATING)).select("seq", "ts", "run_id"), "activations")
     last = acts.agg(F.max(F.struct("seq", "run_id")).alias("a")).first()["a"]     # one row
     g, active = (last["seq"], last["run_id"]) if last else (None, None)
     produced = F.col("_last").isin(*PRODUCTION)
@@ -57,11 +60,15 @@ def _next_activation(runs: DataFrame, acts: DataFrame) -> DataFrame:
     acts = acts.select(F.floor(F.col("seq") / BLOCK).alias("block"), F.struct("seq", "ts").alias("at"))
     runs = runs.withColumn("block", F.floor(F.col("_q") / BLOCK))
     same = runs.join(acts, "block").where(F.col("at.seq") > F.col("_q")).groupBy("run_id").agg(F.min("at").alias("own"))
-    # one row per used block: a single ordered window over (largest seq / BLOCK) rows at most
     heads = acts.groupBy("block").agg(F.min("at").alias("head")) \
-        .unionByName(runs.select("block").distinct(), allowMissingColumns=True).groupBy("block").agg(F.min("head").alias("head"))
-    ahead = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    after = heads.withColumn("next", F.first("head", ignorenulls=True).over(ahead)).select("block", "next")
+        .unionByName(runs.select("block").distinct(), allowMissingColumns=True).groupBy("block").agg(F.min("head").alias("head")) \
+        .withColumn("group", F.floor(F.col("block") / BLOCK))
+    # BLOCK blocks at most in each window; then one row per BLOCK * BLOCK sequence numbers in the last one
+    ahead = Window.partitionBy("group").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    heads = heads.withColumn("next", F.first("head", ignorenulls=True).over(ahead))
+    beyond = Window.orderBy("group").rowsBetween(1, Window.unboundedFollowing)
+    groups = heads.groupBy("group").agg(F.min("head").alias("head")).select("group", F.first("head", ignorenulls=True).over(beyond).alias("far"))
+    after = heads.join(groups, "group").select("block", F.coalesce("next", "far").alias("next"))
     return runs.join(after, "block").join(same, "run_id", "left").select("run_id", F.coalesce("own", "next").alias("_at"))
 
 
