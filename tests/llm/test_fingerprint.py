@@ -68,3 +68,39 @@ def test_given_table(spark):
         assert got[i].edited_sha256 == hashlib.sha256((t[:len(t) - q] + nxt[:q]).encode()).hexdigest()
     long = [r for r in got.values() if r.n_chars > 500]
     assert sum(r.near_edited for r in long) / len(long) > 0.3 > 0.05 > sum(r.near_next for r in long) / len(long)
+
+
+def plain_fingerprint(text):
+    """The docstring's four steps, one k-mer at a time, with the xxhash library."""
+    import re
+    import struct
+
+    import xxhash
+    number = lambda v, seed, form: xxhash.xxh64(struct.pack(form, v), seed=seed).intdigest()          # noqa: E731
+    tokens = [xxhash.xxh64(t.encode(), seed=42).intdigest() for t in re.findall(r"[^ \t\n\x0b\f\r]{1,%d}" % fingerprint.PIECE, text)]
+    kmers, seen = [], {}
+    for i, x in enumerate(tokens):
+        h = number(x, 42, "<Q")
+        if i + 1 < len(tokens):
+            h = number(tokens[i + 1], h, "<Q")
+        kmers.append(h >> fingerprint.POS_BITS)
+    ranked = []
+    for i, k in enumerate(kmers):
+        seen[k] = seen.get(k, 0) + 1
+        h = number(seen[k] - 1, number(k, 42, "<Q"), "<i") >> 1
+        ranked.append((h >> fingerprint.POS_BITS, i))
+    out = []
+    for b in range(fingerprint.BINS):
+        two = sorted(r for r in ranked if r[0] >> (63 - fingerprint.BIN_BITS - fingerprint.POS_BITS) == b)[:2]
+        if two:
+            h = 42
+            for rank, _ in sorted(two, key=lambda r: r[1]):
+                h = number(rank, h, "<Q")
+            out.append(b << 16 | h & 0xFFFF)
+    return out
+
+
+def test_fingerprints_equal_the_plain_ones(docs_of):
+    rows = [r for r in corpus() if r[1] is None or len(r[1]) < 8000]
+    got = sorted(fingerprint.fingerprints(docs_of(rows)).collect(), key=lambda r: (r._id, r._sub))
+    assert [(r._id, list(r.fp)) for r in got] == [(i, plain_fingerprint(t)) for i, t in ordered(rows)]
