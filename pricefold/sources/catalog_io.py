@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .split_csv import read_split_csv
+
 # Canonical column name -> accepted aliases
 ALIASES = {
     "sample_id": ["sample_id", "unique_identifier"],
@@ -70,11 +72,17 @@ def missing_required_columns(columns: list[str], required: list[str]) -> list[st
 
 
 # ------------------------------------------------------------------- SRC-1..4
+CSV_OPTIONS = {"multiLine": "true", "quote": '"', "escape": '"'}
+
+
+def read_catalog_csv_whole(spark: SparkSession, path: str) -> DataFrame:
+    """Multi-line quoted CSV by Spark's own reader, every column read as text (no inference): one task a file."""
+    return spark.read.options(header="true", inferSchema="false", **CSV_OPTIONS).csv(path)
+
+
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Multi-line quoted CSV, every column read as text (no inference).  A multi-line file is read by one task:
-    land large files as parquet once (``write_parquet``) and read those."""
-    return (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
-            .option("escape", '"').option("inferSchema", False).csv(path))
+    """The same rows, read by as many tasks as the files have blocks.  The column names come from the first record."""
+    return read_split_csv(spark, path, read_catalog_csv_whole(spark, path).schema, CSV_OPTIONS)
 
 
 def load_catalog(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
@@ -112,7 +120,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
-    """SRC-4: the columnar copy that later jobs read (a multi-line CSV file cannot be split)."""
+    """SRC-4: the columnar copy that later jobs read."""
     df.write.mode("overwrite").parquet(path)
 
 
