@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import features as FE
+from ..operators import neighbours as NB
 from ..operators import logtransform as LG
 from ..session import scratch_dir
 from ..operators.ranking import stored
@@ -109,6 +110,31 @@ def embedding_mutual_info(spark, sf_dir):
     return mi.select("idx", r6(F.col("mi")).alias("mi"))
 
 
+@query("embedding_nearest_mutual_info", "SEL-2", oracle=f"""
+WITH {_EMB_LONG_DUCK},
+st AS (SELECT idx, avg(x) AS mx, CAST(CAST(stddev_pop(x) AS FLOAT) AS DOUBLE) AS sx,
+              avg(y) AS my, CAST(CAST(stddev_pop(y) AS FLOAT) AS DOUBLE) AS sy FROM long GROUP BY idx),
+g AS (SELECT idx, vec_id, CAST(floor((x / sx - floor(mx / sx)) * 4294967296) AS BIGINT) AS x,
+             CAST(floor((y / sy - floor(my / sy)) * 4294967296) AS BIGINT) AS y FROM long JOIN st USING (idx)),
+r AS (SELECT a.idx, a.vec_id, any_value(a.x) AS x, any_value(a.y) AS y,
+             min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] AS r
+      FROM g a JOIN g b ON a.idx = b.idx AND a.vec_id <> b.vec_id GROUP BY a.idx, a.vec_id),
+c AS (SELECT r.idx, r.vec_id, count(*) FILTER (WHERE abs(r.x - g.x) < greatest(r, 1)) AS cx,
+             count(*) FILTER (WHERE abs(r.y - g.y) < greatest(r, 1)) AS cy
+      FROM r JOIN g USING (idx) GROUP BY r.idx, r.vec_id),
+n AS (SELECT count(*) AS n FROM embeddings),
+psi AS (SELECT m, -0.5772156649015329 + coalesce(sum(1.0::DOUBLE / m) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p
+        FROM (SELECT unnest(range(1, n + 2)) AS m FROM n))
+SELECT CAST(idx AS INTEGER) AS idx, count(*) AS n,
+       round(greatest(0, any_value(pn.p) + (SELECT p FROM psi WHERE m = 3) - avg(px.p + py.p)), 6) AS mi
+FROM c JOIN psi px ON px.m = cx JOIN psi py ON py.m = cy, n JOIN psi pn ON pn.m = n.n GROUP BY idx
+""")
+def embedding_nearest_mutual_info(spark, sf_dir):
+    e = S.table(spark, sf_dir, "embeddings")
+    mi = NB.nearest_mutual_info(FE.vector_long(e, "vec_id", "embedding", "label"))
+    return mi.select("idx", "n", r6(F.col("mi")).alias("mi"))
+
+
 @query("embedding_vector_ops", "ARR-1 ARR-2 FLT-5 FLT-7 SCH-8 SCH-9 SCH-11 SEL-3", oracle="""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e)
