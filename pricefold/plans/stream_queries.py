@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import exact_percentiles
 from ..sources import tables as S
 from ..streaming import jobs as J
+from ..streaming import rolling as R
 from .registry import query
 
 
@@ -55,6 +56,21 @@ def stream_sliding_service_metrics(spark, sf_dir):
         r6(F.col(c)).alias(c) for c in ("error_rate", "image_fallback_rate", "text_fallback_rate", "dq_pass_rate")])
 
 
+@query("stream_rolling_latency", "STR-2 WIN-1", oracle="""
+WITH r AS (SELECT service, latency_ms, row_number() OVER (PARTITION BY service ORDER BY ts DESC, event_id DESC) AS rn
+           FROM service_requests)
+SELECT service, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms,
+       round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms, 5000 AS window_rows
+FROM r WHERE rn <= 5000 GROUP BY service
+""")
+def stream_rolling_latency(spark, sf_dir):
+    """The latency buffers held as stream state, after the last micro-batch."""
+    requests = spark.sql(S.VIEWS["service_requests"], events=J.event_stream(spark, sf_dir))
+    path, _ = R.run_latency_buffers(requests)
+    w = R.rolling_percentiles(spark, path)
+    return w.select("service", *[r6(F.col(c)).alias(c) for c in ["p50_ms", "p95_ms", "p99_ms"]], "window_rows")
+
+
 _DQ_REQUIRED = ["sample_id", "catalog_content", "image_link", "price"]
 
 
