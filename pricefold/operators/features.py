@@ -9,13 +9,19 @@ reach the driver or a broadcast.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import exact_percentiles, rank_within, stored
 
+_EMBED_ROWS, _EMBED_TOKENS = 256, 20_000       # rows added up at once; tokens whose vectors a task holds
 WORD_SPLIT = r"[^a-z0-9_]+"  # ASCII word characters; tokens are runs of 2+
 
 
@@ -227,16 +233,35 @@ def token_hash_embedding(c: Column, dim: int = 16, seed: int = 0) -> Column:
     (token, dimension), from md5; an empty text gives zeros."""
     toks = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
 
-    def comp(t, d):
-        h = F.conv(F.substring(F.md5(F.concat_ws(":", t, d.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)
-        return h.cast("double") / 4294967296.0 * 2.0 - 1.0
-
-    # one fold over the tokens adds one vector per token
-    dims = F.sequence(F.lit(0), F.lit(dim - 1))
-    total = F.aggregate(toks, F.array_repeat(F.lit(0.0), dim),
-                        lambda acc, t: F.zip_with(acc, dims, lambda a, d: a + comp(t, d)))
-    n = F.greatest(F.size(toks), F.lit(1))
-    return F.transform(total, lambda x: x / n)
+    def vector(t: str) -> np.ndarray:
+        words = b"".join(hashlib.md5(f"{t}:{d}:{seed}".encode()).digest()[:4] for d in range(dim))
+        return np.frombuffer(words, ">u4") / 4294967296.0 * 2.0 - 1.0
+
+    @F.pandas_udf("array<double>")
+    def means(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        place, vectors = {}, np.zeros((64, dim))            # a token's vector is made once for many rows
+        for rows in batches:
+            out = []
+            for a in range(0, len(rows), _EMBED_ROWS):
+                if len(place) > _EMBED_TOKENS:
+                    place = {}
+                part = rows.iloc[a:a + _EMBED_ROWS]
+                size = np.array([len(r) for r in part])
+                at = np.zeros(int(size.sum()), np.int64)
+                for i, t in enumerate(chain.from_iterable(part)):
+                    k = place.get(t)
+                    if k is None:
+                        k = place[t] = len(place)
+                        if k >= len(vectors):
+                            vectors = np.concatenate([vectors, np.zeros_like(vectors)])
+                        vectors[k] = vector(t)
+                    at[i] = k
+                total, some = np.zeros((len(part), dim)), size > 0
+                if len(at):
+                    total[some] = np.add.reduceat(vectors[at], (np.cumsum(size) - size)[some])
+                out.extend(total / np.maximum(size, 1)[:, None])
+            yield pd.Series(out, dtype=object)
+    return means(toks)
 
 
 def content_fingerprint(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
