@@ -2,7 +2,7 @@
 
 All functions take and return ``Column`` objects built from JVM-side built-ins
 (``regexp_*``, higher-order array functions), so they stay inside whole-stage
-codegen; there is no per-row Python.
+codegen; only TXT-17's md5 draws run in Python, over arrays of many characters.
 
 Regex dialect: Java.  ``\\d``, ``\\s``, ``\\w`` and ``\\b`` are ASCII classes
 (the reference's Python ``re`` uses Unicode classes); inputs here are ASCII for
@@ -11,6 +11,12 @@ the quantity grammar, and all cleaning rules replace non-ASCII letters anyway.
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -270,8 +276,107 @@ def extract_catalog_fields(df, text_col: str = "catalog_content", out_col: str =
 def char_drop(c: Column, key: Column, p: float, seed: int = 42) -> Column:
     """TXT-17 (re-aimed): drop each character with probability ``p`` using a
     repeatable md5 draw on (key, position, seed)."""
-    chars = F.split(text_or_empty(c), "")
-    kept = F.filter(chars, lambda ch, i: (
-        F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8),
-               16, 10).cast("double") / F.lit(4294967296.0)) >= F.lit(p))
-    return F.array_join(kept, "")
+    tail = f":{seed}"
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series(_kept_chars(texts, keys, p, tail), dtype=object)
+    return kept(text_or_empty(c), key.cast("string"))
+
+
+def _kept_chars(texts, keys, p: float, tail: str) -> Iterator[str]:
+    """The texts without the dropped characters; draws are made for many texts at once.  An absent key is left out of the
+    drawn message, as ``concat_ws`` does."""
+    held, size = [], 0
+    for text, key in zip(texts, keys):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        held.append((codes, b"" if key is None else f"{key}:".encode()))
+        size += len(codes)
+        if size >= 1 << 18:
+            yield from _drop(held, p, tail)
+            held, size = [], 0
+    yield from _drop(held, p, tail)
+
+
+def _drop(held: list, p: float, tail: str) -> Iterator[str]:
+    keep = [np.ones(len(codes), bool) for codes, _ in held]
+    groups: dict[tuple[int, int], list] = {}               # (length of the prefix, digits of the position) -> texts
+    for k, (codes, prefix) in enumerate(held):
+        low, digits = 0, 1
+        while low < len(codes):
+            high = min(len(codes), 10 ** digits)
+            groups.setdefault((len(prefix), digits), []).append((k, low, high))
+            low, digits = high, digits + 1
+    for (_, digits), parts in groups.items():
+        heads = np.frombuffer(b"".join(held[k][1] for k, _, _ in parts), np.uint8).reshape(len(parts), -1)
+        of = np.repeat(np.arange(len(parts)), [high - low for _, low, high in parts])
+        at = np.concatenate([np.arange(low, high) for _, low, high in parts])
+        stay = np.concatenate([md5_words(heads, of[a:a + _LANE], at[a:a + _LANE], digits, tail.encode()) / 4294967296.0 >= p
+                               for a in range(0, len(at), _LANE)])
+        done = 0
+        for k, low, high in parts:
+            keep[k][low:high] = stay[done:done + high - low]
+            done += high - low
+    for (codes, _), use in zip(held, keep):
+        yield codes[use].tobytes().decode("utf-32-le")
+
+
+_LANE = 8_192
+_MD5_K = [int(abs(math.sin(i + 1)) * 2 ** 32) for i in range(64)]
+_MD5_TURN = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+
+
+def md5_words(heads: np.ndarray, of: np.ndarray, number: np.ndarray, digits: int, tail: bytes) -> np.ndarray:
+    """The first 32 bits (big-endian) of the md5 of ``heads[of] + str(number) + tail``; all numbers have ``digits`` digits.
+    Messages of one block are hashed side by side."""
+    size = heads.shape[1] + digits + len(tail)
+    if size > 55:
+        raw = [bytes(heads[k]) + str(n).encode() + tail for k, n in zip(of.tolist(), number.tolist())]
+        return np.frombuffer(b"".join(hashlib.md5(x).digest()[:4] for x in raw), ">u4").astype(np.uint32)
+    row = [h[of] for h in np.ascontiguousarray(heads.T)]
+    rest, figures = number.astype(np.uint32), []
+    for _ in range(digits):
+        above = rest // np.uint32(10)
+        figures.append((rest - above * np.uint32(10) + np.uint32(48)).astype(np.uint8))
+        rest = above
+    row += figures[::-1]
+    row += [np.full(len(of), x, np.uint8) for x in (*tail, 0x80)]
+    words = []
+    for i in range(0, len(row), 4):
+        w = np.zeros(len(of), np.uint32)
+        for k, b in enumerate(row[i:i + 4]):
+            w |= b.astype(np.uint32) << np.uint32(8 * k)
+        words.append(w)
+    words += [None] * (14 - len(words)) + [np.uint32(8 * size), None]
+    a, b, c, d, f, high = (np.full(len(of), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476, 0, 0))
+    for i in range(61):                                    # the last three steps do not change the first word
+        if i < 16:                                         # d ^ (b & (c ^ d))
+            g = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:                                       # c ^ (d & (b ^ c))
+            g = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            g = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:                                              # c ^ (b | ~d)
+            g = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        f += np.uint32(_MD5_K[i] + (int(words[g]) if isinstance(words[g], np.uint32) else 0) & 0xFFFFFFFF)
+        if isinstance(words[g], np.ndarray):
+            f += words[g]
+        turn = _MD5_TURN[i // 16][i % 4]
+        np.left_shift(f, np.uint32(turn), out=high)
+        f >>= np.uint32(32 - turn)
+        f |= high
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return (b + np.uint32(0x67452301)).byteswap()
