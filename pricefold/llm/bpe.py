@@ -211,7 +211,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches):
         encoder = encoder_of(path)
-        for batch in C.small_batches(batches):
+        for batch in C.small_batches(batches, limit=C.STAGE_BYTES):
             data, offs = C.buffer_of(batch.column(batch.schema.get_field_index("_text")))
             edges = np.unique(np.concatenate([offs, cut_places(data, offs)]))
             raw = data.tobytes()

@@ -27,7 +27,8 @@ NULL_ID = -(2 ** 63)
 U64 = np.uint64
 MASK = (1 << 64) - 1
 BATCH_BYTES = 2 << 20  # text handled at once inside a task; one longer document is handled alone
-ARROW_BYTES = 4 << 20  # rows given to a Python worker at once, unless the session says otherwise; one longer row comes alone
+STAGE_BYTES = 1 << 19  # the same in the pipeline's stages, whose Python workers live on from stage to stage and keep what they grew
+ARROW_BYTES = 1 << 20  # rows given to a Python worker at once, unless the session says otherwise; one longer row comes alone
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -399,7 +399,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id
 
     def run(batches):
         scanner = Scanner(shared.value)
-        for batch in C.small_batches(batches, text_col):
+        for batch in C.small_batches(batches, text_col, C.STAGE_BYTES):
             n_words, n_hit, _, _ = scanner.texts(batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array(~((n_hit > 0) & (COVERAGE * n_hit >= n_words))))
 

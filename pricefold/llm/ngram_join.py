@@ -40,9 +40,10 @@ from .registry import query
 
 SHINGLE, SIMILARITY = 5, 0.8
 RUNS, PICKS, LIMIT, DEPTH, KEPT = 10, 2.0, 64, 3, 8
-BLOCK_SHINGLES = 1 << 20                     # a block holds about so many shingles at most, however long its texts
-SET_BYTES = 1 << 20                         # texts whose shingle sets are made at once
-ATTACH_BYTES = 4 << 20                      # rows with their shingle sets go on in batches of this size
+BLOCK_SHINGLES = 1 << 19                     # a block holds about so many shingles at most, however long its texts
+SET_BYTES = 1 << 18                         # texts whose shingle sets are made at once
+ATTACH_BYTES = 2 << 20                      # rows with their shingle sets go on in batches of this size
+HOLD = 4096                                 # columns of a 0/1 matrix of documents that is held at once
 BLOCK, SKETCH, ALIKE = 512, 32, 13          # ALIKE of 32 sketch bytes: a pair at 0.8 falls below with p < 1e-6
 
 
@@ -180,9 +181,13 @@ def _pairs_allowed(ids, subs, n, side, sketch, follows, bucket, same, similarity
         row, flat = row[flat < bucket], flat[flat < bucket]          # smaller buckets that either follows
         if len(flat):
             keys, col = np.unique(flat, return_inverse=True)
-            hold = np.zeros((len(n), len(keys)), np.float32)
-            hold[row, col] = 1
-            ok &= (hold[left] @ hold[right].T) == 0
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            for lo in range(0, len(keys), HOLD):         # documents that were split follow many paths
+                at = slice(*np.searchsorted(col, [lo, lo + HOLD]))
+                hold = np.zeros((len(n), min(HOLD, len(keys) - lo)), np.float32)
+                hold[row[at], col[at] - lo] = 1
+                ok &= (hold[left] @ hold[right].T) == 0
     return left, right, ok
 
 
@@ -298,9 +303,9 @@ def verify(docs: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -
             shared = np.bincount(col) > 1                            # a token of one document meets nothing
             col, row = (np.cumsum(shared) - 1)[col][shared[col]], row[shared[col]]
             both = np.zeros((len(left), len(right)), np.float32)
-            for lo in range(0, int(shared.sum()), 4096):
-                at = slice(*np.searchsorted(col, [lo, lo + 4096]))
-                x = np.zeros((len(ids), 4096), np.float32)
+            for lo in range(0, int(shared.sum()), HOLD):
+                at = slice(*np.searchsorted(col, [lo, lo + HOLD]))
+                x = np.zeros((len(ids), HOLD), np.float32)
                 x[row[at], col[at] - lo] = 1
                 both += x[left] @ x[right].T
             total = size[left][:, None] + size[right][None, :] - both

@@ -65,7 +65,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(BUCKETS * DIM)
-        for batch in C.small_batches(batches):
+        for batch in C.small_batches(batches, limit=C.STAGE_BYTES):
             tok, first = tokens(*C.buffer_of(batch.column(0)))
             if len(tok) < 2:
                 continue

@@ -5,10 +5,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from conftest import SF_SMALL
-from pricefold.llm import ngram_join
+from pricefold.llm import common, ngram_join
 from pricefold.llm.registry import QUERIES
 
 LOW = -(2 ** 63)
@@ -147,3 +148,37 @@ def test_given_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     want = sorted((a, c, n, g, m) for a, _, c, _, n, g, _, m in brute(rows))
     assert sorted(tuple(r) for r in QUERIES["op4_ngram_jaccard_join"](spark, SF_SMALL).collect()) == want
+
+
+def test_documents_that_follow_many_paths_are_compared_in_bounded_memory():
+    """The 0/1 matrix of documents and followed paths used to be held whole."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    m, own = 400, 400
+    follows = [np.sort(rng.choice(1 << 40, own, replace=False)) for _ in range(m)]
+    follows[7] = np.sort(np.concatenate([follows[7], follows[300][200:201]]))
+    n, sketch, place = np.full(m, 50), np.zeros((m, ngram_join.SKETCH), np.uint8), np.arange(m)
+    tracemalloc.start()
+    left, right, ok = ngram_join._pairs_allowed(place, place, n, np.full(m, 2), sketch, follows, 1 << 41, True, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.triu(np.ones((m, m), bool), 1)
+    want[7, 300] = False
+    assert (ok == want).all()
+    assert peak < 100e6
+
+
+def test_a_worker_keeps_little_after_signing(monkeypatch):
+    """The rolling hashes' powers grow with the text handled at once and stay in the worker."""
+    import pyarrow as pa
+    for r in ("ROLL_A", "ROLL_B"):
+        monkeypatch.setattr(common, r, common.Rolling(getattr(common, r).base))
+    texts = [" ".join(f"w{i}_{j}" for j in range(1000)) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([0] * 400, pa.int32()), pa.array(texts)], names=["_id", "_sub", "_text"])
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    assert sum(b.num_rows for b in ngram_join.signatures(Rows())(iter([batch]))) == 400
+    assert sum(p.nbytes for r in (common.ROLL_A, common.ROLL_B) for p in (r.up, r.down)) <= 16 << 20
