@@ -6,8 +6,9 @@ their byte ranges end together; those ends cut both sequences into *groups*.
 
 *Encoding.*  Neither tokenizer joins what stands left of a single space to what follows it (A's pre-tokens only begin
 with a space; ``Pair`` refuses a B whose vocabulary has a piece with the space mark behind another mark), so a text is
-the concatenation of its units, cut before such spaces.  Every distinct unit is encoded once per worker.  Units are
-remembered up to ``UNITS``; then only the half met most often stays, which bounds memory and changes no result.
+the concatenation of its units, cut before such spaces.  Every distinct unit is encoded once per worker, ``LEARN`` units
+at a time.  Units are remembered up to ``UNITS``, and up to ``UNIT_BYTES`` of units and ids; then only the half met most
+often stays, which bounds memory and changes no result.
 
 *Merging.*  ``lockstep`` holds one state vector, the A and B pointers of all lanes.  Each step compares the byte ends
 under the pointers of all lanes at once, emits a link and a cut where they agree, advances the pointer that is behind
@@ -15,7 +16,8 @@ under the pointers of all lanes at once, emits a link and a cut where they agree
 longer one that ends at a unit, where both tokenizers have an end; so a very long text costs no more steps than others.
 
 *Counts.*  Documents are taken in blocks of about ``BLOCK_BYTES`` of text.  A block keeps its distinct linked id pairs
-once with their number of links, and each document's links as places in that list.  Pair counts of the corpus are a
+once with their number of links, and each document's links as places in that list.  A worker holds the links of the block
+that it fills in this form, too, one list for each batch of its texts, and joins these lists at the end.  Pair counts of the corpus are a
 sum over the lists; they come back by a join of the lists (every pair at most once a block, so a frequent pair is not a
 hot key of all its links), and each block's answers meet its documents in one shuffle by block.  Nothing of that size
 passes through the driver or is broadcast.
@@ -30,7 +32,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,8 @@ from .registry import query
 
 LANE = 1 << 10
 BLOCK_BYTES = 8 << 20
-UNITS = 600_000
+UNITS, UNIT_BYTES = 300_000, 32 << 20
+LEARN = 1 << 13                                # units given to the tokenizers at once
 MARK = "▁"                                    # stands for a space in B's pieces
 # lead bytes of two-, three-byte marks among which white space or MARK occur: no cut before these
 UNSAFE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
@@ -66,6 +69,26 @@ class Vocabulary:
         self.shown = np.array([str(i).encode() + s for s in seps for i in range(len(tokens))], object)
 
 
+class Grown:
+    """An array that values are added to; it is copied only where it runs out of room."""
+
+    def __init__(self, kind, values=()):
+        self.room, self.n = np.array(values, kind), len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def add(self, values: np.ndarray) -> None:
+        to = self.n + len(values)
+        if to > len(self.room):
+            room = np.zeros(to + to // 4, self.room.dtype)
+            room[: self.n] = self.all
+            self.room = room
+        self.room[self.n: to] = values
+        self.n = to
+
+
 class Pair:
     """Both tokenizers, and the ids of every unit met so far in this worker."""
 
@@ -88,10 +111,11 @@ class Pair:
         b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.va, self.vb = Vocabulary(a_bytes, (b",", b"|")), Vocabulary(b_bytes, (b",", b";"))
         self.number: dict[bytes, int] = {}
-        self.met = np.zeros(0, np.int64)                                 # how often, since the last halving
-        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]      # A and B ids of all units, back to back
-        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
-        self.clean = np.zeros(0, bool)                                   # both spell the unit's bytes
+        self.met = Grown(np.int64)                                       # how often, since the last halving
+        self.ids = [Grown(np.int32), Grown(np.int32)]                  # A and B ids of all units, back to back
+        self.ends = [Grown(np.int64, [0]), Grown(np.int64, [0])]
+        self.clean = Grown(bool)                                         # both spell the unit's bytes
+        self.held = 0                                                    # bytes of all units and their ids
 
     def _learn(self, new: list[bytes]) -> None:
         text = [u.decode("utf-8") for u in new]
@@ -110,39 +134,48 @@ class Pair:
             wrong = np.flatnonzero(voc.bytes[C.ranges(voc.start[own], voc.size[own])] != raw[np.repeat(clean, sizes)])
             right = np.flatnonzero(clean)
             clean[right[np.searchsorted(np.cumsum(sizes[right]), wrong, side="right")]] = False
-            self.ids[k] = np.concatenate([self.ids[k], flat])
-            self.ends[k] = np.concatenate([self.ends[k], self.ends[k][-1] + ends[1:]])
-        self.clean = np.concatenate([self.clean, clean])
-        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            self.ends[k].add(len(self.ids[k].all) + ends[1:])
+            self.ids[k].add(flat)
+            self.held += flat.nbytes
+        self.clean.add(clean)
+        self.met.add(np.zeros(len(new), np.int64))
         first = len(self.number)
         self.number.update(zip(new, range(first, first + len(new))))
+        self.held += len(raw)
 
     def _halve(self) -> None:
-        stay = np.sort(np.argsort(-self.met, kind="stable")[: UNITS // 2])
-        stay = stay[self.met[stay] > 1]
-        names = list(self.number)
-        self.number = {names[i]: k for k, i in enumerate(stay.tolist())}
+        stay = np.sort(np.argsort(-self.met.all, kind="stable")[: UNITS // 2])
+        stay = stay[self.met.all[stay] > 1]
+        own = np.fromiter(map(len, self.number), np.int64, len(self.number))[stay]
+        own += sum(4 * (e.all[stay + 1] - e.all[stay]) for e in self.ends)
+        if own.sum() > UNIT_BYTES // 2:                     # those met most often for their size
+            best = np.argsort(-self.met.all[stay] / own, kind="stable")
+            stay = np.sort(stay[best[np.cumsum(own[best]) <= UNIT_BYTES // 2]])
+        stays = np.zeros(len(self.number), bool)
+        stays[stay] = True
+        self.number = dict(zip(compress(self.number, stays.tolist()), range(len(stay))))
         for k in (0, 1):
-            self.ids[k], count = self.tokens(k, stay)
-            self.ends[k] = np.concatenate([[0], np.cumsum(count)])
-        self.clean, self.met = self.clean[stay], np.zeros(len(stay), np.int64)
+            ids, count = self.tokens(k, stay)
+            self.ids[k], self.ends[k] = Grown(np.int32, ids), Grown(np.int64, np.concatenate([[0], np.cumsum(count)]))
+        self.clean, self.met = Grown(bool, self.clean.all[stay]), Grown(np.int64, np.zeros(len(stay), np.int64))
+        self.held = sum(map(len, self.number)) + sum(x.all.nbytes for x in self.ids)
 
     def numbers(self, units: list[bytes]) -> np.ndarray:
         new = [u for u in dict.fromkeys(units) if u not in self.number]
-        if new and len(self.number) + len(new) > UNITS:
+        if new and (len(self.number) + len(new) > UNITS or self.held + sum(map(len, new)) > UNIT_BYTES):
             self._halve()
             new = [u for u in dict.fromkeys(units) if u not in self.number]
-        if new:
-            self._learn(new)
+        for at in range(0, len(new), LEARN):
+            self._learn(new[at: at + LEARN])
         out = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
-        self.met += np.bincount(out, minlength=len(self.met))
+        self.met.all[:] += np.bincount(out, minlength=len(self.met.all))
         return out
 
     def tokens(self, k: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of these units back to back, tokens per unit)."""
-        ends = self.ends[k]
+        ends = self.ends[k].all
         count = ends[numbers + 1] - ends[numbers]
-        return self.ids[k][C.ranges(ends[numbers], count)], count
+        return self.ids[k].all[C.ranges(ends[numbers], count)], count
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}           # one per worker process, kept between its tasks
@@ -202,7 +235,7 @@ class Aligned:
         raw, places = data.tobytes(), edges.tolist()
         number = pair.numbers([raw[x:y] for x, y in zip(places, places[1:])])
         first = np.searchsorted(edges, offs)                             # first unit of each text, plus the end
-        bad = np.concatenate([[0], np.cumsum(~pair.clean[number])])
+        bad = np.concatenate([[0], np.cumsum(~pair.clean.all[number])])
         self.clean = (bad[first[1:]] == bad[first[:-1]]) & (offs[1:] > offs[:-1])
         keep = np.repeat(self.clean, np.diff(first))
         number, size = number[keep], np.diff(edges)[keep]
@@ -242,7 +275,7 @@ class Aligned:
         return [b"".join(shown[x:y])[:-1] for x, y in zip(starts, starts[1:])]
 
 
-def stretches(data: np.ndarray, offs: np.ndarray, limit: int = C.BATCH_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def stretches(data: np.ndarray, offs: np.ndarray, limit: int = C.STAGE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, starts, numbers of the texts) of at most about ``limit`` bytes; a longer text comes in several stretches, cut at
     units, one after the other.  Every text of more than nothing gets its space in front."""
     at, n = 0, len(offs) - 1
@@ -315,17 +348,18 @@ def documents(pair: Pair, batch: pa.RecordBatch, digest: bool):
 
 def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
     sizes = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), kind))
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.zeros(0, kind.to_pandas_dtype()), *arrays]), kind))
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: tuple[str, str] | None = None) -> DataFrame:
     """``(_id, _sub, a_ids, b_ids, a_links, b_links, cuts)``: the ids, the places of linked tokens and the byte ends (in
     space + text) that cut both sequences into groups."""
     paths = paths or default_paths()
+    C.bounded_batches(docs.sparkSession)
 
     def run(batches):
         pair = pair_of(*paths)
-        for batch in C.small_batches(batches):
+        for batch in C.small_batches(batches, limit=C.STAGE_BYTES):
             columns = [[] for _ in range(5)]
             for _, doc in documents(pair, batch, digest=False):
                 out, at = [[] for _ in range(5)], np.zeros(3, np.int64)
@@ -343,47 +377,74 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths
     return C.keyed(docs, id_col, text_col).mapInArrow(run, DETAIL)
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str]) -> DataFrame:
-    """One row per document and one per block (its distinct pairs and their numbers of links); see the module's text."""
-    names = [f.split()[0] for f in BLOCKS.split(", ")]
-
-    def flush(block, rows):
-        links = [r[-1] for r in rows]
-        pairs, codes, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *links]), return_inverse=True, return_counts=True)
-        ends = np.cumsum([len(x) for x in links])
-        own = [codes[y - len(x): y] for x, y in zip(links, ends.tolist())]
-        n = len(rows)
-        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32()))]
-        cols += [pa.array([block] * n, pa.int64())] + [pa.array([r[i] for r in rows], pa.int64()) for i in (2, 3)]
-        cols += [pa.array([len(x) for x in links], pa.int64()), pa.array([r[4] for r in rows], pa.string()), _lists(own, pa.int32())]
-        cols += [pa.nulls(n, pa.list_(pa.int64()))] * 2
+class _Block:
+    """Documents of one block, and their links as places in a list of distinct pairs: one list per batch of texts until the
+    block is full, so that 4 bytes a link are held and only one batch's links are sorted at once."""
+
+    def __init__(self, number: int):
+        self.number, self.rows, self.held = number, [], 0
+        self.lists = []                               # (distinct pairs, number of links of each, place of every link)
+
+    def add(self, rows: list[tuple], links: list[np.ndarray], size: int) -> None:
+        """``rows``: (id, sub, n_a, n_b, n_links, digest) of each document; ``links``: their pair codes, in order."""
+        pairs, place, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *links]), return_inverse=True, return_counts=True)
+        self.lists.append((pairs, counts, place.astype(np.int32)))
+        self.rows += rows
+        self.held += size
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in BLOCKS.split(", ")]
+        pairs, place = np.unique(np.concatenate([x[0] for x in self.lists]), return_inverse=True)
+        counts, first = np.zeros(len(pairs), np.int64), 0
+        codes = np.zeros(sum(len(x[2]) for x in self.lists), np.int32)
+        at = 0
+        for own, n, links in self.lists:
+            now = place[first: first + len(own)]
+            counts[now] += n                              # a list has a pair once
+            codes[at: at + len(links)] = now[links]
+            first, at = first + len(own), at + len(links)
+        self.lists = []
+        n = len(self.rows)
+        columns = list(zip(*self.rows))
+        ends = np.concatenate([[0], np.cumsum(columns[4])]).astype(np.int32)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        cols = [pa.array(x, t) for x, t in zip(columns, kinds)]
+        cols.insert(2, pa.array([self.number] * n, pa.int64()))
+        cols += [pa.ListArray.from_arrays(pa.array(ends), pa.array(codes))] + [pa.nulls(n, pa.list_(pa.int64()))] * 2
         yield pa.RecordBatch.from_arrays(cols, names=names)
         if len(pairs):
-            one = [pa.nulls(1, t) for t in (pa.int64(), pa.int32())] + [pa.array([block], pa.int64())]
+            one = [pa.nulls(1, t) for t in (pa.int64(), pa.int32())] + [pa.array([self.number], pa.int64())]
             one += [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()))]
             one += [_lists([pairs], pa.int64()), _lists([counts], pa.int64())]
             yield pa.RecordBatch.from_arrays(one, names=names)
 
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, paths: tuple[str, str]) -> DataFrame:
+    """One row per document and one per block (its distinct pairs and their numbers of links); see the module's text."""
+    C.bounded_batches(docs.sparkSession)
+
     def run(batches):
         pair = pair_of(*paths)
-        block, rows, held = TaskContext.get().partitionId() << 32, [], 0
-        for batch in C.small_batches(batches):
+        block = _Block(TaskContext.get().partitionId() << 32)
+        for batch in C.small_batches(batches, limit=C.STAGE_BYTES):
             ids, subs = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("_id", "_sub"))
+            rows, links = [], []
             for r, doc in documents(pair, batch, digest=True):
                 if doc.clean and doc.parts and doc.parts[0][0]:
                     text = hashlib.sha256()
                     for i, part in enumerate(doc.parts):
                         text.update((b";" if i else b"") + part[3])
-                    rows.append((ids[r], subs[r], sum(p[0] for p in doc.parts), sum(p[1] for p in doc.parts), text.hexdigest(),
-                                 np.concatenate([p[2] for p in doc.parts])))
+                    rows.append((ids[r], subs[r], *(sum(p[i] for p in doc.parts) for i in (0, 1)), sum(len(p[2]) for p in doc.parts),
+                                 text.hexdigest()))
+                    links += [p[2] for p in doc.parts]
                 else:
-                    rows.append((ids[r], subs[r], 0, 0, "", np.zeros(0, np.int64)))
-            held += batch.column(batch.schema.get_field_index("_text")).nbytes
-            if held >= BLOCK_BYTES:
-                yield from flush(block, rows)
-                block, rows, held = block + 1, [], 0
-        if rows:
-            yield from flush(block, rows)
+                    rows.append((ids[r], subs[r], 0, 0, 0, ""))
+            block.add(rows, links, batch.column(batch.schema.get_field_index("_text")).nbytes)
+            if block.held >= BLOCK_BYTES:
+                yield from block.batches()
+                block = _Block(block.number + 1)
+        if block.rows:
+            yield from block.batches()
 
     return C.keyed(docs, id_col, text_col).mapInArrow(run, BLOCKS)
 

@@ -110,6 +110,94 @@ def test_stretches_blocks_and_forgetting_change_nothing(libraries, monkeypatch):
             assert (sum(p[0] for p in doc.parts), sum(p[1] for p in doc.parts), sum(len(p[2]) for p in doc.parts)) == want[row][:3]
 
 
+class Mapped:
+    """Stands for the keyed documents: hands out the function that Spark's tasks would run."""
+    sparkSession = None
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.fixture
+def block_rows(monkeypatch):
+    """batches of (_id, _sub, _text) -> what a task makes of them."""
+    monkeypatch.setattr(C, "keyed", lambda docs, *_: docs)
+    monkeypatch.setattr(C, "bounded_batches", lambda _: None)
+    monkeypatch.setattr(X, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": lambda _: 3})())}))
+    return X._blocks(Mapped(), "doc_id", "text", X.default_paths())
+
+
+def text_batch(texts, first=0):
+    n = len(texts)
+    return pa.RecordBatch.from_arrays([pa.array(range(first, first + n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array(texts, pa.string())],
+                                      names=["_id", "_sub", "_text"])
+
+
+def test_blocks_join_the_lists_of_their_batches(block_rows, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["tea", "for", "two", "ofblethti", "and,", "1999", "don't", "ö"]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 60, 90)]
+    monkeypatch.setattr(C, "STAGE_BYTES", 500)
+    monkeypatch.setattr(X, "BLOCK_BYTES", 3000)
+    blocks = {}
+    for b in block_rows(iter([text_batch(texts[:50]), text_batch(texts[50:], 50)])):
+        for r in b.to_pylist():
+            blocks.setdefault(r["block"], []).append(r)
+    assert sorted(blocks) == [(3 << 32) + i for i in range(len(blocks))] and len(blocks) > 2
+    links = {}
+    for r, doc in X.documents(X.pair_of(*X.default_paths()), text_batch(texts), digest=True):
+        links[r] = np.concatenate([np.zeros(0, np.int64), *(p[2] for p in doc.parts)]).tolist()
+    seen = []
+    for rows in blocks.values():
+        *docs, one = rows
+        assert one["_id"] is None and one["pairs"] == sorted(set(one["pairs"]))
+        for r in docs:
+            assert [one["pairs"][c] for c in r["codes"]] == links[r["_id"]] and r["n_links"] == len(links[r["_id"]])
+        total = Counter(p for r in docs for p in links[r["_id"]])
+        assert dict(zip(one["pairs"], one["counts"])) == total
+        seen += [r["_id"] for r in docs]
+    assert seen == list(range(90))
+
+
+def test_a_block_of_links_is_held_small(block_rows):
+    """8 MB of text in batches: the links wait as 4 bytes each, and only one batch's links are sorted at once."""
+    import tracemalloc
+    rng = np.random.default_rng(9)
+    words = np.array(["tea", "for", "two", "the", "and", "of", "a", "in", "to"])
+    texts = [" ".join(rng.choice(words, 1000)) for _ in range(120)]
+    list(block_rows(iter([text_batch(texts)])))                         # the tokenizers are there now
+    tracemalloc.start()
+    n = sum(b.num_rows for b in block_rows(text_batch(texts) for _ in range(20)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n >= 2400 and peak < 80 << 20
+
+
+def test_remembered_units_are_bounded_in_bytes(monkeypatch):
+    """Long units: few of them, and many bytes."""
+    monkeypatch.setattr(X, "UNIT_BYTES", 40_000, raising=False)
+    pair = X.Pair(*X.default_paths())
+    rng = np.random.default_rng(10)
+    texts = ["".join(rng.choice(list("abcdefgh日本語"), 400)) for _ in range(300)] + ["tea for two"] * 20
+    for text in texts * 2:
+        (_, doc), = X.documents(pair, text_batch([text]), digest=True)
+        assert doc.clean and doc.parts[0][0]
+        assert sum(map(len, pair.number)) < 60_000
+
+
+def test_batches_are_bounded_in_bytes(spark, docs_of):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        for step in (X.align, X.link_statistics):
+            spark.conf.unset(key)
+            assert step(docs_of([(1, "tea for two")])).count() == 1
+            assert spark.conf.get(key, None) == str(C.ARROW_BYTES)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_lockstep_links_equal_ends():
     rng = np.random.default_rng(3)
     end_a, end_b, lanes_a, lanes_b, at = [], [], [0], [0], 0
