@@ -103,7 +103,7 @@ def test_more_items_than_one_automaton_holds(spark, docs_of, monkeypatch, group)
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     res = con.execute(ORACLES[name])
     cols = [c[0] for c in res.description]
