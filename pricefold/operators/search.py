@@ -120,22 +120,31 @@ def pruned(trials: list[Trial], scores: list[float]) -> bool:
     return fold > WARMUP_FOLDS and len(others) >= STARTUP_PRUNING and scores[-1] > median(others)
 
 
+def sure_folds(done: list[Trial], folds: int) -> int:
+    """As many first folds are run in any case, whatever their scores are."""
+    return next((k for k in range(WARMUP_FOLDS + 1, folds) if sum(len(t.scores) >= k for t in done) >= STARTUP_PRUNING), folds)
+
+
 def search(space: dict[str, Range], score, folds: int, trials: int = 50, batch: int = 5, seed: int = 42) -> list[Trial]:
-    """``score(params, fold)`` -> a number to be made small.  Trials of a batch run side by side, fold after fold."""
+    """``score(params, fold)`` -> a number to be made small.  Trials of a batch run side by side; so do the first folds, those
+    that pruning cannot spare, and then fold after fold."""
     done: list[Trial] = []
-    with ThreadPoolExecutor(max_workers=batch) as pool:
+    with ThreadPoolExecutor(max_workers=batch * folds) as pool:
         while len(done) < trials:
             live: list[Trial] = []
             for _ in range(min(batch, trials - len(done))):
                 number = len(done) + len(live)
                 live.append(Trial(number, propose(space, done, number, seed, [t.params for t in live])))
             group, sums = list(live), {t.number: 0.0 for t in live}
-            for k in range(folds):
-                for t, s in zip(live, list(pool.map(lambda t: score(t.params, k), live))):      # noqa: B023
-                    sums[t.number] += s
-                    t.scores.append(sums[t.number] / (k + 1))
+            sure = sure_folds(done, folds)
+            for some in [range(sure), *([k] for k in range(sure, folds))]:
+                scored = {(t.number, k): pool.submit(score, t.params, k) for k in some for t in live}
+                for k in some:
+                    for t in live:
+                        sums[t.number] += scored[t.number, k].result()
+                        t.scores.append(sums[t.number] / (k + 1))
                 for t in live:
-                    t.pruned = k + 1 < folds and pruned(done, t.scores)
+                    t.pruned = len(t.scores) < folds and pruned(done, t.scores)
                 live = [t for t in live if not t.pruned]
             done += group
     return done

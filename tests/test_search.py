@@ -78,3 +78,22 @@ def test_search_finds_the_low_and_prunes():
     late = np.mean([t.value for t in out[25:]])
     assert late < np.mean([t.value for t in out[:10]])
     assert [t.params for t in S.search(space, score, folds=4, trials=12)] == [t.params for t in out[:12]]
+
+
+def test_folds_that_pruning_cannot_spare_run_side_by_side():
+    import threading
+    start, second = threading.Barrier(20), threading.Barrier(10)             # 5 trials: all 4 folds at first, then the first 2
+
+    def score(p, k):
+        if not start.broken and len(seen) < 20:
+            seen.append(k)
+            start.wait(20)
+        elif k < 2:
+            second.wait(20)
+        calls.append(k)
+        return p["r"] + 0.01 * k
+    seen, calls = [], []
+    out = S.search({"r": S.Range(0.0, 1.0)}, score, folds=4, trials=10)
+    assert sorted(seen) == sorted([0, 1, 2, 3] * 5) and len(calls) == sum(len(t.scores) for t in out)
+    assert S.sure_folds([], 4) == 4 and S.sure_folds(out[:5], 4) == 2
+    assert S.sure_folds([S.Trial(k, {}, [1.0]) for k in range(9)], 4) == 4
